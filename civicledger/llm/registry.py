@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, toxicity
+from . import bpe, langid, lines, mixing, toxicity, warc
 
-MODULES = (langid, toxicity, mixing, bpe)
+MODULES = (langid, warc, lines, toxicity, mixing, bpe)
 
 
 def queries() -> dict:
