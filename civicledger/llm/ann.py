@@ -81,7 +81,7 @@ def _blocks(n: int, size: int) -> int:
     return max(1, math.ceil(n / size))
 
 
-def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int = 256) -> DataFrame:
+def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int = 320) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query row, ties to smaller ids.
 
     Queries are rows whose vec_id is divisible by `queries_every`; candidates are all rows but the query's own.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, lines, mixing, toxicity, warc
+from . import ann, bpe, chroma, langid, lines, mixing, toxicity, warc
 
-MODULES = (langid, warc, lines, toxicity, ann, mixing, bpe)
+MODULES = (langid, warc, lines, toxicity, chroma, ann, mixing, bpe)
 
 
 def queries() -> dict:
