@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chroma, langid, lines, mixing, substrings, toxicity, warc
+from . import ann, bpe, chroma, jaccard, langid, lines, mixing, substrings, toxicity, warc
 
-MODULES = (langid, warc, substrings, lines, toxicity, chroma, ann, mixing, bpe)
+MODULES = (langid, warc, substrings, lines, jaccard, toxicity, chroma, ann, mixing, bpe)
 
 
 def queries() -> dict:
