@@ -172,6 +172,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         own = codec(path, pattern)
@@ -191,7 +192,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
                 rows[1].append(hashlib.sha256(coded.encode()).hexdigest())
                 rows[2].append(hashlib.sha256(b"".join(decoded)).hexdigest())
                 if ids:
-                    rows[3].append([int(x) for x in numbers])
+                    rows[3].append(np.fromstring(coded, np.int32, sep=",") if coded else np.zeros(0, np.int32))
             out = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import ann, bpe, chroma, jaccard, langid, lines, mixing, substrings, toxicity, warc
 
 MODULES = (langid, warc, substrings, lines, jaccard, toxicity, chroma, ann, mixing, bpe)
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+    sql = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

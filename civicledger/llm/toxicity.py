@@ -174,6 +174,21 @@ def score(docs: DataFrame, model: Model, cut_off: float = 0.7, keep=("doc_id",))
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: Model, cut_off: float = 0.7) -> DataFrame:
+    """Rows of `docs`, all columns, that score below `cut_off`."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                yield part.filter(pa.array([model.score(t) < cut_off for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, **how) -> Model:
     """Fit on the labelled rows outside the held-out fold. A doc_id with several labels counts as toxic if one says so."""
     known = labels.where((crc_mod(F.col("doc_id"), folds) != held) & F.col("toxic").isin(0, 1))
