@@ -84,3 +84,20 @@ def text_buffer(column):
     off = np.frombuffer(offsets, np.int64)[filled.offset : filled.offset + len(filled) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[off[0] : off[-1]], off - off[0]
+
+
+_POWERS: dict = {}
+FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+
+
+def power_table(n: int):
+    """FACTOR^i and FACTOR^-i modulo 2^64 for i < n, kept by each worker."""
+    import numpy as np
+
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", FACTOR), ("down", pow(FACTOR, -1, 1 << 64))):
+            out = np.ones(1, np.uint64)
+            while len(out) < max(n, 1 << 20):
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+            _POWERS[name] = out
+    return _POWERS["up"], _POWERS["down"]

@@ -24,7 +24,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_batches, text_buffer
+from .common import cut, power_table, table, text_batches, text_buffer
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -32,8 +32,7 @@ COUNTERS = 1 << 22
 REFERENCES = 32
 CHUNKS = 64
 PIVOTS = (1, 8, 64, 512)
-_FACTOR, _BLOCK = 0x9E3779B97F4A7C15 | 1, 1 << 20
-_powers: dict = {}
+_BLOCK = 1 << 20
 
 
 def _mix(x):
@@ -44,20 +43,6 @@ def _mix(x):
     return x ^ (x >> np.uint64(32))
 
 
-def _power_table(n: int):
-    """factor^i and factor^-i modulo 2^64 for i < n."""
-    import numpy as np
-
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, _BLOCK)
-        for name, base in (("up", _FACTOR), ("down", pow(_FACTOR, -1, 1 << 64))):
-            out = np.ones(1, np.uint64)
-            while len(out) < size:
-                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-            _powers[name] = out[:size]
-    return _powers["up"], _powers["down"]
-
-
 def shingle_sets(raw, offsets, width: int = SHINGLE):
     """(document, hash) of the distinct shingles of concatenated texts, sorted by document and hash."""
     import numpy as np
@@ -72,7 +57,7 @@ def shingle_sets(raw, offsets, width: int = SHINGLE):
     space[[0x20, 9, 10, 11, 12, 13]] = True
     value = np.random.default_rng(31).integers(1, 2**63, 256, dtype=np.uint64)
     value[space] = 0
-    up, down = _power_table(len(raw) + 1)
+    up, down = power_table(len(raw) + 1)
     word = ~space[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]

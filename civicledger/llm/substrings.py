@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table, text_batches, text_buffer
+from .common import power_table, shared_path, table, text_batches, text_buffer
 
 #: A perfect difference set: each residue modulo 133 but 0 is the difference of one pair.
 COVER, MODULUS = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109), 133
@@ -35,44 +35,39 @@ RANGE_KEYS = 2_000_000
 SHARD = 32
 
 
-def _hashes(raw, *lengths: int):
-    """For each length the 64-bit hashes of all windows of that many bytes, by doubling."""
-    import numpy as np
+class Hashes:
+    """64-bit hashes of windows of a block: prefix sums of a polynomial over random values of byte pairs."""
+
+    def __init__(self, raw):
+        import numpy as np
+
+        value = np.random.default_rng(20).integers(1, 2**63, 1 << 16, dtype=np.uint64)
+        pairs = raw[:-1].astype(np.uint16) << np.uint16(8) | raw[1:]
+        up, self.down = power_table(len(raw) + 1)
+        self.sums = np.zeros(max(1, len(raw)), np.uint64)
+        np.cumsum(value[pairs] * up[: len(pairs)], out=self.sums[1:])
+
+    def of(self, at, length: int):
+        """Of the windows of `length` bytes (two at least) that start at `at`."""
+        import numpy as np
 
-    rng = np.random.default_rng(20)
-    byte, factor = rng.integers(1, 2**63, 256, dtype=np.uint64), 0x9E3779B97F4A7C15
-    h, width, out = byte[raw], 1, {n: (None, 0) for n in lengths}
-    top = max(lengths)
-    while True:
-        mult = np.uint64(pow(factor, width, 1 << 64) | 1)
-        for n, (sofar, done) in out.items():
-            if n & width:
-                if sofar is None:
-                    out[n] = (h, width)
-                else:
-                    m = max(0, len(raw) - done - width + 1)
-                    out[n] = (sofar[:m] * mult + h[done : done + m], done + width)
-        if width * 2 > top or len(h) <= width:
-            break
-        h = h[:-width] * mult + h[width:]
-        h ^= h >> np.uint64(29)
-        width *= 2
-    mix = np.uint64(0xD6E8FEB86659FD93)
-    result = []
-    for n in lengths:
-        x, done = out[n]
-        x = x[: max(0, len(raw) - n + 1)] if x is not None and done == n else np.zeros(0, np.uint64)
-        x = (x ^ (x >> np.uint64(32))) * mix
-        result.append(x ^ (x >> np.uint64(29)))
-    return result
+        x = (self.sums[at + length - 1] - self.sums[at]) * self.down[at]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+        return x ^ (x >> np.uint64(32))
 
 
 def _spread(n: int, starts, ends):
-    """Booleans of n places, true in any of the intervals [start, end)."""
+    """Booleans of n places, true in any of the intervals [start, end); both ascend."""
     import numpy as np
 
-    mark = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(ends, minlength=n + 1)[: n + 1]
-    return np.cumsum(mark)[:n] > 0
+    mark = np.zeros(n + 1, np.int8)
+    if len(starts):
+        new = np.ones(len(starts), bool)
+        new[1:] = starts[1:] > ends[:-1]
+        mark[starts[new]] = 1
+        mark[ends[np.append(new[1:], True)]] = -1
+    return np.cumsum(mark, dtype=np.int8)[:n].view(bool)
 
 
 class Keys:
@@ -81,12 +76,12 @@ class Keys:
     def __init__(self, hashes, ranges: int, short: bool):
         import numpy as np
 
-        part = ((hashes >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
-        low = (hashes & np.uint64(0xFFFFFFFF)) if short else hashes
-        order = np.lexsort((low, part))
-        p, k = part[order], low[order]
+        part = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)  # ascends with the hash
+        low = (part << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)) if short else hashes
+        order = np.argsort(low)
+        p, k = part[order].astype(np.int64), low[order]
         new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+        new[1:] = k[1:] != k[:-1]
         self.place = np.empty(len(k), np.int64)  # of each input, its key's number
         self.place[order] = np.cumsum(new) - 1
         self.part, self.key = p[new], k[new].astype(np.uint32 if short else np.uint64)
@@ -96,8 +91,10 @@ class Keys:
         """(range, block, keys, flags) for each range that has keys."""
         import numpy as np
 
-        cuts = np.flatnonzero(np.r_[True, self.part[1:] != self.part[:-1]]) if len(self.part) else np.zeros(0, np.int64)
-        for a, b in zip(cuts, np.r_[cuts[1:], len(self.part)].astype(np.int64), strict=True):
+        if not len(self.part):
+            return
+        cuts = np.flatnonzero(np.r_[True, self.part[1:] != self.part[:-1]])
+        for a, b in zip(cuts, np.r_[cuts[1:], len(self.part)], strict=True):
             yield int(self.part[a]), block, self.key[a:b].tobytes(), np.packbits(flags[a:b]).tobytes()
 
     def answers(self, bits: dict[int, bytes]):
@@ -126,17 +123,17 @@ class Block:
         cover = np.zeros(MODULUS, bool)
         cover[list(COVER)] = True
         self.sample = np.flatnonzero(cover[self.at % MODULUS] & (self.rest >= self.tuple))
-        self.names, self.windows = _hashes(raw, self.tuple, least)
+        self.hashes = Hashes(raw)
 
     def step1(self):
-        keys = Keys(self.names[self.sample], self.ranges, True)
+        keys = Keys(self.hashes.of(self.sample, self.tuple), self.ranges, True)
         return keys, keys.many
 
     def step2(self, bits):
         names, _ = self.step1()
         self.repeated = self.sample[names.answers(bits[0])]
         self.deep = self.repeated[self.rest[self.repeated] >= self.least]
-        keys = Keys(self.windows[self.deep], self.ranges, False)
+        keys = Keys(self.hashes.of(self.deep, self.least), self.ranges, False)
         return keys, keys.many
 
     def step3(self, bits):
@@ -151,7 +148,7 @@ class Block:
         p = np.flatnonzero(near)
         p = p[covered[p + self.least] - covered[p] < self.least]
         reach = _spread(self.n, p, np.minimum(p + MODULUS, self.n))
-        keys = Keys(self.names[s], self.ranges, True)
+        keys = Keys(self.hashes.of(s, self.tuple), self.ranges, True)
         flags = np.zeros(len(keys.key), bool)
         flags[keys.place[reach[s]]] = True
         return keys, flags
@@ -163,7 +160,7 @@ class Block:
         marked = self.repeated[names.answers(bits[2])]
         reach = _spread(self.n, marked - np.minimum(MODULUS - 1, self.at[marked]), marked + 1)
         self.last = np.flatnonzero(reach & (self.rest >= self.least))
-        keys = Keys(self.windows[self.last], self.ranges, False)
+        keys = Keys(self.hashes.of(self.last, self.least), self.ranges, False)
         return keys, keys.many
 
     def removed(self, bits):
