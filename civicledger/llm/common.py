@@ -37,7 +37,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, whatever its rows are like.
+BATCH_BYTES = 8 << 20
+#: Rows that are broadcast at most; a larger side is shuffled instead.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` (narrow rows of a written table), marked for broadcast if a count shows that it's small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the session's Arrow batches are bounded, as its texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,14 +24,14 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, power_table, table, text_batches, text_buffer
+from .common import cut, power_table, small, table, text_batches, text_buffer
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
 COUNTERS = 1 << 22
 REFERENCES = 32
 CHUNKS = 64
-PIVOTS = (1, 8, 64, 512)
+PIVOTS = (1, 64, 1024)
 _BLOCK = 1 << 20
 
 
@@ -175,40 +175,54 @@ def _cells(docs: DataFrame, levels) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "cell bigint, cls bigint, n int")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(cls, elements): the sorted shingles of each document, as bytes."""
+def _own_texts(texts: DataFrame) -> DataFrame:
+    """Rows of (cls, text) whose text is of that class."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in text_batches(batches, _BLOCK):
-            raw, off = text_buffer(batch.column(1))
-            doc, sh = shingle_sets(raw, off)
+            doc, sh = shingle_sets(*text_buffer(batch.column(1)))
             n, at = _spans(doc, batch.num_rows)
-            own = [sh[a : a + k].tobytes() for a, k in zip(at, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["cls", "elements"])
+            own = [k > 0 and _class_id(sh[a : a + k]) == c for a, k, c in zip(at, n, batch.column(0).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(own, pa.bool_()))
 
-    return docs.select("cls", F.col("text").cast("string")).mapInArrow(run, "cls bigint, elements binary")
+    return texts.mapInArrow(run, "cls bigint, text string")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of (a, b) whose sets link, by whole intersections."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of (a, b) whose whole sets link; texts (cls, text) travel, being smaller than their sets."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= PERCENT * (len(x) + len(y) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def sets(column):
+            """(number of each row's text, sets of the distinct texts)"""
+            coded = pa.concat_arrays([column]).dictionary_encode()
+            doc, sh = shingle_sets(*text_buffer(coded.dictionary))
+            n, at = _spans(doc, len(coded.dictionary))
+            return coded.indices.to_numpy(), [sh[s : s + k] for s, k in zip(at, n, strict=True)]
 
-    one = pairs.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b")
-    two = one.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+        for batch in batches:
+            ends = np.cumsum(np.asarray(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3)))).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 2 * _BLOCK, side="right")))
+                part, start = batch.slice(start, stop - start), stop
+                (i, x), (j, y) = sets(part.column(2)), sets(part.column(3))
+                keep = []
+                for p, q in zip(i, j, strict=True):
+                    same = len(np.intersect1d(x[p], y[q], assume_unique=True))
+                    keep.append(100 * same >= PERCENT * (len(x[p]) + len(y[q]) - same))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    # where the pairs are few enough to be broadcast, only texts that occur in one are moved
+    pairs = small(pairs)
+    firsts = texts.select(F.col("cls").alias("a"), F.col("text").alias("x")).join(pairs.select("a"), "a", "left_semi")
+    both = texts.select(F.col("cls").alias("b"), F.col("text").alias("y")).join(pairs, "b").join(firsts, "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _pair_up(members: DataFrame, at: int, pivots: int, labels: DataFrame | None) -> DataFrame:
@@ -242,8 +256,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lonely = (F.min("cls").over(whole)) == (F.max("cls").over(whole))
     members = cut(cells.withColumn("alone", lonely).where("not alone").select("cell", "cls", "n").distinct(), "jaccard-cells")
     ids = members.select("cls").distinct()
+    # a repeated id may bring a class several texts, others' among them
+    repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
     about = cut(classes.join(ids, "cls", "left_semi"), "jaccard-about")
-    edges = labels = sets = None
+    wanted = small(about.select("cls", F.col("rep").alias("_rep")))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cls", "text")
+    texts = cut(_own_texts(texts).dropDuplicates(["cls"]) if repeated else texts, "jaccard-texts")
+    edges = labels = None
     at = turn = 0
     while True:
         pivots = PIVOTS[min(turn, len(PIVOTS) - 1)]
@@ -253,11 +272,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
         pairs = pairs.where(apart * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT)).select("a", "b")
         pairs = cut(pairs, f"jaccard-pairs{turn}")
-        if sets is None:
-            wanted = about.select("cls", F.col("rep").alias("_rep"))
-            texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_rep")).select("cls", "text")
-            sets = cut(_sets(texts).dropDuplicates(["cls"]), "jaccard-sets")
-        found = cut(_verified(pairs, sets), f"jaccard-links{turn}")
+        found = cut(_verified(pairs, texts), f"jaccard-links{turn}")
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
         at += pivots
