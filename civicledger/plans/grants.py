@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import bn_prefix
-from .registry import view
+from .registry import VIEWS, view
 
 # Policy areas by words in the program's name, first match wins.
 BUCKETS = [
@@ -153,7 +153,7 @@ def purpose_cluster(t):
     return out.where("n_departments >= 2 AND n_programs >= 2").drop("_p")
 
 
-@view("cluster_by_theme", "purpose_cluster:s recipients:l grants:l total_value:d", "grants", None)
+@view("cluster_by_theme", "purpose_cluster:s recipients:l grants:l total_value:d", "grants", f"SELECT purpose_cluster, count(*) AS recipients, sum(grant_count) AS grants, sum(total_value) AS total_value FROM ({VIEWS['purpose_cluster'].body}) GROUP BY 1")
 def cluster_by_theme(t):
     return purpose_cluster(t).groupBy("purpose_cluster").agg(F.count("*").alias("recipients"), F.sum("grant_count").alias("grants"), F.sum("total_value").alias("total_value"))
 
@@ -176,9 +176,9 @@ def policy_gap(t, as_of: str = "2021-06-30", below: float = 50.0):
 
 
 @view("search_grants", "recipient_legal_name:s owner_org_title:s prog_name_en:s agreement_value:d agreement_start_date:s", "grants", """
-  SELECT * FROM grants WHERE contains(lower(prog_name_en), 'housing') AND recipient_province = 'CANADA' ORDER BY agreement_value DESC, recipient_legal_name, agreement_start_date LIMIT 100""")
-def search_grants(t, program: str = "housing", province: str = "CANADA", limit: int = 100):
-    rows = t["grants"].where(F.contains(F.lower("prog_name_en"), F.lit(program.lower())) & (F.col("recipient_province") == province))
+  SELECT * FROM grants WHERE contains(lower(prog_name_en), 'housing') AND recipient_type = 'G' ORDER BY agreement_value DESC, recipient_legal_name, agreement_start_date LIMIT 100""")
+def search_grants(t, program: str = "housing", kind: str = "G", limit: int = 100):
+    rows = t["grants"].where(F.contains(F.lower("prog_name_en"), F.lit(program.lower())) & (F.col("recipient_type") == kind))
     return rows.orderBy(F.desc_nulls_last("agreement_value"), "recipient_legal_name", "agreement_start_date").limit(min(limit, 100))
 
 
