@@ -15,10 +15,10 @@ def components(edges: DataFrame) -> DataFrame:
     are mapped to roots, and what isn't a loop goes round again. Each round at least halves the roots that have
     edges left.
     """
-    spark = edges.sparkSession
     pair = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = cut(pair, "cc-edges")
-    labels = None
+    ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+    labels = ends.withColumn("comp", F.col("node"))
     while not left.isEmpty():
         tree = cut(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "cc-tree")
         while True:
@@ -27,17 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
             tree = jumped.select("node", "up")
             if jumped.where("moved").isEmpty():
                 break
-        # a tree's root is nobody's node here; it stands for itself
-        all_nodes = tree.select("node", F.col("up").alias("comp")).union(tree.select(F.col("up").alias("node"), F.col("up").alias("comp"))).distinct()
-        if labels is None:
-            labels = all_nodes
-        else:
-            step = tree.select(F.col("node").alias("comp"), "up")
-            labels = labels.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
-        labels = cut(labels, "cc-labels")
+        # roots, and nodes that hooked onto nothing in this round, stand for themselves
+        step = tree.select(F.col("node").alias("comp"), "up")
+        labels = cut(labels.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-labels")
         roots = tree.select("node", "up")
         for end in ("a", "b"):
             left = left.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
         left = left.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         left = cut(left, "cc-edges")
-    return labels if labels is not None else spark.createDataFrame([], "node bigint, comp bigint")
+    return labels
