@@ -34,7 +34,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Delete the tables that cut() wrote for `frames`, which nothing that is still to run may read."""
+    for df in frames:
+        if df is not None and (path := getattr(df, "_table", None)):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, whatever its rows are like.

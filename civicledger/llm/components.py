@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,21 +18,24 @@ def components(edges: DataFrame) -> DataFrame:
     pair = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = cut(pair, "cc-edges")
     ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-    labels = ends.withColumn("comp", F.col("node"))
+    labels = cut(ends.withColumn("comp", F.col("node")), "cc-labels")
     while not left.isEmpty():
         tree = cut(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "cc-tree")
         while True:
             above = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
             jumped = cut(tree.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "cc-tree")
-            tree = jumped.select("node", "up")
+            drop(tree)
+            tree = jumped
             if jumped.where("moved").isEmpty():
                 break
         # roots, and nodes that hooked onto nothing in this round, stand for themselves
         step = tree.select(F.col("node").alias("comp"), "up")
-        labels = cut(labels.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-labels")
+        before, labels = labels, cut(labels.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-labels")
         roots = tree.select("node", "up")
+        was = left
         for end in ("a", "b"):
             left = left.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
         left = left.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         left = cut(left, "cc-edges")
+        drop(before, was, tree)
     return labels

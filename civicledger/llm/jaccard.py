@@ -20,18 +20,19 @@ of near copies one round of pivot pairs settles nearly all: no group is ever pai
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, power_table, small, table, text_batches, text_buffer
+from .common import cut, drop, power_table, small, table, text_batches, text_buffer
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
 COUNTERS = 1 << 22
 REFERENCES = 32
 CHUNKS = 64
-PIVOTS = (1, 64, 1024)
+PIVOTS = (1, 8, 32, 128)
 _BLOCK = 1 << 20
 
 
@@ -225,16 +226,22 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _pair_up(members: DataFrame, at: int, pivots: int, labels: DataFrame | None) -> DataFrame:
-    """(a, b) of the cells' next pivots and the members after them that are in other components and of fitting size."""
-    near = F.col("n") * PERCENT <= F.col("p.n") * 100  # sizes ascend within a cell
+def _pair_up(members: DataFrame, at: int, pivots: int) -> DataFrame:
+    """(a, b) of the cells' next pivots and the members after them that are in other components and of fitting size.
+
+    A cell's pivots come to its members as one array; members that meet the same pivots in many cells, as near
+    copies do, are made one row before the arrays are opened.
+    """
+    whole = Window.partitionBy("cell")
+    mine = F.struct("n", "cls", "comp", "r")
     if pivots == 1:
-        first = Window.partitionBy("cell").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        m = members.withColumn("p", F.first(F.struct("cls", "n")).over(first))
+        chosen = F.array(F.first(mine).over(whole.orderBy("r")))
     else:
-        p = members.where(F.col("r").between(at + 1, at + pivots)).select("cell", F.struct("cls", "n", "comp", "r").alias("p"))
-        m = members.where(F.col("r") > at + 1).join(p, "cell").where((F.col("r") > F.col("p.r")) & (F.col("comp") != F.col("p.comp")))
-    return m.where(near & (F.col("cls") != F.col("p.cls"))).select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
+        chosen = F.collect_list(F.when(F.col("r").between(at + 1, at + pivots), mine)).over(whole)
+    # sizes ascend within a cell, so that a pivot is the smaller set
+    fits = lambda p: (p["r"] < F.col("r")) & (p["comp"] != F.col("comp")) & (F.col("n") * PERCENT <= p["n"] * 100)
+    met = members.withColumn("p", F.transform(F.filter(chosen, fits), lambda p: p["cls"])).where(F.size("p") > 0)
+    return met.select("cls", "p").distinct().select(F.explode("p").alias("a"), F.col("cls").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -254,7 +261,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     cells = _cells(docs, levels)
     whole = Window.partitionBy("cell")
     lonely = (F.min("cls").over(whole)) == (F.max("cls").over(whole))
-    members = cut(cells.withColumn("alone", lonely).where("not alone").select("cell", "cls", "n").distinct(), "jaccard-cells")
+    shared = cells.withColumn("alone", lonely).where("not alone").select("cell", "cls", "n").distinct()
+    order = whole.orderBy("n", "cls")
+    members = cut(shared.withColumns({"comp": F.col("cls"), "r": F.row_number().over(order)}), "jaccard-cells")
     ids = members.select("cls").distinct()
     # a repeated id may bring a class several texts, others' among them
     repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -262,33 +271,35 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     wanted = small(about.select("cls", F.col("rep").alias("_rep")))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cls", "text")
     texts = cut(_own_texts(texts).dropDuplicates(["cls"]) if repeated else texts, "jaccard-texts")
-    edges = labels = None
+    labels, links = None, []
     at = turn = 0
     while True:
         pivots = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        pairs = _pair_up(members, at, pivots, labels)
+        pairs = _pair_up(members, at, pivots)
         side = lambda name: about.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("refs").alias(f"r{name}"))
         pairs = pairs.join(side("a"), "a").join(side("b"), "b")
         apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
         pairs = pairs.where(apart * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT)).select("a", "b")
         pairs = cut(pairs, f"jaccard-pairs{turn}")
         found = cut(_verified(pairs, texts), f"jaccard-links{turn}")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+        drop(pairs, labels)
+        links.append(found)
+        labels = components(reduce(DataFrame.union, links))
         at += pivots
         turn += 1
         # cells that lie within one component are done; so are those that have had all members as pivots
-        m = members.drop("comp", "r").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        m = members.drop("comp").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         m = m.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).where("lo != hi").drop("lo", "hi")
-        m = m.withColumn("r", F.row_number().over(whole.orderBy("n", "cls")))
         m = m.withColumn("size", F.max("r").over(whole)).where(F.col("size") > at + 1).drop("size")
-        members = cut(m, f"jaccard-cells{turn}")
+        before, members = members, cut(m, f"jaccard-cells{turn}")
+        drop(before)
         if members.isEmpty():
             break
     full = known.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     full = cut(full.select("doc_id", "n", "cls", "comp"), "jaccard-labelled")
     least = full.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     least = cut(least, "jaccard-least")
+    drop(described, classes, about, texts, labels, members, *links)
     out = full.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
 

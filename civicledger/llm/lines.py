@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 
 GRAM, WINDOW = 2, 2
 
@@ -45,7 +45,9 @@ def _later_windows(docs: DataFrame, k: int, w: int) -> DataFrame:
     firsts = windows.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("run", "first")
     firsts = cut(firsts, "line-firsts")
     later = windows.join(firsts, "run").where(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
+    out = cut(later.groupBy("doc_id").agg(F.collect_set("s").alias("starts")), "line-later")
+    drop(marks, common, windows, firsts)
+    return out
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -59,18 +61,17 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     """
     t = window + gram - 1
     later = _later_windows(docs.select("doc_id", "text"), gram, window).withColumnRenamed("doc_id", "_later_id")
-    rows = docs.join(later, F.col("doc_id").eqNullSafe(F.col("_later_id")), "left")
-    lines = F.split("text", "\n")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name can clash
+    rows = row.join(later, F.col("_row.doc_id").eqNullSafe(F.col("_later_id")), "left")
+    rows = rows.withColumn("_lines", F.split("_row.text", "\n"))
     gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (t - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
-    text = F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n")
     changed = F.col("starts").isNotNull()
-    rows = rows.withColumn("_lines", lines).withColumn("_text", F.when(changed, text).otherwise(F.col("text")))
-    rows = rows.withColumn("_kept", F.when(changed, F.size(kept)).otherwise(F.size("_lines")))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    removed = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines") - F.col("_kept")).cast("long")
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return rows.select(*[F.col(f"`{c}`") for c in own], F.col("_text").alias("text"), n.alias("n_lines"), removed.alias("n_removed"))
+    text = F.when(changed, F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n")).otherwise(F.col("_row.text"))
+    n = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    removed = F.when(changed, F.size("_lines") - F.size(kept)).otherwise(0).cast("long")
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return rows.select(*own, text.alias("text"), n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

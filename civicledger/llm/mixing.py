@@ -105,9 +105,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of `docs`, all their columns, each as often as the mix takes it (0 to 2 times)."""
     chosen = mix(docs, **how).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     chosen = chosen.withColumnRenamed("doc_id", "_mix_id")
-    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name can clash
+    rows = row.join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_mix_id")))
     rows = rows.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

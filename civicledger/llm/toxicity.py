@@ -1,9 +1,9 @@
 """Counterfactual-regularised toxicity classifier.
 
-A logistic model over words and word beginnings. For every training text that names a group of people, a twin
-is made in which the group terms are swapped for others; beside the log loss, training pays for the squared
-difference between the scores of a text and its twin. Terms that merely name a group so get no weight of their
-own, and neutral mentions aren't flagged.
+A logistic model over words and word beginnings. For every training text that names a group of people, two twins
+are made: one in which the group terms are swapped for others, one without them. Beside the log loss, training
+pays for the squared differences between the scores of a text and its twins. Terms that merely name a group so
+get no weight of their own, and neutral mentions aren't flagged.
 
 Learning reads a bounded sample of labelled rows (`sample` of them for each label, the first by hash); feature
 counts are summed by Spark, and only the chosen features of the sampled rows come to the driver.
@@ -94,7 +94,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(labelled: DataFrame, sample: int = 6000, most: int = 3000, balance: float = 2.0, ridge: float = 3e-5, steps: int = 800) -> Model:
+def fit(labelled: DataFrame, sample: int = 6000, most: int = 3000, balance: float = 2.0, ridge: float = 1e-5, steps: int = 1000) -> Model:
     """A model from (doc_id, text, toxic 0/1): `sample` rows of label 1 and twice as many of label 0 at most.
 
     `balance` weighs the penalty on the difference between a text and its counterfactual twin. Without a row of
@@ -123,15 +123,17 @@ def fit(labelled: DataFrame, sample: int = 6000, most: int = 3000, balance: floa
         import pyarrow as pa
 
         for batch in text_batches(batches):
-            own, twin = [], []
+            own, twin, bare = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 own.append(sorted(index[f] for f in features(words) if f in index))
-                twin.append(sorted(index[f] for f in features({SWAP.get(w, w) for w in words}) if f in index) if words & SWAP.keys() else own[-1])
+                named = not words.isdisjoint(SWAP)
+                twin.append(sorted(index[f] for f in features({SWAP.get(w, w) for w in words}) if f in index) if named else own[-1])
+                bare.append(sorted(index[f] for f in features(words - SWAP.keys()) if f in index) if named else own[-1])
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, kind), pa.array(twin, kind)], ["toxic", "own", "twin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x in (own, twin, bare))], ["toxic", "own", "twin", "bare"])
 
-    got = rows.mapInArrow(sparse, "toxic int, own array<int>, twin array<int>").toPandas()
+    got = rows.mapInArrow(sparse, "toxic int, own array<int>, twin array<int>, bare array<int>").toPandas()
     got["key"] = [tuple(x) for x in got["own"]]
     got = got.sort_values(["key", "toxic"], kind="stable")  # the order of tasks must not matter
     y = got["toxic"].to_numpy(float)
@@ -140,18 +142,29 @@ def fit(labelled: DataFrame, sample: int = 6000, most: int = 3000, balance: floa
         lists = list(lists)
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
 
-    (r1, c1), (r2, c2) = flat(got["own"]), flat(got["twin"])
+    r1, c1 = flat(got["own"])
+    # only texts that name a group have twins of their own; for the others the penalty is nothing
+    other = np.flatnonzero([a != tuple(b) or a != tuple(c) for a, b, c in zip(got["key"], got["twin"], got["bare"], strict=True)])
+    twins = [flat(got[name].iloc[other]) for name in ("twin", "bare")]
     n, k = len(y), len(names)
     share = np.where(y > 0, n / (2 * y.sum()), n / (2 * (n - y.sum())))  # both labels weigh the same
     w, b = np.zeros(k), 0.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
+
+    def chance(z):
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
     for step in range(1, steps + 1):  # Adam on log loss + balance * (score - twin's score)^2 + ridge * |w|^2
-        z1, z2 = np.bincount(r1, w[c1], n) + b, np.bincount(r2, w[c2], n) + b
-        p1, p2 = 1 / (1 + np.exp(-np.clip(z1, -40, 40))), 1 / (1 + np.exp(-np.clip(z2, -40, 40)))
-        gap = p1 - p2
-        g1, g2 = ((p1 - y) * share + 2 * balance * gap * p1 * (1 - p1)) / n, -2 * balance * gap * p2 * (1 - p2) / n
-        g = np.bincount(c1, g1[r1], k) + np.bincount(c2, g2[r2], k) + 2 * ridge * w
-        g = np.append(g, g1.sum() + g2.sum())
+        p1 = chance(np.bincount(r1, w[c1], n) + b)
+        g1 = (p1 - y) * share / n
+        g, gb = 2 * ridge * w, 0.0
+        for r2, c2 in twins if len(other) else ():
+            p2 = chance(np.bincount(r2, w[c2], len(other)) + b)
+            gap = 2 * balance * (p1[other] - p2) / n
+            g1[other] += gap * p1[other] * (1 - p1[other])
+            g2 = -gap * p2 * (1 - p2)
+            g, gb = g + np.bincount(c2, g2[r2], k), gb + g2.sum()
+        g = np.append(g + np.bincount(c1, g1[r1], k), gb + g1.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         d = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - d[:-1], b - d[-1]
