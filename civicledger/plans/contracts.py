@@ -15,7 +15,6 @@ from .registry import view
 COMPETITIVE = ("TC", "TO", "AC", "OB")
 FIRST_DAY, LAST_DAY = "2004-01-01", "2026-12-31"
 THRESHOLDS = [(25000.0, "~$25K"), (40000.0, "~$40K"), (400000.0, "~$400K")]
-_IN_RANGE = F.col("contract_date").between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))
 _DAYS = f"contract_date BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}'"
 
 
@@ -86,7 +85,7 @@ def contract_history(t):
 
     status_transitions lists the procedures seen, by code; status_path lists them as they came, repeats dropped.
     """
-    rows = t["contracts"].where(_IN_RANGE).withColumn("contract_key", contract_key())
+    rows = t["contracts"].where(_DAYS).withColumn("contract_key", contract_key())
     early = F.struct("contract_date", "effective_value", "solicitation_procedure")
     seen = F.array_sort(F.collect_set("solicitation_procedure"))
     path = F.transform(F.array_sort(F.collect_set(F.struct("contract_date", "solicitation_procedure"))), lambda x: x["solicitation_procedure"])
@@ -120,7 +119,7 @@ def threshold_splitting(t, least: int = 3, months: int = 12):
 
     Thresholds are an inline list, so a contract's are found in the scan; the year is a RANGE frame.
     """
-    near = reduce(DataFrame.unionByName, [t["contracts"].where(_IN_RANGE & F.col("original_value").between(thr * 0.8, thr)).withColumns({"thr": F.lit(thr), "label": F.lit(label)}) for thr, label in THRESHOLDS])
+    near = reduce(DataFrame.unionByName, [t["contracts"].where(_DAYS).where(F.col("original_value").between(thr * 0.8, thr)).withColumns({"thr": F.lit(thr), "label": F.lit(label)}) for thr, label in THRESHOLDS])
     near = near.where("normalized_vendor IS NOT NULL AND owner_org_title IS NOT NULL").select("normalized_vendor", "owner_org_title", "label", "thr", "contract_date", "original_value")
     w = rel.rolling_forward(near, ["normalized_vendor", "owner_org_title", "label", "thr"], "contract_date", "original_value", months)
     w = w.where(F.col("rows_in_window") >= least).withColumnsRenamed({"contract_date": "window_start", "rows_in_window": "contracts_in_window", "sum_in_window": "total_in_window"})
@@ -149,7 +148,7 @@ def same_vendor_followon(t, months: int = 24):
   FROM contracts WHERE {_DAYS} AND effective_value > 0 GROUP BY GROUPING SETS ((1, commodity_type), (1))""".replace("((1, commodity_type), (1))", "((year(contract_date), commodity_type), (year(contract_date)))"))
 def contract_yearly(t):
     """Counts, value, vendors and departments by year and category, and by year over all categories."""
-    rows = _spent(t["contracts"]).where(_IN_RANGE).withColumn("fiscal_year", F.year("contract_date"))
+    rows = _spent(t["contracts"]).where(_DAYS).withColumn("fiscal_year", F.year("contract_date"))
 
     def add_up(df, by):
         return df.groupBy(*by).agg(F.count("*").alias("contract_count"), F.sum("effective_value").alias("total_value"), F.count_distinct("normalized_vendor").alias("unique_vendors"), F.count_distinct("owner_org_title").alias("distinct_departments"))
@@ -170,7 +169,7 @@ _SHARES = f"""SELECT year(contract_date) AS fiscal_year, commodity_type, normali
     WINDOW w AS (PARTITION BY commodity_type ORDER BY fiscal_year)) WHERE q0 IS NOT NULL""")
 def contract_growth_decomposition(t):
     """Change of spend from year to year by category: Bennet's volume and unit-cost parts, and the change of HHI."""
-    rows = _spent(t["contracts"]).where(_IN_RANGE & (F.col("commodity_type") != "")).withColumn("fiscal_year", F.year("contract_date"))
+    rows = _spent(t["contracts"]).where(_DAYS).where((F.col("commodity_type") != "")).withColumn("fiscal_year", F.year("contract_date"))
     by = ["fiscal_year", "commodity_type"]
     shares = rows.groupBy(*by, "normalized_vendor").agg(F.sum("effective_value").alias("_v"), F.count("*").alias("_n"))
     year = shares.groupBy(*by).agg(F.sum("_v").alias("total_value"), F.sum("_n").cast("double").alias("q")).join(rel.hhi(shares, by, "_v"), by)
@@ -197,7 +196,7 @@ def contract_bucket_yearly(t, buckets: int = 30):
 
     The scan is summed once, to vendors; top pairs, totals and shares are all taken from that.
     """
-    rows = _spent(t["contracts"]).where(_IN_RANGE & F.col("commodity_type").isin("S", "G", "C") & (F.col("owner_org_title") != "")).withColumn("fiscal_year", F.year("contract_date"))
+    rows = _spent(t["contracts"]).where(_DAYS).where(F.col("commodity_type").isin("S", "G", "C") & (F.col("owner_org_title") != "")).withColumn("fiscal_year", F.year("contract_date"))
     pair, by = ["owner_org_title", "commodity_type"], ["fiscal_year", "owner_org_title", "commodity_type"]
     shares = rows.groupBy(*by, "normalized_vendor").agg(F.sum("effective_value").alias("_v"), F.count("*").alias("_n"))
     top = shares.groupBy(*pair).agg(F.sum("_v").alias("_t")).orderBy(F.desc("_t"), *pair).limit(buckets)
