@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import table, text_batches, worker_cache
 
 LEAF = 64  # bytes that are merged directly
 SPAN = 1 << 17  # characters of text that are split into pre-tokens directly
@@ -44,7 +44,7 @@ class Codec:
         self.ranks, self.bytes_of = ranks, {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.chunks: dict[str, str] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, str] = {}
 
     def leaf(self, raw: bytes) -> list[int]:
         """The merges in order of rank, leftmost first, by a heap over a linked list."""
@@ -100,16 +100,18 @@ class Codec:
         return self.join(self.piece(raw[:half]), self.piece(raw[half:]))
 
     def chunk(self, text: str) -> str:
-        """The ids of a chunk's pre-tokens, each after a comma."""
-        out = []
-        for p in self.pattern.findall(text):
+        """The ids of a chunk's pre-tokens, each after a comma. A chunk that is one pre-token is left to encode() to keep."""
+        parts, out = self.pattern.findall(text), []
+        for p in parts:
             ids = self.pieces.get(p)
             if ids is None:
-                ids = self.pieces[p] = self.piece(p.encode())
-                if len(self.pieces) > CACHE or len(p) > 256:
-                    self.pieces.clear()
-            out += ids
-        return "".join([f",{i}" for i in out])
+                ids = "".join([f",{i}" for i in self.piece(p.encode())])
+                if len(parts) > 1 and len(p) <= 64:
+                    if len(self.pieces) > CACHE // 4:
+                        self.pieces.clear()
+                    self.pieces[p] = ids
+            out.append(ids)
+        return "".join(out)
 
     def split(self, text: str) -> list[str]:
         """The text's chunks; of a long text by halves, joined at a boundary that both sides share."""
@@ -150,14 +152,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-#: One codec for each worker process and rank file.
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    """The worker process's codec for a rank file, with what it remembers of chunks."""
+    kept = worker_cache("bpe")
+    if (path, pattern) not in kept:
+        kept[path, pattern] = Codec(load_ranks(path), pattern)
+    return kept[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:

@@ -110,7 +110,16 @@ def text_buffer(column):
     return raw[off[0] : off[-1]], off - off[0]
 
 
-_POWERS: dict = {}
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator; those of other operators are let go."""
+    for other in [x for x in _CACHES if x != owner]:
+        del _CACHES[other]
+    return _CACHES.setdefault(owner, {})
+
+
 FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
 
@@ -118,10 +127,11 @@ def power_table(n: int):
     """FACTOR^i and FACTOR^-i modulo 2^64 for i < n, kept by each worker."""
     import numpy as np
 
-    if len(_POWERS.get("up", ())) < n:
+    kept = worker_cache("powers")
+    if len(kept.get("up", ())) < n:
         for name, base in (("up", FACTOR), ("down", pow(FACTOR, -1, 1 << 64))):
             out = np.ones(1, np.uint64)
             while len(out) < max(n, 1 << 20):
                 out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-            _POWERS[name] = out
-    return _POWERS["up"], _POWERS["down"]
+            kept[name] = out
+    return kept["up"], kept["down"]

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, text_batches
+from .common import crc_mod, table, text_batches, worker_cache
 
 WORDS = re.compile(r"\w+")
 #: Group terms of the four languages, lower case; each is swapped for the one at the same distance in its list.
@@ -28,6 +28,7 @@ IDENTITY = {
 }
 SWAP = {w: terms[(i + 1) % len(terms)] for terms in IDENTITY.values() for i, w in enumerate(terms)}
 BEGINNINGS = (3, 4, 5)
+KNOWN_WORDS = 100_000  # distinct words that a scoring task remembers
 
 
 def features(words) -> set[str]:
@@ -48,6 +49,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        worker_cache("toxicity")
         counts: dict[str, list[int]] = {}
         for batch in text_batches(batches):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -85,7 +87,7 @@ class Model:
         for w in words_of(text):
             gist = known.get(w)
             if gist is None:
-                if len(known) > 400_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 gist = known[w] = self.gist(w)
             if gist:
@@ -179,6 +181,7 @@ def score(docs: DataFrame, model: Model, cut_off: float = 0.7, keep=("doc_id",))
     def run(batches):
         import pyarrow as pa
 
+        worker_cache("toxicity")
         for batch in text_batches(batches):
             s = [model.score(t) for t in batch.column(len(keep)).to_pylist()]
             out = [*(batch.column(i) for i in range(len(keep))), pa.array(s, pa.float64()), pa.array([int(x >= cut_off) for x in s], pa.int32())]
@@ -194,6 +197,7 @@ def drop_toxic(docs: DataFrame, model: Model, cut_off: float = 0.7) -> DataFrame
     def run(batches):
         import pyarrow as pa
 
+        worker_cache("toxicity")
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
