@@ -62,7 +62,7 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     t = window + gram - 1
     later = _later_windows(docs.select("doc_id", "text"), gram, window).withColumnRenamed("doc_id", "_later_id")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name can clash
-    rows = row.join(later, F.col("_row.doc_id").eqNullSafe(F.col("_later_id")), "left")
+    rows = row.join(later.hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("_later_id")), "left")
     rows = rows.withColumn("_lines", F.split("_row.text", "\n"))
     gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (t - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
