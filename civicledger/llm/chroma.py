@@ -6,8 +6,9 @@ coded bits: one packed 32-bit integer for each frame position. Recordings that s
 integers vote for time offsets; the histogram's top offset is checked by the share of differing bits over the
 whole overlap.
 
-Equal fingerprints are searched once, and every recording is aligned with an earlier one, the first holder of
-most of its integers; chains of such matches make a class. No group of recordings is paired with itself.
+Equal fingerprints are searched once. Every other recording votes with all earlier holders of its integers, and
+every pair of recordings and offset with enough votes is checked; what passes makes classes. Recordings that all
+share an integer are therefore all paired: pairs grow with the square of a key's holders, dealt out in parts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import io
 import wave
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -111,16 +112,20 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select("rec_id", "audio").mapInPandas(run, "rec_id bigint, n_frames bigint, fp array<int>")
 
 
-def align(prints: DataFrame, votes: int = 3, most_error: float = 0.35) -> DataFrame:
+#: Later holders of a key that one part of its pairs has, so that a common key isn't one task's work.
+SHARE = 64
+
+
+def align(prints: DataFrame, votes: int = 3, most_error: float = 0.35, share: int = SHARE) -> DataFrame:
     """rec_id, n_frames, copy_of, match_id, frame_offset, votes, bit_error, class_id: one row for each recording.
 
-    copy_of is the least rec_id with an equal fingerprint. Each pair of neighbouring integers votes for the
-    least recording that has it, at the offset between their places; a recording's match is what most pairs
-    vote for (`votes` at least; ties to the smaller id, then the smaller offset), if the bits over the whole
-    overlap differ by `most_error` at most. class_id is the least rec_id that matches and copies lead to. A
-    positive offset means that the match's frames come later in this recording. A recording and its key's first
-    holder are one vote, so a key that thousands share costs a row for each of them. Empty fingerprints are
-    copies of each other and match nothing; null ids take no part; repeated rows count as one.
+    copy_of is the least rec_id with an equal fingerprint. Each pair of neighbouring integers votes for every
+    earlier recording that has it, at the offset between their places; of the recordings and offsets with `votes`
+    at least whose bits over the whole overlap differ by `most_error` at most, a recording's match is the one with
+    most votes (ties to the smaller id, then the smaller offset). class_id is the least rec_id that copies and all
+    pairs that pass lead to, whether or not they are a match. A positive offset means that the match's frames come
+    later in this recording. Empty fingerprints are copies of each other and match nothing; null ids take no part;
+    repeated rows count as one.
     """
     rows = cut(prints.where("rec_id is not null").dropDuplicates(["rec_id"]), "chroma-prints")
     digest = F.sha2(F.array_join("fp", ",").cast("binary"), 256)
@@ -129,16 +134,20 @@ def align(prints: DataFrame, votes: int = 3, most_error: float = 0.35) -> DataFr
     reps = cut(rows.join(copies.select(F.col("copy_of").alias("rec_id")), "rec_id", "left_semi").where(F.size("fp") > 1), "chroma-reps")
     pairs = F.transform(F.sequence(F.lit(1), F.size("fp") - 1), lambda i: F.struct(F.shiftleft(F.element_at("fp", i).cast("long"), 32).bitwiseXOR(F.element_at("fp", i + 1).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), i.alias("at")))
     # a held tone repeats a pair: its first place stands for it
-    marks = reps.select("rec_id", F.explode(pairs).alias("m")).groupBy("rec_id", F.col("m.key").alias("key")).agg(F.min("m.at").alias("at"))
-    first = F.first(F.struct(F.col("rec_id").alias("id"), "at")).over(Window.partitionBy("key").orderBy("rec_id"))
-    hits = marks.withColumn("f", first).where(F.col("f.id") != F.col("rec_id"))
-    hits = hits.groupBy("rec_id", F.col("f.id").alias("match_id"), (F.col("at") - F.col("f.at")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
-    order = F.struct((-F.col("votes")).alias("v"), "match_id", "shift")
-    best = hits.groupBy("rec_id").agg(F.min_by(F.struct("match_id", "shift", "votes"), order).alias("b")).select("rec_id", "b.*")
-    best = best.join(reps.select("rec_id", F.col("fp").alias("_a")), "rec_id").join(reps.select(F.col("rec_id").alias("match_id"), F.col("fp").alias("_b")), "match_id")
-    best = best.withColumn("bit_error", bit_error(F.col("_a"), F.col("_b"), F.col("shift"))).where(F.col("bit_error") <= most_error)
-    best = cut(best.select(F.col("rec_id").alias("copy_of"), "match_id", F.col("shift").cast("int").alias("frame_offset"), "votes", "bit_error"), "chroma-matches")
-    classes = components(best.select(F.col("copy_of").alias("a"), F.col("match_id").alias("b"))).withColumnRenamed("node", "copy_of")
+    marks = cut(reps.select("rec_id", F.explode(pairs).alias("m")).groupBy("rec_id", F.col("m.key").alias("key")).agg(F.min("m.at").alias("at")), "chroma-marks")
+    shared = marks.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / share).alias("parts"))
+    marks = cut(marks.join(shared, "key"), "chroma-shared")
+    later = marks.withColumn("part", F.pmod(F.xxhash64("rec_id"), "parts"))
+    earlier = marks.select("key", F.col("rec_id").alias("match_id"), F.col("at").alias("match_at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    hits = later.join(earlier, ["key", "part"]).where("match_id < rec_id")
+    hits = hits.groupBy("rec_id", "match_id", (F.col("at") - F.col("match_at")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+    hits = cut(hits, "chroma-hits")
+    good = hits.join(reps.select("rec_id", F.col("fp").alias("_a")), "rec_id").join(reps.select(F.col("rec_id").alias("match_id"), F.col("fp").alias("_b")), "match_id")
+    good = good.withColumn("bit_error", bit_error(F.col("_a"), F.col("_b"), F.col("shift"))).where(F.col("bit_error") <= most_error)
+    good = cut(good.select("rec_id", "match_id", F.col("shift").cast("int").alias("frame_offset"), "votes", "bit_error"), "chroma-matches")
+    order = F.struct((-F.col("votes")).alias("v"), "match_id", "frame_offset")
+    best = good.groupBy(F.col("rec_id").alias("copy_of")).agg(F.min_by(F.struct("match_id", "frame_offset", "votes", "bit_error"), order).alias("b")).select("copy_of", "b.*")
+    classes = components(good.select(F.col("rec_id").alias("a"), F.col("match_id").alias("b"))).withColumnRenamed("node", "copy_of")
     least = classes.groupBy("comp").agg(F.min("copy_of").alias("class_id"))
     classes = classes.join(least, "comp").drop("comp")
     out = known.join(best, "copy_of", "left").join(classes, "copy_of", "left").withColumn("class_id", F.coalesce("class_id", "copy_of"))
@@ -149,7 +158,8 @@ def bit_error(a: Column, b: Column, shift: Column) -> Column:
     """Share of differing bits of two fingerprints where they overlap, b moved by `shift`."""
     start_a, start_b = F.greatest(shift, F.lit(0)) + 1, F.greatest(-shift, F.lit(0)) + 1
     n = F.least(F.size(a) - start_a + 1, F.size(b) - start_b + 1)
-    differ = F.zip_with(F.slice(a, start_a, n), F.slice(b, start_b, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    # bit_count widens to 64 bits, where a negative integer has 32 ones more
+    differ = F.zip_with(F.slice(a, start_a, n), F.slice(b, start_b, n), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     return F.aggregate(differ, F.lit(0).cast("long"), lambda s, x: s + x) / (n * 32)
 
 

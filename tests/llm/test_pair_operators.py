@@ -250,6 +250,42 @@ def test_chroma(spark):
     assert chroma.align(chroma.fingerprints(df.limit(0))).count() == 0
 
 
+def test_chroma_votes_for_every_holder(spark):
+    rng = np.random.default_rng(7)
+    base = [int(x) for x in rng.integers(-(2**31), 2**31, 40)]
+    junk = lambda n: [int(x) for x in rng.integers(-(2**31), 2**31, n)]
+    # 10 shares all its keys with 9, but the first holders of these are 1 to 8, with 2 pairs each: too few votes
+    parts = [(i, junk(20) + base[5 * (i - 1) : 5 * (i - 1) + 3] + junk(20)) for i in range(1, 9)]
+    worse = [x ^ 0x0F0F0F0F for x in base]
+    # 20 shares 10 pairs with 9 and 10, but their bits differ too much over the whole overlap
+    near = base[:6] + [x ^ 1 for x in base[6:]]
+    far = junk(30) + base[25:36] + junk(40)
+    rows = [*parts, (9, base), (10, [*base[:39], base[39] ^ 1]), (11, near), (20, far), (21, [*near[:25], *base[25:36], *near[36:]]), (30, worse)]
+    df = spark.createDataFrame([(i, len(fp), fp) for i, fp in rows], "rec_id long, n_frames long, fp array<int>")
+
+    def plain():
+        keys = {i: {k: n for n, k in reversed(list(enumerate(zip(fp, fp[1:]), 1)))} for i, fp in rows}
+        fps, found, links = dict(rows), {}, []
+        for a, b in [(a, b) for a in fps for b in fps if b < a]:
+            for shift, n in collections.Counter(keys[a][k] - keys[b][k] for k in keys[a].keys() & keys[b].keys()).items():
+                x, y = fps[a][max(shift, 0) :], fps[b][max(-shift, 0) :]
+                m = min(len(x), len(y))
+                error = sum(((p ^ q) & 0xFFFFFFFF).bit_count() for p, q in zip(x, y)) / (32 * m)
+                if n >= 3 and error <= 0.35:
+                    found[a] = min(found.get(a, (0,)), (-n, b, shift, error))
+                    links.append((a, b))
+        group = {i: i for i in fps}
+        for _ in fps:
+            for a, b in links:
+                group[a] = group[b] = min(group[a], group[b])
+        return {i: (*((found[i][1], found[i][2], -found[i][0]) if i in found else (None,) * 3), group[i]) for i in fps}
+
+    for more in ({}, {"share": 1}):
+        got = {r["rec_id"]: (r["match_id"], r["frame_offset"], r["votes"], r["class_id"]) for r in chroma.align(df, **more).collect()}
+        assert got == plain()
+    assert got[10][:3] == (9, 0, 38) and got[20] == (None, None, None, 9)
+
+
 def test_fingerprint_is_the_filters_by_definition():
     c = chroma.chroma(2000, np.random.default_rng(1).normal(size=6000).astype(np.float32))
     got = chroma.fingerprint(c)
