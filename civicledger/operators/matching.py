@@ -35,14 +35,47 @@ def match_entities(notices: DataFrame, entities: DataFrame, shortest: int = 4) -
     return by_bn.unionByName(named.withColumns({"method": F.lit("exact_name"), "confidence": F.lit(0.95)}))
 
 
-def nearest_by_blocks(left: DataFrame, right: DataFrame, least: float = 0.72) -> DataFrame:
+#: Rows of a packed chunk of vectors: a pair of chunks is one row of the join.
+CHUNK = 1024
+
+
+def nearest_by_blocks(left: DataFrame, right: DataFrame, least: float = 0.72, apart: bool = False, chunk: int = CHUNK) -> DataFrame:
     """For each left row (left_id, embedding, block) the most similar right row (right_id, embedding, block) of its block.
 
-    The block (a label, a first letter) keeps this an equi-join; ties go to the smaller right_id.
+    The block (a label, a first letter) keeps this an equi-join; ties (to 12 places) go to the smaller right_id. Rows
+    are packed into chunks of about `chunk` vectors and chunks are multiplied, so no row is made for a pair. With
+    `apart` a row isn't its own neighbour. Ids are bigint; vectors that are null, without length or not finite match nothing.
     """
-    pairs = left.withColumnRenamed("embedding", "_l").join(right.withColumnRenamed("embedding", "_r"), "block")
-    pairs = pairs.select("left_id", "right_id", cosine(F.col("_l"), F.col("_r")).alias("similarity")).where(F.col("similarity") >= least)
-    best = pairs.groupBy("left_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("right_id").alias("r"))).alias("m"))
-    return best.select("left_id", F.col("m.r").alias("right_id"), (-F.col("m.s")).alias("similarity"))
-
 
+    def packed(df, key):
+        n = df.groupBy("block").agg(F.ceil(F.count("*") / chunk).alias("_n"))
+        rows = df.join(n, "block").withColumn("_part", F.pmod(F.xxhash64(key), "_n"))
+        return rows.groupBy("block", "_part").agg(F.collect_list(F.struct(F.col(key).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias(f"_{key}")).drop("_part")
+
+    def multiply(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(rows):
+            rows = [(r["id"], r["v"]) for r in rows if r["v"] is not None and None not in r["v"]]
+            rows = [(i, v) for i, v in ((i, np.array(v, float)) for i, v in rows) if 0 < np.linalg.norm(v) < np.inf]
+            rows.sort(key=lambda r: r[0])
+            return np.array([i for i, _ in rows], np.int64), np.array([v / np.linalg.norm(v) for _, v in rows])
+
+        for batch in batches:
+            for one in range(batch.num_rows):
+                (a, x), (b, y) = (unit(batch.column(c)[one].as_py()) for c in (0, 1))
+                if not len(a) or not len(b):
+                    continue
+                s = np.round(x @ y.T, 12)
+                if apart:
+                    s[a[:, None] == b] = -np.inf
+                at = s.argmax(1)  # the first of equals, and ids ascend
+                most = s[np.arange(len(a)), at]
+                keep = most >= least
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[at[keep]]), pa.array(most[keep])], ["left_id", "right_id", "similarity"])
+
+    pairs = packed(left, "left_id").join(packed(right, "right_id"), "block").select("_left_id", "_right_id").repartition(left.sparkSession.sparkContext.defaultParallelism * 4)
+    found = pairs.mapInArrow(multiply, "left_id bigint, right_id bigint, similarity double")
+    best = found.groupBy("left_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("right_id").alias("r"))).alias("m"))
+    return best.select("left_id", F.col("m.r").alias("right_id"), (-F.col("m.s")).alias("similarity"))

@@ -129,12 +129,21 @@ def cosine_search(t):
   SELECT left_id, right_id, similarity FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
     FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 = 1) WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) = 1""")
 def nearest_in_block(t):
-    """A small set of queries against a small set of candidates: both are the feature's own choice of rows."""
+    """One row in ten against another one in ten, as its SQL has it: nearest_of_all_in_block leaves no row out."""
     e = _raw(t, "embeddings")
     one, two = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("left_id"), "embedding", F.col("label").alias("block")), e.where("vec_id % 10 = 1").select(F.col("vec_id").alias("right_id"), "embedding", F.col("label").alias("block"))
     return matching.nearest_by_blocks(one, two, 0.2)
 
 
+@view("nearest_of_all_in_block", "left_id:l right_id:l similarity:d", "", """
+  SELECT left_id, right_id, similarity FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS similarity
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) = 1""")
+def nearest_of_all_in_block(t):
+    """All rows of a block are candidates for all its other rows."""
+    e = _raw(t, "embeddings").select("vec_id", "embedding", F.col("label").alias("block"))
+    return matching.nearest_by_blocks(e.withColumnRenamed("vec_id", "left_id"), e.withColumnRenamed("vec_id", "right_id"), 0.2, apart=True)
+
+
 @view("table_profile", "field:s type:s role:s rows:l non_null:l distinct_values:l", "", """
   SELECT * FROM (VALUES ('c_custkey', 'number', 'identifier', (SELECT count(DISTINCT c_custkey) FROM customer)), ('c_name', 'string', 'identifier', (SELECT count(DISTINCT c_name) FROM customer)), ('c_nationkey', 'number', 'identifier', (SELECT count(DISTINCT c_nationkey) FROM customer)),
     ('c_acctbal', 'number', 'measure', (SELECT count(DISTINCT c_acctbal) FROM customer)), ('c_mktsegment', 'string', 'category', (SELECT count(DISTINCT c_mktsegment) FROM customer))) v(field, type, role, distinct_values), (SELECT count(*) AS rows, count(*) AS non_null FROM customer)""")

@@ -116,6 +116,29 @@ def test_paged_source(spark, tmp_path):
     assert sorted((r["id"], r["v"]) for r in df.collect()) == [("0", None), ("1", "x"), ("2", None), ("3", "x")]
 
 
+def test_nearest_by_blocks_is_brute_force(spark):
+    import numpy as np
+
+    from civicledger.operators import matching
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 8))
+    v[7], v[9] = v[3], 2 * v[3]
+    rows = [(i, x.tolist(), "ab"[i % 2]) for i, x in enumerate(v)] + [(60, None, "a"), (61, [0.0] * 8, "b")]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, block string")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 12)
+    want = {}
+    for i in range(60):
+        near = min((-s[i, j], j) for j in range(60) if j != i and j % 2 == i % 2)
+        if -near[0] >= 0.3:
+            want[i] = near[1]
+    for chunk in (1024, 7):
+        got = matching.nearest_by_blocks(df.withColumnRenamed("id", "left_id"), df.withColumnRenamed("id", "right_id"), 0.3, apart=True, chunk=chunk)
+        assert {r["left_id"]: r["right_id"] for r in got.collect()} == want
+    assert (want[3], want[7], want[9]) == (7, 3, 3)
+
+
 def test_retry_backs_off():
     waits, calls = [], []
 
