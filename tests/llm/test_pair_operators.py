@@ -220,6 +220,22 @@ def test_jaccard_repeated_ids(spark):
     assert {r["component_id"] for r in out} == {1} and len(out) == 5
 
 
+def test_short_runs_of_many_words(spark):
+    say = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    one, half, fifty = say(51, "a"), say(26, "b"), say(50, "c")
+    texts = ["x\n" + one, f"{half}\n{half}!", fifty, f"y\n{one}\nz", f"u\n{half}\n{half}!\nv", fifty, one, f"{half}\nw", f"{one}\n{one}", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(df).collect()}
+    want = dict(enumerate([(x, 0) for x in texts]))
+    want |= {3: ("y\nz", 1), 4: ("u\nv", 2), 6: ("", 1), 8: ("", 2)}
+    assert got == want
+    assert {r["n_removed"] for r in lines.dedup_lines(df, words=None).collect()} == {0}
+
+
+def test_passage_oracle(spark):
+    assert same_rows(spark, queries()["op4_passage_dedup"], oracle_sql()["op4_passage_dedup"])
+
+
 # -- chroma
 
 
