@@ -84,7 +84,7 @@ class PagedSource(DataSource):
     """A paged API as a table: `spark.read.format("paged").option("url", ..)`, a partition for each page.
 
     Options: url (a folder of offset-named JSON pages, or an http address that takes limit and offset), schema,
-    total, page (records a page), start (offset to go on from).
+    total (what the first page's answer states, if not given), page (records a page), start (offset to go on from).
     """
 
     @classmethod
@@ -103,7 +103,8 @@ class PagedReader(DataSourceReader):
         self.options, self.names = options, names
 
     def partitions(self) -> list[InputPartition]:
-        size, start, total = (int(self.options.get(k, d)) for k, d in (("page", 32000), ("start", 0), ("total", 32000)))
+        size, start = int(self.options.get("page", 32000)), int(self.options.get("start", 0))
+        total = int(self.options["total"]) if "total" in self.options else retry(lambda: stated_total(self.options["url"], start, size))
         return [InputPartition(o) for o in range(start, total, size)] or [InputPartition(start)]
 
     def read(self, partition) -> Iterator[tuple]:
@@ -113,7 +114,7 @@ class PagedReader(DataSourceReader):
             yield tuple(whole if n == "record" else None if r.get(n) in (None, "", "None") else str(r[n]) for n in self.names)
 
 
-def fetch_page(url: str, offset: int, limit: int) -> list[dict]:
+def fetch_answer(url: str, offset: int, limit: int) -> dict:
     if url.startswith(("http://", "https://")):
         from urllib.request import urlopen
 
@@ -121,4 +122,16 @@ def fetch_page(url: str, offset: int, limit: int) -> list[dict]:
             body = json.load(f)
     else:
         body = json.loads(Path(url, f"{offset}.json").read_text())
-    return body["result"]["records"] if "result" in body else body["records"]
+    return body["result"] if "result" in body else body
+
+
+def fetch_page(url: str, offset: int, limit: int) -> list[dict]:
+    return fetch_answer(url, offset, limit)["records"]
+
+
+def stated_total(url: str, offset: int, limit: int) -> int:
+    """The number of records of the whole resource, which a page's answer states; without it, pages would be missed."""
+    total = fetch_answer(url, offset, limit).get("total")
+    if total is None:
+        raise ValueError(f"{url} states no total; give the option total")
+    return int(total)

@@ -116,6 +116,20 @@ def test_paged_source(spark, tmp_path):
     assert sorted((r["id"], r["v"]) for r in df.collect()) == [("0", None), ("1", "x"), ("2", None), ("3", "x")]
 
 
+def test_paged_source_reads_the_total(spark, tmp_path):
+    for o in (0, 2, 4):
+        records = ", ".join('{"id": %d}' % i for i in range(o, min(5, o + 2)))
+        (tmp_path / f"{o}.json").write_text('{"result": {"total": 5, "records": [%s]}}' % records)
+    spark.dataSource.register(readers.PagedSource)
+    load = lambda at: spark.read.format("paged").option("url", str(at)).option("page", 2).option("schema", "id string").load()
+    assert sorted(r["id"] for r in load(tmp_path).collect()) == ["0", "1", "2", "3", "4"]
+    none = tmp_path / "none"
+    none.mkdir()
+    (none / "0.json").write_text('{"records": [{"id": 0}, {"id": 1}]}')
+    with pytest.raises(Exception, match="states no total"):
+        load(none).collect()
+
+
 def test_nearest_by_blocks_is_brute_force(spark):
     import numpy as np
 
