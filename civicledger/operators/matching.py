@@ -1,4 +1,7 @@
-"""Entity matching by number, by name and by vector, each taking only what the former left."""
+"""Entity matching by number and by name, each taking only what the former left, and nearest vectors by block.
+
+match_entities stops after the name: no table holds name embeddings that the vector step could match by.
+"""
 
 from __future__ import annotations
 
