@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding by tree reduction.
+"""Byte-level BPE: encoding by tree reduction, and decoding.
 
 Encoding is a monoid: a text is cut into halves, each is encoded by itself, and two neighbours are joined by
 encoding again a window around their boundary that grows until the tokens at its two ends are the ones that
@@ -6,7 +6,8 @@ were there before. A token sequence is the encoding of its bytes exactly when ea
 is the encoding of their concatenation; so once the window's outer tokens are unchanged, every pair outside
 it, inside it and across its ends is valid, and all tokens outside are final. The same holds one level up for
 the pre-token boundaries of the text: a match depends on nothing to its left, so the right half's matches are
-final from the first boundary that both tokenisations share. Decoding concatenates bytes up the tree.
+final from the first boundary that both tokenisations share. Decoding is flat: the bytes
+of all tokens in order, joined once.
 """
 
 from __future__ import annotations
