@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,29 +13,35 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every node that has a smaller neighbour hooks onto the smallest of them; jumps make all trees stars; edges
     are mapped to roots, and what isn't a loop goes round again. Each round at least halves the roots that have
-    edges left.
+    edges left. A node of very many edges is a group that is summed up before the shuffle (its least neighbour)
+    or the skewed side of a join by its own key.
     """
-    pair = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    left = cut(pair, "cc-edges")
-    ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-    labels = cut(ends.withColumn("comp", F.col("node")), "cc-labels")
-    while not left.isEmpty():
+    pair = lambda e: e.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left, labels = cut(pair(edges), "cc-edges"), None
+    while labels is None or not left.isEmpty():
         tree = cut(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "cc-tree")
         while True:
-            above = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = cut(tree.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "cc-tree")
+            above = small(tree).select(F.col("node").alias("up"), F.col("up").alias("top"))
+            once = tree.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+            # a second jump over the same table shows whether all are at their roots
+            twice = once.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+            jumped = cut(twice, "cc-tree")
             drop(tree)
-            tree = jumped
+            tree = jumped.select("node", "up")
+            tree._table = jumped._table
             if jumped.where("moved").isEmpty():
                 break
-        # roots, and nodes that hooked onto nothing in this round, stand for themselves
-        step = tree.select(F.col("node").alias("comp"), "up")
-        before, labels = labels, cut(labels.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-labels")
-        roots = tree.select("node", "up")
-        was = left
+        if labels is None:
+            ends = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+            labels = cut(ends.join(small(tree), "node", "left").select("node", F.coalesce("up", "node").alias("comp")), "cc-labels")
+        else:
+            step = small(tree).select(F.col("node").alias("comp"), "up")
+            before, labels = labels, cut(labels.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-labels")
+            drop(before)
+        was, root = left, small(tree)
         for end in ("a", "b"):
-            left = left.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-        left = left.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        left = cut(left, "cc-edges")
-        drop(before, was, tree)
+            left = left.join(root.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+        left = cut(pair(left), "cc-edges")
+        drop(was, tree)
+    drop(left)
     return labels

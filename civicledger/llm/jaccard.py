@@ -1,28 +1,30 @@
 """Exact n-gram Jaccard join as a metric-space join.
 
 Jaccard distance is a metric, but between unrelated texts it is 1, and so is the distance to any pivot that is
-a document: such pivots alone separate nothing. Two kinds of pivot do:
-
-* rare single shingles. A document lies in the cells of its rarest shingles, as many as leave no room for a
-  link outside (n - ceil(0.8 n) + 1 of n): two linked documents share a cell. Rareness is a count of all
-  shingles in a table of fixed size; any order gives the same links, this one keeps common passages from
-  making large cells.
-* 32 reference sets, the classes of a hash of shingles. Distances to them (symmetric differences) are counts,
-  and the triangle inequality on each, summed, bounds the distance of two documents from below: the windows
-  outside of which a pair needs no look.
-
-Cells are joined recursively. The least member of a cell is its pivot; pairs of pivot and member that pass the
-window are verified on whole sets; components are built; cells that lie within one component are done, and
-the others go on with their next pivots. Equal sets are one class from the start, and in a cell of thousands
-of near copies one round of pivot pairs settles nearly all: no group is ever paired with itself.
+a document: regions around such pivots hold everything. So there are two levels of pivots.
+
+* Regions: every shingle is a pivot, the set of it alone. A document is at distance 1 - 1/n from its own
+  shingles and at 1 from all others; its home is the rarest one, and as a boundary document it is replicated
+  into the regions of its next ones for as long as a link from there is possible, which are
+  n - ceil(0.8 n) + 1 regions in all. In a region, the place of the pivot in a document's order bounds what it
+  can share with others there, and so the sizes of its partners: the window outside of which nothing is paired.
+  Rareness is a count of all shingles in a table of fixed size; any order gives the same links. Where the
+  table is too full to tell a common shingle from the rest and a region grows large by that, the region's
+  shingle is put last in the order and the regions are formed anew.
+* Within a region, documents are pivots. The first is the one whose pivot comes earliest in its order, that is
+  the one with the least of its own beside what the region shares. Pairs of pivot and member that pass the
+  windows are verified on whole sets, and components are built. Members with a possible partner in another
+  component stay and go on with the next pivots, until there is none.
+
+Equal sets are one class from the start. A group of near copies is settled by its first pivot; it is never
+paired with itself.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop, power_table, small, table, text_batches, text_buffer
@@ -30,9 +32,13 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 80
 COUNTERS = 1 << 22
-REFERENCES = 32
 CHUNKS = 64
-PIVOTS = (1, 8, 32, 128)
+#: Rows beyond which a region is formed anew if the counters hid how common its shingle is.
+HEAVY = 1000
+#: Shingles that are put last at most in one turn (the most common ones first).
+DEMOTED = 1 << 20
+#: Pivots of a region in each turn after the first.
+PIVOTS = 32
 _BLOCK = 1 << 20
 
 
@@ -105,75 +111,117 @@ def _class_id(own) -> int:
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, cls, refs) for each document, and at each task's end its shingle counts (chunk, counts)."""
+    """A row (doc_id, n, cls) for each document, and at each task's end its shingle counts (chunk, counts)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        kinds, id_type, counts = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()], None, np.zeros(COUNTERS, np.uint32)
-        names = ["doc_id", "n", "cls", "refs", "chunk", "counts"]
+        kinds, id_type, counts = [pa.int64(), pa.int64(), pa.int32(), pa.binary()], None, np.zeros(COUNTERS, np.uint32)
+        names = ["doc_id", "n", "cls", "chunk", "counts"]
         for batch in text_batches(batches, _BLOCK):
             id_type = batch.column(0).type
             raw, off = text_buffer(batch.column(1))
             doc, sh = shingle_sets(raw, off)
             n, at = _spans(doc, batch.num_rows)
-            slots = (sh >> np.uint64(42)).astype(np.int64)
-            counts += np.bincount(slots, minlength=COUNTERS).astype(np.uint32)
-            refs = np.bincount(doc * REFERENCES + (sh & np.uint64(REFERENCES - 1)).astype(np.int64), minlength=batch.num_rows * REFERENCES).reshape(-1, REFERENCES)
+            counts += np.bincount(_slots(sh, COUNTERS), minlength=COUNTERS).astype(np.uint32)
             cls = [_class_id(sh[a : a + k]) if k else None for a, k in zip(at, n, strict=True)]
             none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip((n, cls, refs.tolist(), none, none), kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip((n, cls, none, none), kinds, strict=True))], names)
         if id_type is not None:
             size, none = COUNTERS // CHUNKS, [None] * CHUNKS
             low = np.minimum(counts, 65535).astype(np.uint16)
             parts = [low[i * size : (i + 1) * size].tobytes() for i in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(none, id_type), *(pa.array(x, k) for x, k in zip((none, none, none, range(CHUNKS), parts), kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(none, id_type), *(pa.array(x, k) for x, k in zip((none, none, range(CHUNKS), parts), kinds, strict=True))], names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n bigint, cls bigint, refs array<int>, chunk int, counts binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n bigint, cls bigint, chunk int, counts binary")
+
+
+def _slots(sh, counters: int):
+    """Which of the counters (a power of two) is each shingle's."""
+    import numpy as np
+
+    return (sh >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
 def _levels(described: DataFrame):
-    """How common each counter's shingles are, as a byte (16 steps for each doubling above 16): a table of fixed size."""
+    """How common each counter's shingles are, as a byte (8 steps for each doubling), and the mean count.
+
+    A table of fixed size: the counts of all tasks are added up chunk by chunk, as they come in, in the tasks.
+    """
     import numpy as np
 
-    def add(pdf):
+    def add(batches):
         import numpy as np
-        import pandas as pd
-
-        total = sum(np.frombuffer(x, np.uint16).astype(np.uint64) for x in pdf["counts"])
-        level = np.clip(16 * np.log2(np.maximum(total, 1)), 0, 255).astype(np.uint8)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "levels": [level.tobytes()]})
+        import pyarrow as pa
 
-    rows = described.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, levels binary").collect()
-    out = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint8)
-    for r in rows:  # CHUNKS rows, COUNTERS bytes in all
+        sums = {}
+        for batch in batches:
+            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = np.frombuffer(part.as_buffer(), np.uint16)
+                sums[chunk] = sums.get(chunk, 0) + counts.astype(np.uint64)
+        for chunk, total in sums.items():
+            level = np.clip(8 * np.log2(np.maximum(total, 1)), 0, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()]), pa.array([int(total.sum())])], ["chunk", "levels", "total"])
+
+    counts = described.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk")
+    out, total = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint8), 0
+    for r in counts.mapInArrow(add, "chunk int, levels binary, total bigint").collect():  # CHUNKS rows, COUNTERS bytes in all
         out[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
-    return out.ravel()
+        total += r["total"]
+    return out.ravel(), total / COUNTERS
 
 
-def _cells(docs: DataFrame, levels) -> DataFrame:
-    """(cell, cls, n): each document's class in the cells of its rarest shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def _cells(docs: DataFrame, levels, last) -> DataFrame:
+    """(cell, cls, n, i): each document's class in the regions of its rarest shingles, i of which are rarer than this."""
+    sc = docs.sparkSession.sparkContext
+    shared, common = sc.broadcast(levels), sc.broadcast(last)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        level_of = shared.value
+        level_of, last = shared.value, common.value
         for batch in text_batches(batches, _BLOCK):
             raw, off = text_buffer(batch.column(0))
             doc, sh = shingle_sets(raw, off)
             n, at = _spans(doc, batch.num_rows)
             cls = np.array([_class_id(sh[a : a + k]) if k else 0 for a, k in zip(at, n, strict=True)], np.int64)
-            order = np.lexsort((sh, level_of[(sh >> np.uint64(42)).astype(np.int64)], doc))
+            level = level_of[_slots(sh, len(level_of))].astype(np.int16)
+            if len(last):
+                level += 256 * (last[np.minimum(np.searchsorted(last, sh), len(last) - 1)] == sh)
+            order = np.lexsort((sh, level, doc))
             rank = np.arange(len(doc)) - at[doc]
             keep = rank < (n - (n * PERCENT + 99) // 100 + 1)[doc]
             d = doc[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(sh[order][keep].view(np.int64)), pa.array(cls[d]), pa.array(n[d].astype(np.int32))], ["cell", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sh[order][keep].view(np.int64)), pa.array(cls[d]), pa.array(n[d].astype(np.int32)), pa.array(rank[keep].astype(np.int32))], ["cell", "cls", "n", "i"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "cell bigint, cls bigint, n int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "cell bigint, cls bigint, n int, i int")
+
+
+def _regions(docs: DataFrame, described: DataFrame) -> DataFrame:
+    """(cell, cls, n, i, p, pn, pi): the members of the regions of two or more classes, with the region's first pivot p."""
+    import numpy as np
+
+    levels, mean = _levels(described)
+    last = np.zeros(0, np.uint64)
+    while True:
+        cells = cut(_cells(docs, levels, last), "jaccard-cells")
+        stats = cells.groupBy("cell").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("rows"), F.min(F.struct("i", "n", "cls")).alias("first")).where("lo != hi")
+        if 4 * mean <= HEAVY:
+            break
+        found = stats.where(F.col("rows") > HEAVY).orderBy(F.desc("rows"), "cell").select("cell").limit(DEMOTED).toArrow()
+        found = np.asarray(found.column(0), np.int64).view(np.uint64)
+        hidden = found[(levels[_slots(found, len(levels))] <= 8 * np.log2(4 * mean)) & ~np.isin(found, last)]
+        if not len(hidden):
+            break
+        last = np.union1d(last, hidden)
+        drop(cells)
+    pivot = stats.select("cell", F.col("first.cls").alias("p"), F.col("first.n").alias("pn"), F.col("first.i").alias("pi"))
+    members = cut(cells.join(pivot, "cell").distinct(), "jaccard-members")
+    drop(cells)
+    return members
 
 
 def _own_texts(texts: DataFrame) -> DataFrame:
@@ -226,22 +274,63 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _pair_up(members: DataFrame, at: int, pivots: int) -> DataFrame:
-    """(a, b) of the cells' next pivots and the members after them that are in other components and of fitting size.
+def _most(n, i):
+    """The size beyond which no set shares enough with one of n shingles that share nothing of their first i."""
+    return F.floor((100 * n.cast("long") - (100 + PERCENT) * i.cast("long")) / PERCENT)
 
-    A cell's pivots come to its members as one array; members that meet the same pivots in many cells, as near
-    copies do, are made one row before the arrays are opened.
-    """
-    whole = Window.partitionBy("cell")
-    mine = F.struct("n", "cls", "comp", "r")
-    if pivots == 1:
-        chosen = F.array(F.first(mine).over(whole.orderBy("r")))
-    else:
-        chosen = F.collect_list(F.when(F.col("r").between(at + 1, at + pivots), mine)).over(whole)
-    # sizes ascend within a cell, so that a pivot is the smaller set
-    fits = lambda p: (p["r"] < F.col("r")) & (p["comp"] != F.col("comp")) & (F.col("n") * PERCENT <= p["n"] * 100)
-    met = members.withColumn("p", F.transform(F.filter(chosen, fits), lambda p: p["cls"])).where(F.size("p") > 0)
-    return met.select("cls", "p").distinct().select(F.explode("p").alias("a"), F.col("cls").alias("b")).distinct()
+
+def _fit(n, i, m, j):
+    """Whether sets of n and m shingles may link that share nothing of their first i and j."""
+    return (m <= _most(n, i)) & (n <= _most(m, j))
+
+
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (cell, cls, n, i, comp) that have a possible partner in their region and in another component."""
+    m = members.select("cell", "cls", "n", "i").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    m = m.withColumn("most", _most(F.col("n"), F.col("i")).cast("int"))
+    # the least size and the widest window in the region, and in the components but the one that has these
+    best = m.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "comp")).alias("s"), F.max(F.struct("most", "comp")).alias("w"))
+    m = m.join(best.where("lo != hi").drop("lo", "hi"), "cell")
+    second = m.groupBy("cell").agg(F.min(F.when(F.col("comp") != F.col("s.comp"), F.col("n"))).alias("s2"), F.max(F.when(F.col("comp") != F.col("w.comp"), F.col("most"))).alias("w2"))
+    m = m.join(second, "cell")
+    least = F.when(F.col("comp") == F.col("s.comp"), F.col("s2")).otherwise(F.col("s.n"))
+    widest = F.when(F.col("comp") == F.col("w.comp"), F.col("w2")).otherwise(F.col("w.most"))
+    return m.where((least <= F.col("most")) & (widest >= F.col("n"))).select("cell", "cls", "n", "i", "comp")
+
+
+def _with_pivots(members: DataFrame, turn: int) -> DataFrame:
+    """Members with their region's next pivots, an array of at most PIVOTS: the first of each hash class."""
+    group = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(PIVOTS))
+    firsts = members.groupBy("cell", group.alias("g")).agg(F.min(F.struct("i", "n", "cls", "comp")).alias("first"))
+    return members.join(firsts.groupBy("cell").agg(F.collect_list("first").alias("pivots")), "cell")
+
+
+def _both(a, b):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """Those of the pairs (a, b) of classes that link, by the texts of one document of each class."""
+    pairs = cut(pairs, "jaccard-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = cut(classes.join(ids, "cls", "left_semi").select("cls", F.col("rep").alias("_rep")), "jaccard-wanted")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small(wanted), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cls", "text")
+    # a repeated id may bring a class several texts, others' among them
+    texts = cut(_own_texts(texts).dropDuplicates(["cls"]) if repeated else texts, "jaccard-texts")
+    found = cut(_verified(pairs, texts), "jaccard-links")
+    drop(pairs, wanted, texts)
+    return found
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) after `links` between nodes of several components."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("comp").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    step = components(links)
+    moved = labels.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    out = cut(moved.union(step.select("node", "comp")).distinct(), "jaccard-labels")
+    drop(labels, step)
+    return out
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -251,55 +340,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     5-word shingles (of fewer words, the sequence). Two documents link when 100 * common >= 80 * united;
     component_id is the smallest doc_id reachable by links. Null and wordless texts have no shingle and are a
     component each. Equal texts link however many they are; repeated rows are equal texts; extra columns are
-    never read; an empty table gives an empty result. Shingles are 64-bit hashes.
+    never read; an empty table gives an empty result. A very long text is one row of as many shingles as it has
+    words. Shingles are 64-bit hashes, and sets are equal if 64 bits of their digests are.
     """
     described = cut(_describe(docs.select("doc_id", "text")), "jaccard-described")
-    known = described.where("chunk is null").select("doc_id", "n", "cls", "refs")
-    levels = _levels(described)
-    classes = known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("refs").alias("refs"))
-    classes = cut(classes, "jaccard-classes")
-    cells = _cells(docs, levels)
-    whole = Window.partitionBy("cell")
-    lonely = (F.min("cls").over(whole)) == (F.max("cls").over(whole))
-    shared = cells.withColumn("alone", lonely).where("not alone").select("cell", "cls", "n").distinct()
-    order = whole.orderBy("n", "cls")
-    members = cut(shared.withColumns({"comp": F.col("cls"), "r": F.row_number().over(order)}), "jaccard-cells")
-    ids = members.select("cls").distinct()
-    # a repeated id may bring a class several texts, others' among them
+    known = described.where("chunk is null").select("doc_id", "n", "cls")
+    classes = cut(known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
-    about = cut(classes.join(ids, "cls", "left_semi"), "jaccard-about")
-    wanted = small(about.select("cls", F.col("rep").alias("_rep")))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cls", "text")
-    texts = cut(_own_texts(texts).dropDuplicates(["cls"]) if repeated else texts, "jaccard-texts")
-    labels, links = None, []
-    at = turn = 0
-    while True:
-        pivots = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        pairs = _pair_up(members, at, pivots)
-        side = lambda name: about.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("refs").alias(f"r{name}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-        apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        pairs = pairs.where(apart * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT)).select("a", "b")
-        pairs = cut(pairs, f"jaccard-pairs{turn}")
-        found = cut(_verified(pairs, texts), f"jaccard-links{turn}")
-        drop(pairs, labels)
-        links.append(found)
-        labels = components(reduce(DataFrame.union, links))
-        at += pivots
+    members = _regions(docs, described)
+    near = members.where((F.col("cls") != F.col("p")) & _fit(F.col("n"), F.col("i"), F.col("pn"), F.col("pi")))
+    links = _linked(near.select(*_both(F.col("cls"), F.col("p"))).distinct(), classes, docs, repeated)
+    labels = components(links)
+    before, members = members, cut(_unsettled(members.where("cls != p"), labels), "jaccard-members")
+    drop(before, links)
+    turn = 0
+    while not members.isEmpty():
+        met = cut(_with_pivots(members, turn), "jaccard-met")
+        own = lambda q: (q["comp"] != F.col("comp")) & _fit(F.col("n"), F.col("i"), q["n"], q["i"])
+        pairs = met.select("cls", F.explode(F.filter("pivots", own)).alias("q")).select(*_both(F.col("cls"), F.col("q.cls"))).distinct()
+        links = _linked(pairs, classes, docs, repeated)
+        labels = _relabelled(labels, links)
+        rest = met.where(~F.exists("pivots", lambda q: q["cls"] == F.col("cls")))
+        before, members = members, cut(_unsettled(rest, labels), "jaccard-members")
+        drop(before, met, links)
         turn += 1
-        # cells that lie within one component are done; so are those that have had all members as pivots
-        m = members.drop("comp").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        m = m.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).where("lo != hi").drop("lo", "hi")
-        m = m.withColumn("size", F.max("r").over(whole)).where(F.col("size") > at + 1).drop("size")
-        before, members = members, cut(m, f"jaccard-cells{turn}")
-        drop(before)
-        if members.isEmpty():
-            break
     full = known.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     full = cut(full.select("doc_id", "n", "cls", "comp"), "jaccard-labelled")
-    least = full.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    least = cut(least, "jaccard-least")
-    drop(described, classes, about, texts, labels, members, *links)
+    least = cut(full.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    drop(described, classes, labels, members)
     out = full.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
 

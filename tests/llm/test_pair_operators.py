@@ -206,13 +206,40 @@ def test_jaccard(spark, monkeypatch):
     docs += [(900, None), (901, ""), (902, "a b"), (903, "A\nb"), (904, "a b c"), (905, "É b"), (906, "é b")]
     df = spark.createDataFrame([(*d, 1, "c") for d in docs], "doc_id long, text string, n long, cls string").repartition(4)
     want = brute_jaccard(docs)
-    for pivots in ((1, 8, 32, 128), (1, 2)):
+    for pivots, heavy, counters in ((32, 1000, 1 << 22), (2, 5, 64)):
         monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+        monkeypatch.setattr(jaccard, "HEAVY", heavy)
+        monkeypatch.setattr(jaccard, "COUNTERS", counters)
         assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()) == want
     assert {r["doc_id"] for r in jaccard.keep_one(df).collect()} == {c for _, _, c in want}
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_pairs_stay_few(spark, monkeypatch):
+    """2,000 unlinked documents with a common passage, 300 with one shingle in common, 600 variants of one text."""
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(10**9)}"
+    passage, five, base = [word() for _ in range(20)], [word() for _ in range(5)], [word() for _ in range(100)]
+    docs = [(i, passage + [word() for _ in range(30)]) for i in range(2000)]
+    docs += [(3000 + i, five + [word() for _ in range(rng.randint(1, 4))]) for i in range(300)]
+    for i in range(600):
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(100)] = word()
+        docs.append((5000 + i, t))
+    seen = []
+    plain = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, texts: (seen.append(pairs.count()), plain(pairs, texts))[1])
+    for counters, heavy in ((1 << 22, 1000), (64, 200)):  # the second: counters too few to tell what is common
+        monkeypatch.setattr(jaccard, "COUNTERS", counters)
+        monkeypatch.setattr(jaccard, "HEAVY", heavy)
+        seen.clear()
+        out = jaccard.jaccard_components(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")).collect()
+        assert sum(seen) < 2 * len(docs), seen
+        assert all(r["component_id"] == r["doc_id"] for r in out if r["doc_id"] < 5000)
+        assert collections.Counter(r["component_id"] for r in out if r["doc_id"] >= 5000).most_common(1)[0][1] > 300
+
+
 def test_jaccard_repeated_ids(spark):
     w = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(w)), (1, " ".join(w[:30])), (2, " ".join(w[:59])), (None, " ".join(w[:29])), (None, " ".join(w).upper())]
