@@ -33,7 +33,7 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 COUNTERS = 1 << 22
 CHUNKS = 64
-#: Rows beyond which a region is formed anew if the counters hid how common its shingle is.
+#: Members beyond which a region is formed anew if the counters hid how common its shingle is.
 HEAVY = 1000
 #: Shingles that are put last at most in one turn (the most common ones first).
 DEMOTED = 1 << 20
@@ -208,20 +208,23 @@ def _regions(docs: DataFrame, described: DataFrame) -> DataFrame:
     last = np.zeros(0, np.uint64)
     while True:
         cells = cut(_cells(docs, levels, last), "jaccard-cells")
-        stats = cells.groupBy("cell").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("rows"), F.min(F.struct("i", "n", "cls")).alias("first")).where("lo != hi")
+        shared = cells.groupBy("cell").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("cell")
+        members = cut(cells.join(shared, "cell").distinct(), "jaccard-members")
+        drop(cells)
         if 4 * mean <= HEAVY:
             break
-        found = stats.where(F.col("rows") > HEAVY).orderBy(F.desc("rows"), "cell").select("cell").limit(DEMOTED).toArrow()
+        sizes = members.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > HEAVY)
+        found = sizes.orderBy(F.desc("rows"), "cell").select("cell").limit(DEMOTED).toArrow()
         found = np.asarray(found.column(0), np.int64).view(np.uint64)
         hidden = found[(levels[_slots(found, len(levels))] <= 8 * np.log2(4 * mean)) & ~np.isin(found, last)]
         if not len(hidden):
             break
         last = np.union1d(last, hidden)
-        drop(cells)
-    pivot = stats.select("cell", F.col("first.cls").alias("p"), F.col("first.n").alias("pn"), F.col("first.i").alias("pi"))
-    members = cut(cells.join(pivot, "cell").distinct(), "jaccard-members")
-    drop(cells)
-    return members
+        drop(members)
+    first = members.groupBy("cell").agg(F.min(F.struct("i", "n", "cls")).alias("first"))
+    with_pivot = cut(members.join(first, "cell").select(*members.columns, F.col("first.cls").alias("p"), F.col("first.n").alias("pn"), F.col("first.i").alias("pi")), "jaccard-members")
+    drop(members)
+    return with_pivot
 
 
 def _own_texts(texts: DataFrame) -> DataFrame:
