@@ -88,8 +88,9 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     """One row per document: doc_id, source, size (words), source_size, target, copies, taken = size * copies.
 
     Null or empty texts have size 0 and take part with it; a null source is a source of its own, the last one.
-    Rows with equal doc_id (repeated rows, null ids) have one hash and share one fate. An empty table gives an
-    empty result. Other columns of `docs` are ignored, so their names cannot clash.
+    Rows of a source with equal doc_id (repeated rows, null ids) have one hash and share one fate, so a source of
+    few different ids can't come near its target: thresholds part ids, not rows. An empty table gives an empty
+    result. Other columns of `docs` are ignored, so their names cannot clash.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
     sized = cut(sized, "mix-sizes")
@@ -103,10 +104,10 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of `docs`, all their columns, each as often as the mix takes it (0 to 2 times)."""
-    chosen = mix(docs, **how).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    chosen = chosen.withColumnRenamed("doc_id", "_mix_id")
+    chosen = mix(docs, **how).where("copies > 0").groupBy("source", "doc_id").agg(F.max("copies").alias("_copies"))
+    chosen = chosen.withColumnsRenamed({"doc_id": "_mix_id", "source": "_mix_source"})
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name can clash
-    rows = row.join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_mix_id")))
+    rows = row.join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_mix_id")) & F.col("_row.source").eqNullSafe(F.col("_mix_source")))
     rows = rows.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
