@@ -24,7 +24,7 @@ from .common import cut, shared_path, table, text_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES, PACKAGE_RECORDS = 32 << 20, 20_000
-SPAN_BYTES = 4 << 20
+SPAN_BYTES, READ_BYTES = 4 << 20, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -226,7 +226,10 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
         if out:
             yield batch_of(out)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, schema)
+    n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # one package a task while there are few, and READ_BYTES a task when there are many
+    tasks = max(1, min(n, 4 * manifest.sparkSession.sparkContext.defaultParallelism), -(-size // READ_BYTES))
+    return manifest.select("path").repartition(tasks).mapInArrow(run, schema)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
