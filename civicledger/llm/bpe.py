@@ -6,8 +6,8 @@ were there before. A token sequence is the encoding of its bytes exactly when ea
 is the encoding of their concatenation; so once the window's outer tokens are unchanged, every pair outside
 it, inside it and across its ends is valid, and all tokens outside are final. The same holds one level up for
 the pre-token boundaries of the text: a match depends on nothing to its left, so the right half's matches are
-final from the first boundary that both tokenisations share. Decoding is flat: the bytes
-of all tokens in order, joined once.
+final from the first boundary that both tokenisations share. Decoding is a monoid without a boundary: the
+halves of the ids are decoded by themselves and their bytes concatenated, up the same kind of tree.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import table, text_batches, worker_cache
 
-LEAF = 64  # bytes that are merged directly
-SPAN = 1 << 17  # characters of text that are split into pre-tokens directly
+LEAF = 12  # bytes that are merged directly
+SPAN = 1 << 10  # characters of text that are split into pre-tokens directly
+IDS = 1 << 8  # ids that are decoded directly
 CACHE = 400_000  # distinct chunks that a worker remembers
 
 #: White space-delimited chunks: every pre-token lies within one, and their own boundaries are pre-token boundaries.
@@ -150,7 +151,11 @@ class Codec:
         return "".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of the ids: halves recursively, concatenated up the tree."""
+        if len(ids) <= IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -177,23 +182,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
         import pyarrow as pa
 
         own = codec(path, pattern)
-        known: dict[str, bytes] = {}
         for batch in text_batches(batches):
             rows: list[list] = [[], [], [], []]
             for text in batch.column(1).to_pylist():
                 coded = own.encode(text or "")[1:]
-                numbers = coded.split(",") if coded else []
-                decoded = []
-                for x in numbers:
-                    b = known.get(x)
-                    if b is None:
-                        b = known[x] = own.bytes_of[int(x)]
-                    decoded.append(b)
+                numbers = list(map(int, coded.split(","))) if coded else []
                 rows[0].append(len(numbers))
                 rows[1].append(hashlib.sha256(coded.encode()).hexdigest())
-                rows[2].append(hashlib.sha256(b"".join(decoded)).hexdigest())
+                rows[2].append(hashlib.sha256(own.decode(numbers)).hexdigest())
                 if ids:
-                    rows[3].append(np.fromstring(coded, np.int32, sep=",") if coded else np.zeros(0, np.int32))
+                    rows[3].append(np.array(numbers, np.int32))
             out = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
