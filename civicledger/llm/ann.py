@@ -81,21 +81,29 @@ def _blocks(n: int, size: int) -> int:
     return max(1, math.ceil(n / size))
 
 
-def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int = 320) -> DataFrame:
+def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int = 320, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query row, ties to smaller ids.
 
     Queries are rows whose vec_id is divisible by `queries_every`; candidates are all rows but the query's own.
     Rows with a null id, a null, empty or zero vector, or a null or non-finite component take no part. Equal
     vectors are searched once and expanded to their k + 1 smallest ids, which is all a query can return of
-    them; a repeated vec_id is one row. Empty tables give an empty result. Vectors of other lengths than the
-    commonest fail loudly in the codebooks' arithmetic. Extra columns are never read.
+    them; of a repeated vec_id the least vector (by its components in order) counts. Vectors of another length
+    than the commonest (the longest of those) take no part. Empty tables give an empty result. Extra columns are
+    never read. Scores are double precision on the vectors as they are; only codes and tables are float.
+
+    `rerank` codes a query are looked at exactly, whatever the table's size: an approximation whose recall is
+    measured. With `exact` no codes are made: blocks of queries meet blocks of all vectors, and recall is 1.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & sound & F.exists(e, lambda x: x != 0)).dropDuplicates(["vec_id"])
-    rows = cut(rows, "ann-rows")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & sound & F.exists(e, lambda x: x != 0))
+    raw = cut(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-rows")
+    usual = raw.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("top")).orderBy(F.desc("c"), F.desc("d")).first()
+    # floats hold no very large or small numbers; the order of products does not change with the unit
+    unit = usual["top"] if usual and not 1e-12 < usual["top"] < 1e12 else 1.0
+    rows = raw.where(F.size("embedding") == usual["d"]) if usual else raw
     distinct = cut(rows.groupBy("embedding").agg(F.min("vec_id").alias("rep")), "ann-distinct")
     members = cut(rows.join(distinct, "embedding").select("vec_id", "rep"), "ann-members")
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -104,17 +112,23 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
         return empty
     first = Window.partitionBy("rep").orderBy("vec_id")
     smallest = members.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).select("rep", "vec_id")
-    sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(TRAIN).toPandas()
-    books = train_books(_matrix(sample["embedding"]))
-    del sample
+    if exact:
+        rerank, books = k + 16, []  # a few more than asked for, as sums in another order may differ in the last bit
+    else:
+        sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(TRAIN).toPandas()
+        books = train_books(_matrix(sample["embedding"], unit))
+        del sample
 
     def encode(batches):
         import numpy as np
 
         for pdf in batches:
-            x = _matrix(pdf["embedding"])
-            if not len(x):
+            if not len(pdf):
+                continue
+            if exact:
+                yield pdf.assign(code=[np.asarray(v, float).tobytes() for v in pdf["embedding"]], scale=np.float32(1))[["rep", "code", "scale"]]
                 continue
+            x = _matrix(pdf["embedding"], unit)
             codes = beam_encode(x, books)
             told = sum(books[m][codes[:, m]] for m in range(len(books)))
             scale = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(told, axis=1), 1e-12)
@@ -136,7 +150,7 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
         import numpy as np
         import pandas as pd
 
-        return pd.DataFrame({"qblock": pdf["qblock"].iloc[:1], "qreps": [pdf["rep"].to_numpy(np.int64).tobytes()], "qvecs": [_matrix(pdf["embedding"]).tobytes()]})
+        return pd.DataFrame({"qblock": pdf["qblock"].iloc[:1], "qreps": [pdf["rep"].to_numpy(np.int64).tobytes()], "qvecs": [np.array(list(pdf["embedding"]), float).tobytes()]})
 
     blocks = coded.withColumn("cblock", F.pmod(F.xxhash64("rep"), F.lit(n_code)).cast("int")).groupBy("cblock").applyInPandas(pack_codes, "cblock int, reps binary, codes binary, scales binary")
     asks = q.withColumn("qblock", F.pmod(F.xxhash64("rep"), F.lit(n_query)).cast("int")).groupBy("qblock").applyInPandas(pack_queries, "qblock int, qreps binary, qvecs binary")
@@ -150,23 +164,27 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
         for pdf in batches:
             for r in pdf.itertuples():
                 reps, scales = np.frombuffer(r.reps, np.int64), np.frombuffer(r.scales, np.float32)
-                codes = np.frombuffer(r.codes, np.uint8).reshape(len(reps), -1)
                 qreps = np.frombuffer(r.qreps, np.int64)
-                qs = np.frombuffer(r.qvecs, np.float32).reshape(len(qreps), -1)
-                score = np.zeros((len(reps), len(qreps)), np.float32)
-                for m, book in enumerate(books):
-                    score += (book @ qs.T)[codes[:, m]]
-                score *= scales[:, None]
+                qs = np.frombuffer(r.qvecs, float).reshape(len(qreps), -1)
+                if exact:
+                    score = np.frombuffer(r.codes, float).reshape(len(reps), -1) @ qs.T
+                else:
+                    codes = np.frombuffer(r.codes, np.uint8).reshape(len(reps), -1)
+                    qs = (qs / unit).astype(np.float32)
+                    score = np.zeros((len(reps), len(qreps)), np.float32)
+                    for m, book in enumerate(books):
+                        score += (book @ qs.T)[codes[:, m]]
+                    score *= scales[:, None]
                 keep = min(rerank, len(reps))
                 best = np.argpartition(-score, keep - 1, axis=0)[:keep]
                 got = np.take_along_axis(score, best, 0)
                 yield pd.DataFrame({"qrep": np.repeat(qreps, keep), "crep": reps[best.T.ravel()], "approx": got.T.ravel()})
 
-    found = pairs.select("qreps", "qvecs", "reps", "codes", "scales").mapInPandas(scan, "qrep bigint, crep bigint, approx float")
+    found = pairs.select("qreps", "qvecs", "reps", "codes", "scales").mapInPandas(scan, "qrep bigint, crep bigint, approx double")
     nearest = Window.partitionBy("qrep").orderBy(F.desc("approx"), "crep")
     found = cut(found.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= rerank).select("qrep", "crep"), "ann-found")
     one, two = distinct.select(F.col("rep").alias("qrep"), F.col("embedding").alias("_q")), distinct.select(F.col("rep").alias("crep"), F.col("embedding").alias("_c"))
-    dot = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     exact = found.join(two, "crep").join(one, "qrep").select("qrep", "crep", dot.alias("score"))
     wide = exact.join(smallest.withColumnRenamed("rep", "crep"), "crep")
     order = Window.partitionBy("qrep").orderBy(F.desc("score"), "vec_id")
@@ -178,10 +196,10 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.m")).alias("score"))
 
 
-def _matrix(column):
+def _matrix(column, unit: float):
     import numpy as np
 
-    return np.array(list(column), dtype=np.float32).reshape(len(column), -1)
+    return (np.array(list(column), float).reshape(len(column), -1) / unit).astype(np.float32)
 
 
 def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
