@@ -16,9 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests).
+
+    On a cluster the setting must be there: each executor would write to its own disk, and tables would be lost.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='civicledger-')}"
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", base)
