@@ -364,6 +364,32 @@ def test_search(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>, rank string")).count() == 0
 
 
+def test_search_doubles_repeats_and_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 6)) * 1e100
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(500, [1e100] * 5), (520, [1e100] * 7), (40, (x[40] * 2).tolist()), (40, (x[40] * -3).tolist())]
+    x[40] = min(v for i, v in rows + odd if i == 40)
+    for exact in (False, True):
+        out = ann.search(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), rerank=200, exact=exact).collect()
+        assert {r["query_id"] for r in out} == set(range(0, 200, 20)) and len(out) == 200
+        for q in range(0, 200, 20):
+            s = [sum(a * b for a, b in zip(x[q] / 1e100, v / 1e100, strict=True)) for v in x]
+            want = sorted((i for i in range(200) if i != q), key=lambda i: (-s[i], i))[:20]
+            assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_search_recall_with_few_reranked(spark):
+    """Of 10,000 candidates 64 are looked at exactly: recall against exact search."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(50, 32))
+    x = centres[rng.integers(0, 50, 10_000)] + 0.4 * rng.normal(size=(10_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = {(r["query_id"], r["vec_id"]) for r in ann.search(df, rerank=64).collect()}
+    true = {(r["query_id"], r["vec_id"]) for r in ann.search(df, exact=True).collect()}
+    assert len(near) == len(true) == 10_000 and len(near & true) >= 0.9 * len(true)
+
+
 def test_search_recall(spark):
     """Recall against brute force, with the query's own parameters on its own table."""
     out = queries()["op8_additive_quantisation"](spark, "/root/testdata/sf0.1").toPandas()
