@@ -86,6 +86,7 @@ def text_batches(batches, budget: int = 2 << 20) -> Iterator[tuple]:
     Bounds the memory of vectorised kernels whatever the size of Spark's batches.
     """
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -99,6 +100,7 @@ def text_batches(batches, budget: int = 2 << 20) -> Iterator[tuple]:
             stop = max(start + 1, int(np.searchsorted(ends, done + budget, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def text_buffer(column):

@@ -39,7 +39,7 @@ HEAVY = 1000
 DEMOTED = 1 << 20
 #: Pivots of a region in each turn after the first.
 PIVOTS = 32
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 def _mix(x):
@@ -125,15 +125,16 @@ def _describe(docs: DataFrame) -> DataFrame:
             raw, off = text_buffer(batch.column(1))
             doc, sh = shingle_sets(raw, off)
             n, at = _spans(doc, batch.num_rows)
-            counts += np.bincount(_slots(sh, COUNTERS), minlength=COUNTERS).astype(np.uint32)
+            seen, times = np.unique(_slots(sh, COUNTERS), return_counts=True)
+            counts[seen] += times.astype(np.uint32)
             cls = [_class_id(sh[a : a + k]) if k else None for a, k in zip(at, n, strict=True)]
             none = [None] * batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip((n, cls, none, none), kinds, strict=True))], names)
         if id_type is not None:
-            size, none = COUNTERS // CHUNKS, [None] * CHUNKS
-            low = np.minimum(counts, 65535).astype(np.uint16)
-            parts = [low[i * size : (i + 1) * size].tobytes() for i in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(none, id_type), *(pa.array(x, k) for x, k in zip((none, none, range(CHUNKS), parts), kinds, strict=True))], names)
+            size = COUNTERS // CHUNKS
+            for i in range(CHUNKS):
+                part = np.minimum(counts[i * size : (i + 1) * size], 65535).astype(np.uint16).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([None], id_type), *(pa.array([x], k) for x, k in zip((None, None, i, part), kinds, strict=True))], names)
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n bigint, cls bigint, chunk int, counts binary")
 
