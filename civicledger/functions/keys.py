@@ -5,6 +5,7 @@ All are Column expressions, so they stay in generated code and can be pushed bel
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,13 +41,22 @@ def bn_prefix(bn: Column) -> Column:
     return F.when(F.length(F.trim(bn)) >= 9, F.substring(F.trim(bn), 1, 9))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once for each row, however often `body` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _family(v: Column) -> Column:
+    """The vendor's family, or itself; most vendors are in none, which one pattern tells."""
+    none = ~v.rlike("|".join(f"(?:{pattern})" for _, pattern in VENDOR_FAMILIES))
+    return reduce(lambda c, rule: c.when(v.rlike(rule[1]), F.lit(rule[0])), VENDOR_FAMILIES, F.when(none, v))
+
+
 def normalize_vendor(name: Column) -> Column:
     """Upper case, words only, without legal suffixes, families under one name; null of blank names."""
-    v = F.regexp_replace(F.upper(F.trim(name)), "&", " AND ")
-    v = F.trim(F.regexp_replace(v, r"[^A-Z0-9]+", " "))
+    v = F.trim(F.regexp_replace(F.replace(F.upper(F.trim(name)), F.lit("&"), F.lit(" AND ")), r"[^A-Z0-9]+", " "))
     v = F.trim(F.regexp_replace(v, rf"( ({'|'.join(VENDOR_SUFFIXES)})){{1,3}}$", ""))
-    family = reduce(lambda c, rule: c.when(v.rlike(rule[1]), F.lit(rule[0])), VENDOR_FAMILIES[1:], F.when(v.rlike(VENDOR_FAMILIES[0][1]), F.lit(VENDOR_FAMILIES[0][0])))
-    return F.when(F.trim(name) != "", family.otherwise(v))
+    return F.when(F.trim(name) != "", _let(v, _family))
 
 
 def normalize_entity(name: Column) -> Column:

@@ -1,7 +1,4 @@
-"""Entity matching by number and by name, each taking only what the former left, and nearest vectors by block.
-
-match_entities stops after the name: no table holds name embeddings that the vector step could match by.
-"""
+"""Entity matching by number, by name and by vector, each taking only what the former left; nearest vectors."""
 
 from __future__ import annotations
 
@@ -38,6 +35,34 @@ def match_entities(notices: DataFrame, entities: DataFrame, shortest: int = 4) -
     return by_bn.unionByName(named.withColumns({"method": F.lit("exact_name"), "confidence": F.lit(0.95)}))
 
 
+#: Components of a name's vector.
+NAME_DIMENSIONS = 256
+
+
+def name_vector(name: Column) -> Column:
+    """Counts of the name's letter triples, dealt to NAME_DIMENSIONS components by their characters.
+
+    It stands for a trained embedding, which would take its place as a column of the same kind.
+    """
+    n = F.greatest(F.length(name) - 2, F.lit(0))
+    code = lambda i: F.ascii(F.substr(name, i, F.lit(1)))
+    triple = lambda i: ((code(i) * 961 + code(i + 1) * 31 + code(i + 2)) % NAME_DIMENSIONS).cast("int")
+    triples = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), triple)).otherwise(F.array().cast("array<int>"))
+    # sorted, so that a component's count is the distance of two places
+    return F.transform(F.sequence(F.lit(0), F.lit(NAME_DIMENSIONS - 1)), lambda k: F.size(F.filter(triples, lambda x: x == k)).cast("double"))
+
+
+def match_by_vector(left_over: DataFrame, entities: DataFrame, least: float = 0.72, shortest: int = 4) -> DataFrame:
+    """(notice_id, source, entity_name, bn, method, confidence): for notices that number and name left, the most
+    similar entity of all, if its similarity is `least` or more. Equal names are searched once, in packed blocks."""
+    asked = left_over.where(F.length("name_norm") >= shortest).select("name_norm").distinct().withColumn("left_id", F.xxhash64("name_norm"))
+    known = entities.where(F.length("name_norm") >= shortest).groupBy("name_norm").agg(F.min(F.struct("source", "entity_name", "bn")).alias("e")).withColumn("right_id", F.xxhash64("name_norm"))
+    one = F.lit(0).alias("block")
+    near = nearest_by_blocks(asked.select("left_id", name_vector(F.col("name_norm")).alias("embedding"), one), known.select("right_id", name_vector(F.col("name_norm")).alias("embedding"), one), least)
+    hit = near.join(asked, "left_id").join(known.select("right_id", "e"), "right_id").select("name_norm", "e.*", F.col("similarity").alias("confidence"))
+    return left_over.select("notice_id", "name_norm").join(hit, "name_norm").select("notice_id", "source", "entity_name", "bn", F.lit("vector_cosine").alias("method"), "confidence")
+
+
 #: Rows of a packed chunk of vectors: a pair of chunks is one row of the join.
 CHUNK = 1024
 

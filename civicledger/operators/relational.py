@@ -79,9 +79,34 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
     return latest_per_key(n, keys, [F.desc("_new"), *[F.col(c) for c in rest]]).drop("_new")
 
 
-def fill_by_mode(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Fill null `target` with the commonest one of its `source` value (ties: the least)."""
+def upsert_greatest(existing: DataFrame, incoming: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value) of both, the greatest value of each key; chunks may come in any order, and repeatedly."""
+    return existing.select(*keys, value).unionByName(incoming.select(*keys, value)).groupBy(*keys).agg(F.max(value).alias(value))
+
+
+def update_where_distinct(target: DataFrame, staged: DataFrame, key: str, value: str) -> DataFrame:
+    """`target` with `value` taken from `staged` (one row a key) where it differs, nulls too; _changed tells which rows."""
+    new = staged.select(key, F.col(value).alias("_v"), F.lit(True).alias("_found"))
+    out = target.join(new, key, "left").withColumn("_changed", F.col("_found").isNotNull() & ~F.col(value).eqNullSafe(F.col("_v")))
+    return out.withColumn(value, F.when(F.col("_changed"), F.col("_v")).otherwise(F.col(value))).select(*target.columns, "_changed")
+
+
+def update_paired(target: DataFrame, staged: DataFrame, keys: list[str], id_: str, order: list[Column], values: list[str]) -> DataFrame:
+    """`target` with `values` of the staged row of equal keys (null-safe) and equal place: rows that share their keys
+    are paired in order, the target's by `id_` and the staged ones by `order`; the rest keeps what it has."""
+    t = target.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(id_)))
+    s = staged.withColumn("_sn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    s = s.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_sn", *[F.col(v).alias(f"_v_{v}") for v in values])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_rn") == F.col("_sn")]
+    taken = {v: F.when(F.col("_sn").isNotNull(), F.col(f"_v_{v}")).otherwise(F.col(v)) for v in values}
+    return t.join(s, same, "left").withColumns(taken).select(*target.columns)
+
+
+def fill_by_mode(df: DataFrame, source: str, target: str, enough: float = 0.95) -> DataFrame:
+    """Fill null `target` with the commonest one of its `source` value (ties: the least), unless `enough` are filled."""
     counts = df.where(F.col(target).isNotNull() & F.col(source).isNotNull()).groupBy(F.col(source).alias("_s"), F.col(target).alias("_t")).count()
     mode = counts.groupBy("_s").agg(F.min_by("_t", F.struct(-F.col("count"), "_t")).alias("_mode"))
-    out = df.join(mode, F.col(source) == F.col("_s"), "left").withColumn(target, F.coalesce(target, "_mode"))
+    filled = df.agg((F.count(target) / F.greatest(F.count("*"), F.lit(1)) >= enough).alias("_enough"))  # a row
+    out = df.join(mode, F.col(source) == F.col("_s"), "left").crossJoin(F.broadcast(filled))
+    out = out.withColumn(target, F.when(F.col("_enough"), F.col(target)).otherwise(F.coalesce(target, "_mode")))
     return out.select(*df.columns)

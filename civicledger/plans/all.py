@@ -1,6 +1,6 @@
 """Imports every module that registers views."""
 
-from . import basics, capacity, contracts, entities, grants, network  # noqa: F401
+from . import basics, capacity, contracts, entities, grants, network, profiles  # noqa: F401
 from .registry import VIEWS
 
 __all__ = ["VIEWS"]

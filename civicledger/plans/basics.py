@@ -56,14 +56,14 @@ def semi_anti_joins(t):
 def set_operations(t):
     o = _raw(t, "orders")
     a, b = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key")), o.where("o_totalprice > 400000").select(F.col("o_custkey").alias("key"))
-    return a.intersect(b).withColumn("op", F.lit("both")).unionByName(a.exceptAll(b.distinct()).distinct().join(b, "key", "left_anti").withColumn("op", F.lit("first only")))
+    return a.intersect(b).withColumn("op", F.lit("both")).unionByName(a.subtract(b).withColumn("op", F.lit("first only")))
 
 
 @view("full_outer_keys", "key:l n_orders:l n_lines:l", "", """
-  SELECT coalesce(a.k, b.k) AS key, coalesce(n_orders, 0) AS n_orders, coalesce(n_lines, 0) AS n_lines FROM (SELECT o_custkey % 977 AS k, count(*) AS n_orders FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) a
+  SELECT coalesce(a.k, b.k) AS key, coalesce(n_orders, 0) AS n_orders, coalesce(n_lines, 0) AS n_lines FROM (SELECT o_custkey % 977 AS k, count(*) AS n_orders FROM orders GROUP BY 1) a
   FULL JOIN (SELECT l_suppkey AS k, count(*) AS n_lines FROM lineitem GROUP BY 1) b ON a.k = b.k""")
 def full_outer_keys(t):
-    a = _raw(t, "orders").where("o_custkey % 3 = 0").groupBy((F.col("o_custkey") % 977).alias("key")).agg(F.count("*").alias("n_orders"))
+    a = _raw(t, "orders").groupBy((F.col("o_custkey") % 977).alias("key")).agg(F.count("*").alias("n_orders"))
     b = _raw(t, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.count("*").alias("n_lines"))
     return a.join(b, "key", "full").fillna(0, ["n_orders", "n_lines"])
 
@@ -125,16 +125,6 @@ def cosine_search(t):
     return matching.cosine_top_k(_raw(t, "embeddings"), [1.0 if i % 2 == 0 else -0.5 for i in range(64)], 10)
 
 
-@view("nearest_in_block", "left_id:l right_id:l similarity:d", "", """
-  SELECT left_id, right_id, similarity FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
-    FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 = 1) WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) = 1""")
-def nearest_in_block(t):
-    """One row in ten against another one in ten, as its SQL has it: nearest_of_all_in_block leaves no row out."""
-    e = _raw(t, "embeddings")
-    one, two = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("left_id"), "embedding", F.col("label").alias("block")), e.where("vec_id % 10 = 1").select(F.col("vec_id").alias("right_id"), "embedding", F.col("label").alias("block"))
-    return matching.nearest_by_blocks(one, two, 0.2)
-
-
 @view("nearest_of_all_in_block", "left_id:l right_id:l similarity:d", "", """
   SELECT left_id, right_id, similarity FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS similarity
     FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) = 1""")
@@ -170,16 +160,54 @@ def pivoted(t):
     return tables.pivot(o, "c_mktsegment", "o_orderstatus", "v", ["F", "O", "P"])
 
 
-@view("upserted", "k:l v:s", "", "SELECT k, coalesce(max(v) FILTER (src = 1), max(v) FILTER (src = 0)) AS v FROM (SELECT c_custkey AS k, c_name AS v, 0 AS src FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, upper(c_name), 1 FROM customer WHERE c_custkey % 3 = 0) GROUP BY k")
+@view("upserted", "k:l v:s", "", "SELECT k, coalesce(max(v) FILTER (src = 1), max(v) FILTER (src = 0)) AS v FROM (SELECT c_custkey AS k, c_name AS v, 0 AS src FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_custkey, upper(c_name), 1 FROM customer WHERE c_acctbal > 0 OR c_mktsegment = 'BUILDING') GROUP BY k")
 def upserted(t):
     c = _raw(t, "customer")
-    return rel.upsert(c.where("c_custkey % 2 = 0").selectExpr("c_custkey k", "c_name v"), c.where("c_custkey % 3 = 0").selectExpr("c_custkey k", "upper(c_name) v"), ["k"])
+    return rel.upsert(c.where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey k", "c_name v"), c.where("c_acctbal > 0 OR c_mktsegment = 'BUILDING'").selectExpr("c_custkey k", "upper(c_name) v"), ["k"])
 
 
-@view("inserted_where_new", "k:l", "", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
+@view("inserted_where_new", "k:l", "", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'")
 def inserted_where_new(t):
-    c = _raw(t, "customer").selectExpr("c_custkey k")
-    return rel.anti_insert(c.where("k % 2 = 0"), c.where("k % 3 = 0").unionAll(c.where("k % 3 = 0")), ["k"])
+    c = _raw(t, "customer")
+    here, come = c.where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey k"), c.where("c_acctbal > 0").selectExpr("c_custkey k")
+    return rel.anti_insert(here, come.unionAll(come), ["k"])
+
+
+@view("kept_greatest", "k:l day:s", "", "SELECT o_custkey AS k, CAST(max(o_orderdate) AS DATE) AS day FROM orders GROUP BY 1")
+def kept_greatest(t):
+    """The latest day of each key, from chunks that are put in one after the other."""
+    o = _raw(t, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), "o_orderstatus")
+    first = rel.upsert_greatest(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), ["k"], "day")
+    return rel.upsert_greatest(first, o.where("o_orderstatus = 'P'"), ["k"], "day")
+
+
+@view("updated_where_distinct", "k:l day:s changed:b", "", """
+  WITH a AS (SELECT c_custkey AS k, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'F') AS day FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+  b AS (SELECT o_custkey AS k, max(CAST(o_orderdate AS DATE)) AS day FROM orders WHERE o_totalprice > 50000 GROUP BY 1)
+  SELECT a.k, CASE WHEN b.k IS NOT NULL THEN b.day ELSE a.day END AS day, b.k IS NOT NULL AND a.day IS DISTINCT FROM b.day AS changed FROM a LEFT JOIN b ON a.k = b.k""")
+def updated_where_distinct(t):
+    """Stored days, null where there was none, after an update from staged ones that touches only what differs."""
+    o = _raw(t, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), "o_orderstatus", "o_totalprice")
+    had = o.groupBy("k").agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("day"))).alias("day"))
+    target = _raw(t, "customer").select(F.col("c_custkey").alias("k")).join(had, "k", "left")
+    staged = o.where("o_totalprice > 50000").groupBy("k").agg(F.max("day").alias("day"))
+    return rel.update_where_distinct(target, staged, "k", "day").withColumnRenamed("_changed", "changed")
+
+
+_PAIRED = "o_custkey, o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status"
+
+
+@view("paired_backfill", "id:l value:d day:s", "", f"""
+  WITH t AS (SELECT o_orderkey AS id, {_PAIRED}, row_number() OVER (PARTITION BY o_custkey, o_orderpriority, status ORDER BY o_orderkey) AS rn FROM orders),
+  s AS (SELECT {_PAIRED}, o_totalprice AS value, CAST(o_orderdate AS DATE) AS day, row_number() OVER (PARTITION BY o_custkey, o_orderpriority, status ORDER BY day NULLS LAST, value NULLS LAST) AS rn FROM orders WHERE o_totalprice > 100000)
+  SELECT id, value, day FROM t LEFT JOIN s ON t.o_custkey IS NOT DISTINCT FROM s.o_custkey AND t.o_orderpriority IS NOT DISTINCT FROM s.o_orderpriority AND t.status IS NOT DISTINCT FROM s.status AND t.rn = s.rn""")
+def paired_backfill(t):
+    """Missing fields filled from staged rows without ids: the n-th row of a key takes the n-th staged row's."""
+    o = _raw(t, "orders").withColumn("status", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    keys_ = ["o_custkey", "o_orderpriority", "status"]
+    target = o.select(F.col("o_orderkey").alias("id"), *keys_, F.lit(None).cast("double").alias("value"), F.lit(None).cast("date").alias("day"))
+    staged = o.where("o_totalprice > 100000").select(*keys_, F.col("o_totalprice").cast("double").alias("value"), F.to_date("o_orderdate").alias("day"))
+    return rel.update_paired(target, staged, keys_, "id", [F.col("day").asc_nulls_last(), F.col("value").asc_nulls_last()], ["value", "day"])
 
 
 @view("filled_by_mode", "o_orderkey:l fr:s", "", """

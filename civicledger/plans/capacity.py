@@ -91,7 +91,7 @@ _GHOST_SIGNALS = ["sig_no_employees", "sig_no_programs", "sig_no_address", "sig_
   i AS (SELECT substr(bn, 1, 9) AS k, any_value(legal_name) AS nm, any_value(designation) AS ds, bool_or(address <> '' AND city <> '') AS placed FROM charities GROUP BY 1),
   h AS (SELECT substr(bn, 1, 9) AS k, arg_max(legal_name, list_year) AS nm, arg_max(designation, list_year) AS ds FROM charity_history GROUP BY 1),
   gn AS (SELECT substr(recipient_business_number, 1, 9) AS k, max(recipient_legal_name) AS nm FROM grants WHERE length(recipient_business_number) >= 9 GROUP BY 1),
-  g AS ({_G.format('2018-01-01')}), o AS (SELECT substr(donor_bn, 1, 9) AS k, sum(total_gifts) AS v FROM transfers GROUP BY 1),
+  g AS ({_G.format('2020-01-01')}), o AS (SELECT substr(donor_bn, 1, 9) AS k, sum(total_gifts) AS v FROM transfers GROUP BY 1),
   x AS (SELECT f.k AS bn, coalesce(i.nm, h.nm, gn.nm) AS legal_name, coalesce(i.ds, h.ds) AS designation, total_revenue, total_expenditure, CAST(gov_funding_federal AS DOUBLE) AS gov, CAST(gov_funding_provincial AS DOUBLE) AS inv, fpe, employees AS employee_count,
           coalesce(compensation, mgmt_admin_exp, 0) AS compensation_total, coalesce(CAST(total_grants AS DOUBLE) / years_active, 0) AS verified_grants_annual, coalesce(o.v, 0) AS transfers_out_total,
           CAST(coalesce(compensation, mgmt_admin_exp, 0) AS DOUBLE) / CAST(total_revenue AS DOUBLE) AS c, CAST(coalesce(o.v, 0) AS DOUBLE) / nullif(CAST(total_expenditure AS DOUBLE), 0) AS r, coalesce(described, FALSE) AS described, coalesce(placed, FALSE) AS placed
@@ -102,7 +102,7 @@ _GHOST_SIGNALS = ["sig_no_employees", "sig_no_programs", "sig_no_address", "sig_
          {' + '.join(f'CAST({s} AS INT)' for s in _GHOST_SIGNALS)} AS ghost_score
   FROM z WHERE total_revenue > 100000 AND {' + '.join(f'CAST({s} AS INT)' for s in _GHOST_SIGNALS)} >= 3 AND NOT (coalesce(designation, '') IN ('A', 'B') AND inv / CAST(total_revenue AS DOUBLE) >= 0.3)
     AND NOT ({_public_sql('legal_name', PUBLIC + GHOST_ONLY)}) AND compensation_total <= total_revenue * 2""")
-def ghost_capacity(t, since: str = "2018-01-01"):
+def ghost_capacity(t, since: str = "2020-01-01"):
     """Filers with three or more of six signs of little capacity. A sign that cannot be told (nothing spent) drops
     the row, as a null sum does; investment vehicles, trusts and public bodies are left out."""
     key = bn_prefix(F.col("bn"))

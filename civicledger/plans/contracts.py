@@ -51,13 +51,12 @@ def contract_key():
          SELECT max(vendor_name) AS vendor_name, normalized_vendor, original_value, max(effective_value) AS effective_value, max(amendment_ratio) AS amendment_ratio,
                 owner_org_title, max(contract_date) AS contract_date, count(CASE WHEN amendment_value > 0 THEN 1 END) AS amendment_count
          FROM contracts WHERE solicitation_procedure = 'TN' GROUP BY reference_number, normalized_vendor, owner_org_title, original_value) k
-       QUALIFY vendor_amendment_total >= 2 AND amendment_ratio > 2 AND effective_value > 300000""",
+       QUALIFY vendor_amendment_total >= 2 AND amendment_ratio > 2 AND effective_value > 500000""",
 )
-def amendment_creep(t, least_value: int = 300_000):
+def amendment_creep(t, least_value: int = 500_000):
     """Sole-source contracts grown beyond twice over, of vendors with two amendments or more.
 
-    A contract is (reference, vendor, department, original value): references are reused across vendors. On real
-    data `least_value` is 500,000; the bound tables hold smaller contracts.
+    A contract is (reference, vendor, department, original value): references are reused across vendors.
     """
     same = [F.coalesce(F.nullif(F.col("reference_number"), F.lit("")), F.lit("CKEY")).alias("_ref"), "normalized_vendor", "owner_org_title", "original_value"]
     one = t["contracts"].where("solicitation_procedure = 'TN'").groupBy(*same).agg(
@@ -119,8 +118,11 @@ def threshold_splitting(t, least: int = 3, months: int = 12):
 
     Thresholds are an inline list, so a contract's are found in the scan; the year is a RANGE frame.
     """
-    near = reduce(DataFrame.unionByName, [t["contracts"].where(_DAYS).where(F.col("original_value").between(thr * 0.8, thr)).withColumns({"thr": F.lit(thr), "label": F.lit(label)}) for thr, label in THRESHOLDS])
-    near = near.where("normalized_vendor IS NOT NULL AND owner_org_title IS NOT NULL").select("normalized_vendor", "owner_org_title", "label", "thr", "contract_date", "original_value")
+    marks = F.array(*[F.struct(F.lit(thr).alias("thr"), F.lit(label).alias("label")) for thr, label in THRESHOLDS])
+    below = F.filter(marks, lambda m: F.col("original_value").between(m["thr"] * 0.8, m["thr"]))
+    any_near = reduce(lambda a, b: a | b, [F.col("original_value").between(thr * 0.8, thr) for thr, _ in THRESHOLDS])
+    near = t["contracts"].where(_DAYS).where(any_near).where("owner_org_title IS NOT NULL AND normalized_vendor IS NOT NULL")
+    near = near.select("normalized_vendor", "owner_org_title", F.explode(below).alias("m"), "contract_date", "original_value").select("*", "m.thr", "m.label").drop("m")
     w = rel.rolling_forward(near, ["normalized_vendor", "owner_org_title", "label", "thr"], "contract_date", "original_value", months)
     w = w.where(F.col("rows_in_window") >= least).withColumnsRenamed({"contract_date": "window_start", "rows_in_window": "contracts_in_window", "sum_in_window": "total_in_window"})
     order = F.struct((-F.col("contracts_in_window")).alias("a"), (-F.col("total_in_window")).alias("b"), "window_start")
@@ -148,13 +150,14 @@ def same_vendor_followon(t, months: int = 24):
   FROM contracts WHERE {_DAYS} AND effective_value > 0 GROUP BY GROUPING SETS ((1, commodity_type), (1))""".replace("((1, commodity_type), (1))", "((year(contract_date), commodity_type), (year(contract_date)))"))
 def contract_yearly(t):
     """Counts, value, vendors and departments by year and category, and by year over all categories."""
-    rows = _spent(t["contracts"]).where(_DAYS).withColumn("fiscal_year", F.year("contract_date"))
-
-    def add_up(df, by):
-        return df.groupBy(*by).agg(F.count("*").alias("contract_count"), F.sum("effective_value").alias("total_value"), F.count_distinct("normalized_vendor").alias("unique_vendors"), F.count_distinct("owner_org_title").alias("distinct_departments"))
-
-    by_code = add_up(rows.where("commodity_type <> ''").withColumnRenamed("commodity_type", "code"), ["fiscal_year", "code"])
-    return by_code.unionByName(add_up(rows, ["fiscal_year"]).withColumn("code", F.lit("*ALL*")))
+    rows = _spent(t["contracts"]).where(_DAYS).withColumn("fiscal_year", F.year("contract_date")).withColumnRenamed("commodity_type", "code")
+    # summed once to vendor and department; both groupings and their distinct counts come from that
+    fine = rows.groupBy("fiscal_year", "code", "normalized_vendor", "owner_org_title").agg(F.count("*").alias("_n"), F.sum("effective_value").alias("_v"))
+    out = fine.rollup("fiscal_year", "code").agg(
+        F.grouping_id().alias("_g"), F.sum("_n").alias("contract_count"), F.sum("_v").alias("total_value"), F.count_distinct("normalized_vendor").alias("unique_vendors"), F.count_distinct("owner_org_title").alias("distinct_departments")
+    )
+    out = out.where("_g = 1 OR _g = 0 AND code <> ''")
+    return out.withColumn("code", F.when(F.col("_g") == 1, F.lit("*ALL*")).otherwise(F.col("code"))).drop("_g")
 
 
 _SHARES = f"""SELECT year(contract_date) AS fiscal_year, commodity_type, normalized_vendor, CAST(sum(effective_value) AS DOUBLE) AS v, count(*) AS n FROM contracts

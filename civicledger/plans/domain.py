@@ -7,13 +7,15 @@ the queries read it through Spark, their oracles through DuckDB.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import keys
+from ..sources.sinks import shared_folder
 
-DAY = "CAST(CAST({0} AS DATE) + INTERVAL 20 YEAR AS DATE)"
+DAY = "CAST(CAST({0} AS DATE) + INTERVAL 24 YEAR AS DATE)"
 MONEY = "CAST({0} AS DECIMAL(18, 2))"
 _BN = "lpad(CAST({0} AS VARCHAR(20)), 9, '0') || 'RR0001'"
 _NAME = """CASE WHEN c_custkey % 23 = 0 THEN 'Diocese of ' || c_name WHEN c_custkey % 29 = 0 THEN 'United Way ' || c_name
@@ -39,15 +41,16 @@ SELECT CASE WHEN s_suppkey % 50 = 1 THEN CASE l_linenumber % 3 WHEN 0 THEN 'Delo
        p_brand AS owner_org_title,
        CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'G' ELSE 'C' END AS commodity_type,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'TN' WHEN '2' THEN 'TC' WHEN '3' THEN 'TO' WHEN '4' THEN 'AC' ELSE CASE WHEN l_linenumber > 4 THEN 'TN' ELSE 'OB' END END AS solicitation_procedure,
-       {DAY.format('l_shipdate')} AS contract_date,
+       CAST({DAY.format('l_shipdate')} + INTERVAL 3 MONTH * CAST(k AS INT) AS DATE) AS contract_date,
        {MONEY.format('l_extendedprice')} AS original_value,
-       CASE WHEN l_tax > 0 THEN {MONEY.format(MONEY.format('l_extendedprice') + ' * ' + MONEY.format('l_tax') + ' * 50')} END AS amendment_value,
-       {MONEY.format('l_extendedprice')} + CASE WHEN l_tax > 0 THEN {MONEY.format(MONEY.format('l_extendedprice') + ' * ' + MONEY.format('l_tax') + ' * 50')} ELSE {MONEY.format('0')} END AS effective_value,
-       CASE WHEN l_tax > 0 THEN CAST(l_tax * 50 AS DECIMAL(18, 4)) END AS amendment_ratio,
+       CASE WHEN l_tax > 0 THEN {MONEY.format(MONEY.format('l_extendedprice') + ' * ' + MONEY.format('l_tax') + ' * 75')} END AS amendment_value,
+       {MONEY.format('l_extendedprice')} + CASE WHEN l_tax > 0 THEN {MONEY.format(MONEY.format('l_extendedprice') + ' * ' + MONEY.format('l_tax') + ' * 75')} ELSE {MONEY.format('0')} END AS effective_value,
+       CASE WHEN l_tax > 0 THEN CAST(l_tax * 75 AS DECIMAL(18, 4)) END AS amendment_ratio,
        CAST(l_orderkey AS VARCHAR(20)) AS reference_number
-FROM {{lineitem}} l JOIN {{orders}} o ON l_orderkey = o_orderkey JOIN {{supplier}} s ON l_suppkey = s_suppkey JOIN {{part}} p ON l_partkey = p_partkey""",
+FROM {{lineitem}} l JOIN {{orders}} o ON l_orderkey = o_orderkey JOIN {{supplier}} s ON l_suppkey = s_suppkey JOIN {{part}} p ON l_partkey = p_partkey
+JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) q ON k = 0 OR l_orderkey % 50 = 0""",  # the quarterly snapshots of a contract
     "grants": f"""
-SELECT CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE {_BN.format('c_custkey')} END AS recipient_business_number,
+SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE {_BN.format('c_custkey')} END AS recipient_business_number,
        {_NAME} AS recipient_legal_name, substr(o_orderpriority, 3, 20) AS owner_org_title, {_PROGRAM} AS prog_name_en,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Support for ' || c_mktsegment END AS description_en,
        {MONEY.format('o_totalprice')} AS agreement_value, {DAY.format('o_orderdate')} AS agreement_start_date,
@@ -56,7 +59,7 @@ SELECT CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE {_BN.format('c_custkey')} END
 FROM {{orders}} o JOIN {{customer}} c ON o_custkey = c_custkey JOIN {{nation}} n ON c_nationkey = n_nationkey""",
     "charities": f"""
 SELECT {_BN.format('c_custkey')} AS bn, {_NAME} AS legal_name, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS designation,
-       c_mktsegment AS category, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Street ' || CAST(c_custkey % 100 AS VARCHAR(9)) END AS address,
+       c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' - General - Local' ELSE '' END AS category, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Street ' || CAST(c_custkey % 100 AS VARCHAR(9)) END AS address,
        'City ' || CAST(c_nationkey AS VARCHAR(9)) AS city
 FROM {{customer}} c WHERE c_custkey % 13 <> 0""",
     "charity_history": f"""
@@ -67,13 +70,15 @@ FROM {{customer}} c CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 AS d) y""",
 SELECT {_BN.format('c_custkey')} AS bn, {MONEY.format('abs(c_acctbal) * 400 + d * 1000')} AS total_revenue,
        CASE WHEN c_custkey % 19 = 0 THEN {MONEY.format('0')} ELSE {MONEY.format('abs(c_acctbal) * 300')} END AS total_expenditure,
        {MONEY.format('abs(c_acctbal) * (c_custkey % 5) * 100')} AS gov_funding_federal, {MONEY.format('abs(c_acctbal) * (c_custkey % 4) * 60')} AS gov_funding_provincial,
+       CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE {MONEY.format('abs(c_acctbal) * (c_custkey % 3) * 20')} END AS gov_funding_other,
        CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE {MONEY.format('abs(c_acctbal) * (c_custkey % 10) * 40')} END AS compensation,
        {MONEY.format('abs(c_acctbal) * 30')} AS mgmt_admin_exp,
        CAST(CAST('2021-12-31' AS DATE) - INTERVAL 1 YEAR * CAST(c_custkey % 5 + d AS INT) AS DATE) AS fpe
 FROM {{customer}} c CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 AS d) y""",
     "compensation": f"""
 SELECT {_BN.format('c_custkey')} AS bn, CAST(CASE WHEN c_custkey % 97 = 0 THEN 600000 ELSE c_custkey % 4 END AS BIGINT) AS ft_employees,
-       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 3 AS BIGINT) END AS pt_employees
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 3 AS BIGINT) END AS pt_employees,
+       chr(123) || '"300":"' || CAST(c_custkey % 5 AS VARCHAR(9)) || '","320":"' || CASE WHEN c_custkey % 6 = 0 THEN 'n/a' ELSE CAST(c_custkey % 2 AS VARCHAR(9)) END || '","340":""' || chr(125) AS raw_fields
 FROM {{customer}} c WHERE c_custkey % 7 <> 0""",
     "programs": f"""
 SELECT {_BN.format('c_custkey')} AS bn, CASE WHEN c_custkey % 3 = 0 THEN 'short' ELSE 'Runs services in ' || c_mktsegment END AS description
@@ -90,6 +95,9 @@ SELECT {_BN.format('o_custkey')} AS bn, 'First' || CAST(CAST(floor(o_orderkey /
        CASE WHEN o_orderkey % 7 < 3 THEN NULL ELSE 'j' END AS initials, o_orderpriority AS position,
        CASE WHEN o_orderkey % 4 = 0 THEN {DAY.format('o_orderdate')} END AS end_date
 FROM {{orders}} o""",
+    "wrongdoing": """
+SELECT CAST(p_partkey AS BIGINT) AS id, p_brand AS owner_org_title, chr(123) || '"case_description_en":"' || p_type || '"' || chr(125) AS raw_fields
+FROM {part} p WHERE p_partkey % 40 = 0""",
     "notices": f"""
 SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'conviction' ELSE event_type END AS severity,
        CASE event_id % 3 WHEN 0 THEN 'CUSTOMER  000000' || lpad(CAST(event_id % 1500 AS VARCHAR(9)), 3, '0') || ' Society Inc.' WHEN 1 THEN 'Registered ' || {_BN.format('event_id % 1400')} ELSE 'Unknown party' END AS entity_name_raw,
@@ -116,9 +124,7 @@ class Domain(Mapping):
             else:
                 sql = BINDING[name]
                 df = self.spark.sql(sql, **{t: self.raw(t) for t in TABLES if "{%s}" % t in sql})
-            if name == "contracts":
-                df = with_vendor(df)
-            self._made[name] = df
+            self._made[name] = ingested_contracts(self.spark, self.sf_dir, df) if name == "contracts" else df
         return self._made[name]
 
     def __iter__(self):
@@ -129,8 +135,23 @@ class Domain(Mapping):
 
 
 def with_vendor(contracts: DataFrame) -> DataFrame:
-    """Contracts with normalized_vendor, computed once and not in every filter and grouping."""
-    return contracts.withColumn("normalized_vendor", keys.normalize_vendor(contracts["vendor_name"]))
+    """Contracts with normalized_vendor, which is computed once for each different name."""
+    names = contracts.select("vendor_name").where("vendor_name IS NOT NULL").distinct()
+    return contracts.join(names.withColumn("normalized_vendor", keys.normalize_vendor(names["vendor_name"])), "vendor_name", "left")
+
+
+#: Paths of ingested contracts by application and folder.
+_INGESTED: dict[tuple[str, str], str] = {}
+
+
+def ingested_contracts(spark: SparkSession, sf_dir: str, contracts: DataFrame) -> DataFrame:
+    """The contracts as their ingestion stores them, with normalized_vendor: written once a session, read by all views."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INGESTED:
+        path = f"{shared_folder(spark)}/contracts-{uuid.uuid4().hex[:12]}"
+        with_vendor(contracts).write.parquet(path)
+        _INGESTED[key] = path
+    return spark.read.parquet(_INGESTED[key])
 
 
 def policy_targets(spark: SparkSession) -> DataFrame:

@@ -159,10 +159,10 @@ def cluster_by_theme(t):
 
 
 @view("policy_gap", "id:s allocated:d scheduled:d fulfillment_pct:d", "grants policy_targets", """
-  SELECT id, coalesce(sum(agreement_value), 0) AS allocated, sched AS scheduled, 100.0 * CAST(coalesce(sum(agreement_value), 0) AS DOUBLE) / sched AS fulfillment_pct FROM (
+  SELECT p.id, coalesce(sum(agreement_value), 0) AS allocated, sched AS scheduled, 100.0 * CAST(coalesce(sum(agreement_value), 0) AS DOUBLE) / sched AS fulfillment_pct FROM (
     SELECT *, CAST(total_commitment_cad AS DOUBLE) * least(1.0, CAST(DATE '2021-06-30' - target_start AS DOUBLE) / (target_end - target_start)) AS sched FROM policy_targets) p
   LEFT JOIN grants g ON agreement_start_date >= target_start AND agreement_start_date <= DATE '2021-06-30' AND regexp_matches(lower(prog_name_en), match_regex)
-  GROUP BY id, sched HAVING 100.0 * CAST(coalesce(sum(agreement_value), 0) AS DOUBLE) / sched < 50""")
+  GROUP BY p.id, sched HAVING 100.0 * CAST(coalesce(sum(agreement_value), 0) AS DOUBLE) / sched < 50""")
 def policy_gap(t, as_of: str = "2021-06-30", below: float = 50.0):
     """Commitments of which less than `below` percent of what a linear schedule had due by `as_of` has been granted."""
     day = F.lit(as_of).cast("date")

@@ -131,7 +131,14 @@ def funding_top_transfers(t):
     return top.join(t["charities"].select(F.col("bn").alias("donor_bn"), "legal_name"), "donor_bn", "left").withColumn("donor_name", F.coalesce("legal_name", "donor_bn"))
 
 
-@view("largest_edge_walk", "start:s hop:l src:s dst:s amount:d", "transfers", None)
+_BEST = "SELECT donor_bn AS src, donee_bn AS dst, sum(total_gifts) AS amount FROM transfers WHERE donor_bn IS NOT NULL AND donee_bn IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY donor_bn ORDER BY sum(total_gifts) DESC, donee_bn) = 1"
+
+
+@view("largest_edge_walk", "start:s hop:l src:s dst:s amount:d", "transfers", f"""
+  WITH RECURSIVE e AS ({_BEST}), w AS (
+    SELECT s.node AS start, 1 AS hop, src, dst, amount, [s.node] AS seen FROM (SELECT DISTINCT donor_bn AS node FROM transfers WHERE donor_bn IS NOT NULL) s JOIN e ON e.src = s.node
+    UNION ALL SELECT start, hop + 1, e.src, e.dst, e.amount, list_append(seen, w.dst) FROM w JOIN e ON e.src = w.dst WHERE hop < 3 AND NOT list_contains(seen, w.dst))
+  SELECT start, hop, src, dst, amount FROM w""")
 def largest_edge_walk(t):
     """From every donor, three steps along the largest transfer."""
     starts = t["transfers"].select(F.col("donor_bn").alias("node")).where("node IS NOT NULL").distinct()

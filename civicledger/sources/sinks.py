@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.relational import anti_insert, upsert
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables of this session go that all executors read: the checkpoint folder, else the warehouse, and a
+    temporary folder only where everything runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = f"file://{tempfile.mkdtemp(prefix='civicledger-')}"
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def materialize(spark: SparkSession, df: DataFrame, path: str, force: bool = False) -> DataFrame:
     """Write a view once and read it back; an existing one is kept unless `force`."""
     df.write.mode("overwrite" if force else "ignore").parquet(path)
