@@ -34,10 +34,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
+#: Narrow rows of a written file at least, where their number is bounded beforehand.
+FILE_ROWS = 500_000
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends there and no executor's loss undoes it.
+
+    With `rows`, a number of narrow rows that isn't exceeded, small tables become few files.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path

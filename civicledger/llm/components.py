@@ -18,14 +18,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pair = lambda e: e.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left, labels = cut(pair(edges), "cc-edges"), None
+    most = left.count()
     while labels is None or not left.isEmpty():
-        tree = cut(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "cc-tree")
+        tree = cut(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "cc-tree", most)
         while True:
             above = small(tree).select(F.col("node").alias("up"), F.col("up").alias("top"))
             once = tree.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
             # a second jump over the same table shows whether all are at their roots
             twice = once.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
-            jumped = cut(twice, "cc-tree")
+            jumped = cut(twice, "cc-tree", most)
             drop(tree)
             tree = jumped.select("node", "up")
             tree._table = jumped._table
@@ -33,15 +34,15 @@ def components(edges: DataFrame) -> DataFrame:
                 break
         if labels is None:
             ends = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-            labels = cut(ends.join(small(tree), "node", "left").select("node", F.coalesce("up", "node").alias("comp")), "cc-labels")
+            labels = cut(ends.join(small(tree), "node", "left").select("node", F.coalesce("up", "node").alias("comp")), "cc-labels", 2 * most)
         else:
             step = small(tree).select(F.col("node").alias("comp"), "up")
-            before, labels = labels, cut(labels.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-labels")
+            before, labels = labels, cut(labels.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-labels", 2 * most)
             drop(before)
         was, root = left, small(tree)
         for end in ("a", "b"):
             left = left.join(root.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-        left = cut(pair(left), "cc-edges")
+        left = cut(pair(left), "cc-edges", most)
         drop(was, tree)
     drop(left)
     return labels

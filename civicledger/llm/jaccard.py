@@ -223,7 +223,7 @@ def _regions(docs: DataFrame, described: DataFrame) -> DataFrame:
         last = np.union1d(last, hidden)
         drop(members)
     first = members.groupBy("cell").agg(F.min(F.struct("i", "n", "cls")).alias("first"))
-    with_pivot = cut(members.join(first, "cell").select(*members.columns, F.col("first.cls").alias("p"), F.col("first.n").alias("pn"), F.col("first.i").alias("pi")), "jaccard-members")
+    with_pivot = cut(members.join(first, "cell").select(*members.columns, F.col("first.cls").alias("p"), F.col("first.n").alias("pn"), F.col("first.i").alias("pi")), "jaccard-members", members.count())
     drop(members)
     return with_pivot
 
@@ -313,11 +313,11 @@ def _both(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
-    """Those of the pairs (a, b) of classes that link, by the texts of one document of each class."""
-    pairs = cut(pairs, "jaccard-pairs")
+def _linked(pairs: DataFrame, most: int | None, classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """Those of the pairs (a, b) of classes, `most` at most, that link, by the texts of one document of each class."""
+    pairs = cut(pairs, "jaccard-pairs", most)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = cut(classes.join(ids, "cls", "left_semi").select("cls", F.col("rep").alias("_rep")), "jaccard-wanted")
+    wanted = cut(classes.join(ids, "cls", "left_semi").select("cls", F.col("rep").alias("_rep")), "jaccard-wanted", 2 * pairs.count())
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small(wanted), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cls", "text")
     # a repeated id may bring a class several texts, others' among them
     texts = cut(_own_texts(texts).dropDuplicates(["cls"]) if repeated else texts, "jaccard-texts")
@@ -332,7 +332,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
         links = links.join(labels.select(F.col("node").alias(end), F.col("comp").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
     step = components(links)
     moved = labels.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    out = cut(moved.union(step.select("node", "comp")).distinct(), "jaccard-labels")
+    out = cut(moved.union(step.select("node", "comp")).distinct(), "jaccard-labels", labels.count() + step.count())
     drop(labels, step)
     return out
 
@@ -349,38 +349,45 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     described = cut(_describe(docs.select("doc_id", "text")), "jaccard-described")
     known = described.where("chunk is null").select("doc_id", "n", "cls")
-    classes = cut(known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    n_docs = known.count()
+    classes = cut(known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "jaccard-classes", n_docs)
     repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
     members = _regions(docs, described)
     near = members.where((F.col("cls") != F.col("p")) & _fit(F.col("n"), F.col("i"), F.col("pn"), F.col("pi")))
-    links = _linked(near.select(*_both(F.col("cls"), F.col("p"))).distinct(), classes, docs, repeated)
+    links = _linked(near.select(*_both(F.col("cls"), F.col("p"))).distinct(), members.count(), classes, docs, repeated)
     labels = components(links)
-    before, members = members, cut(_unsettled(members.where("cls != p"), labels), "jaccard-members")
+    before, members = members, cut(_unsettled(members.where("cls != p"), labels), "jaccard-members", members.count())
     drop(before, links)
     turn = 0
     while not members.isEmpty():
-        met = cut(_with_pivots(members, turn), "jaccard-met")
+        met = cut(_with_pivots(members, turn), "jaccard-met", members.count())
         own = lambda q: (q["comp"] != F.col("comp")) & _fit(F.col("n"), F.col("i"), q["n"], q["i"])
         pairs = met.select("cls", F.explode(F.filter("pivots", own)).alias("q")).select(*_both(F.col("cls"), F.col("q.cls"))).distinct()
-        links = _linked(pairs, classes, docs, repeated)
+        links = _linked(pairs, None, classes, docs, repeated)
         labels = _relabelled(labels, links)
         rest = met.where(~F.exists("pivots", lambda q: q["cls"] == F.col("cls")))
-        before, members = members, cut(_unsettled(rest, labels), "jaccard-members")
+        before, members = members, cut(_unsettled(rest, labels), "jaccard-members", members.count())
         drop(before, met, links)
         turn += 1
     full = known.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    full = cut(full.select("doc_id", "n", "cls", "comp"), "jaccard-labelled")
-    least = cut(full.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    full = cut(full.select("doc_id", "n", "cls", "comp"), "jaccard-labelled", n_docs)
+    least = cut(full.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "jaccard-least", n_docs)
     drop(described, classes, labels, members)
     out = full.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents that are linked, directly or through others, to one of a smaller id."""
+    """`docs` without the documents that are linked, directly or through others, to one of a smaller id.
+
+    Rows of null id, and texts without a word, stay; rows that repeat an id share one fate; an empty table stays
+    empty, and no column's name can clash.
+    """
     chosen = jaccard_components(docs)
     gone = chosen.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = row.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti")
+    return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
