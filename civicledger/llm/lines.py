@@ -56,7 +56,7 @@ def _later_windows(docs: DataFrame, k: int, w: int, words: int | None) -> DataFr
     )
     marks = F.transform(picked, lambda p: F.struct(F.element_at("g", (p + 1).cast("int")).alias("mark"), around(p).alias("windows")))
     marks = cut(grams.select("doc_id", F.explode(marks).alias("m")).select("doc_id", "m.mark", "m.windows"), "line-marks")
-    common = cut(marks.groupBy("mark").count().where("count > 1").select("mark"), "line-common")
+    common = marks.groupBy("mark").count().where("count > 1").select("mark")
     windows = marks.join(common, "mark", "left_semi").select("doc_id", F.explode("windows").alias("x")).select("doc_id", "x.s", "x.run")
     windows = windows.select("doc_id", "s", F.lit(t).alias("n"), "run")
     if words is not None:
@@ -64,10 +64,9 @@ def _later_windows(docs: DataFrame, k: int, w: int, words: int | None) -> DataFr
     windows = cut(windows.distinct(), "line-windows")
     place = F.struct("doc_id", "s")
     firsts = windows.groupBy("n", "run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("n", "run", "first")
-    firsts = cut(firsts, "line-firsts")
     later = windows.join(firsts, ["n", "run"]).where(place > F.col("first"))
     out = cut(later.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n")).alias("runs")), "line-later")
-    drop(marks, common, windows, firsts)
+    drop(marks, windows)
     return out
 
 
