@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import table, text_batches, worker_cache
 
-LEAF = 12  # bytes that are merged directly
+LEAF = 16  # bytes that are merged directly
 SPAN = 1 << 10  # characters of text that are split into pre-tokens directly
 IDS = 1 << 8  # ids that are decoded directly
 CACHE = 400_000  # distinct chunks that a worker remembers
@@ -44,6 +44,7 @@ class Codec:
         import regex
 
         self.ranks, self.bytes_of = ranks, {rank: token for token, rank in ranks.items()}
+        self.bytes_of_text = {str(rank): token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.chunks: dict[str, str] = {}
         self.pieces: dict[str, str] = {}
@@ -150,12 +151,17 @@ class Codec:
             out.append(ids)
         return "".join(out)
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of the ids: halves recursively, concatenated up the tree."""
-        if len(ids) <= IDS:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+    def decode(self, ids: list) -> bytes:
+        """The bytes of the ids (numbers, or all as decimal text): halves recursively, concatenated up the tree."""
+        of = self.bytes_of_text if ids and isinstance(ids[0], str) else self.bytes_of
+
+        def part(a: int, b: int) -> bytes:
+            if b - a <= IDS:
+                return b"".join(map(of.__getitem__, ids[a:b]))
+            half = (a + b) // 2
+            return part(a, half) + part(half, b)
+
+        return part(0, len(ids))
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -186,12 +192,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
             rows: list[list] = [[], [], [], []]
             for text in batch.column(1).to_pylist():
                 coded = own.encode(text or "")[1:]
-                numbers = list(map(int, coded.split(","))) if coded else []
+                numbers = coded.split(",") if coded else []
                 rows[0].append(len(numbers))
                 rows[1].append(hashlib.sha256(coded.encode()).hexdigest())
                 rows[2].append(hashlib.sha256(own.decode(numbers)).hexdigest())
                 if ids:
-                    rows[3].append(np.array(numbers, np.int32))
+                    rows[3].append(np.array(numbers, dtype=np.int32) if numbers else np.zeros(0, np.int32))
             out = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
