@@ -4,12 +4,14 @@ A vector is coded as a sum of one codeword from each of M full-dimensional codeb
 a bounded sample (residual k-means, then each codebook fitted to what the others leave of beam-searched codes); every vector
 is coded by beam search, and its norm over its code's norm is stored as a scale. Queries, in blocks, score
 blocks of codes by table lookups; the best of every block are merged by Spark, reranked by exact double
-precision inner products, and expanded from distinct vectors to rows.
+precision inner products, and expanded from distinct vectors to rows. Codes stay in the tasks' blocks: queries are
+broadcast to them, a bounded number at a time.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from .common import cut, table
 BOOKS, WORDS, BEAM = 16, 256, 8
 TRAIN = 16_384
 CODE_BLOCK, QUERY_BLOCK = 32_768, 128
+PASS_BYTES = 8 << 20  # vectors of queries that are broadcast at a time
 
 
 def beam_encode(x, books, beam: int = BEAM):
@@ -94,6 +97,8 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
     `rerank` codes a query are looked at exactly, whatever the table's size: an approximation whose recall is
     measured. With `exact` no codes are made: blocks of queries meet blocks of all vectors, and recall is 1.
     """
+    import numpy as np
+
     spark = vectors.sparkSession
     e = F.col("embedding")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
@@ -138,7 +143,7 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
     n_code = _blocks(n, CODE_BLOCK)
     asked = members.where(F.col("vec_id") % queries_every == 0)
     q = cut(distinct.join(asked.select("rep").distinct(), "rep", "left_semi"), "ann-queries")
-    n_query = _blocks(q.count(), QUERY_BLOCK)
+    n_pass = _blocks(q.count(), max(1, PASS_BYTES // (8 * usual["d"])))
 
     def pack_codes(pdf):
         import numpy as np
@@ -146,43 +151,50 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
 
         return pd.DataFrame({"cblock": pdf["cblock"].iloc[:1], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "codes": [b"".join(pdf["code"])], "scales": [pdf["scale"].to_numpy(np.float32).tobytes()]})
 
-    def pack_queries(pdf):
-        import numpy as np
-        import pandas as pd
-
-        return pd.DataFrame({"qblock": pdf["qblock"].iloc[:1], "qreps": [pdf["rep"].to_numpy(np.int64).tobytes()], "qvecs": [np.array(list(pdf["embedding"]), float).tobytes()]})
-
     blocks = coded.withColumn("cblock", F.pmod(F.xxhash64("rep"), F.lit(n_code)).cast("int")).groupBy("cblock").applyInPandas(pack_codes, "cblock int, reps binary, codes binary, scales binary")
-    asks = q.withColumn("qblock", F.pmod(F.xxhash64("rep"), F.lit(n_query)).cast("int")).groupBy("qblock").applyInPandas(pack_queries, "qblock int, qreps binary, qvecs binary")
-    asks = asks.withColumn("cblock", F.explode(F.sequence(F.lit(0), F.lit(n_code - 1))))
-    pairs = asks.join(blocks, "cblock").repartition("cblock", "qblock")
-
-    def scan(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for r in pdf.itertuples():
-                reps, scales = np.frombuffer(r.reps, np.int64), np.frombuffer(r.scales, np.float32)
-                qreps = np.frombuffer(r.qreps, np.int64)
-                qs = np.frombuffer(r.qvecs, float).reshape(len(qreps), -1)
-                if exact:
-                    score = np.frombuffer(r.codes, float).reshape(len(reps), -1) @ qs.T
-                else:
-                    codes = np.frombuffer(r.codes, np.uint8).reshape(len(reps), -1)
-                    qs = (qs / unit).astype(np.float32)
-                    score = np.zeros((len(reps), len(qreps)), np.float32)
-                    for m, book in enumerate(books):
-                        score += (book @ qs.T)[codes[:, m]]
-                    score *= scales[:, None]
-                keep = min(rerank, len(reps))
-                best = np.argpartition(-score, keep - 1, axis=0)[:keep]
-                got = np.take_along_axis(score, best, 0)
-                yield pd.DataFrame({"qrep": np.repeat(qreps, keep), "crep": reps[best.T.ravel()], "approx": got.T.ravel()})
-
-    found = pairs.select("qreps", "qvecs", "reps", "codes", "scales").mapInPandas(scan, "qrep bigint, crep bigint, approx double")
-    nearest = Window.partitionBy("qrep").orderBy(F.desc("approx"), "crep")
-    found = cut(found.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= rerank).select("qrep", "crep"), "ann-found")
+    # few blocks are copied until every core has one; with more blocks than cores nothing is
+    slices = _blocks(2 * spark.sparkContext.defaultParallelism, n_code)
+    blocks = cut(blocks, "ann-blocks").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def scan(asked, slices):
+        def run(batches):
+            import numpy as np
+            import pandas as pd
+
+            all_reps, all_vectors = asked.value
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    reps, scales = np.frombuffer(r.reps, np.int64), np.frombuffer(r.scales, np.float32)
+                    codes = np.frombuffer(r.codes, float if exact else np.uint8).reshape(len(reps), -1)
+                    keep = min(rerank, len(reps))
+                    for start in range(r.slice * QUERY_BLOCK, len(all_reps), slices * QUERY_BLOCK):
+                        qreps, qs = all_reps[start : start + QUERY_BLOCK], all_vectors[start : start + QUERY_BLOCK]
+                        if exact:
+                            score = codes @ qs.T
+                        else:
+                            qs = (qs / unit).astype(np.float32)
+                            score = np.zeros((len(reps), len(qreps)), np.float32)
+                            for m, book in enumerate(books):
+                                score += (book @ qs.T)[codes[:, m]]
+                            score *= scales[:, None]
+                        best = np.argpartition(-score, keep - 1, axis=0)[:keep]
+                        got = np.take_along_axis(score, best, 0)
+                        yield pd.DataFrame({"qrep": np.repeat(qreps, keep), "crep": reps[best.T.ravel()], "approx": got.T.ravel()})
+
+        return run
+
+    nearest, parts = Window.partitionBy("qrep").orderBy(F.desc("approx"), "crep"), []
+    for i in range(n_pass):  # queries come to the codes, PASS_BYTES of them at a time
+        part = q.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(n_pass)) == i).toPandas().sort_values("rep")
+        if not len(part):
+            continue
+        asked_now = spark.sparkContext.broadcast((part["rep"].to_numpy(np.int64), np.array(list(part["embedding"]), float)))
+        hits = blocks.repartition(n_code * slices, "cblock", "slice").drop("cblock").mapInPandas(scan(asked_now, slices), "qrep bigint, crep bigint, approx double")
+        parts.append(cut(hits.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= rerank).select("qrep", "crep"), "ann-found"))
+        asked_now.unpersist()
+    if not parts:
+        return empty
+    found = reduce(DataFrame.unionByName, parts)
     one, two = distinct.select(F.col("rep").alias("qrep"), F.col("embedding").alias("_q")), distinct.select(F.col("rep").alias("crep"), F.col("embedding").alias("_c"))
     dot = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     exact = found.join(two, "crep").join(one, "qrep").select("qrep", "crep", dot.alias("score"))
