@@ -329,6 +329,14 @@ def test_chroma_votes_for_every_holder(spark):
     assert got[10][:3] == (9, 0, 38) and got[20] == (None, None, None, 9)
 
 
+def test_chroma_finds_altered_copies(spark):
+    """Recordings of the query's own table that come again shifted, noisy or cut are in their originals' classes."""
+    ids = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    out = {r["rec_id"]: r["class_id"] for r in chroma.align(chroma.fingerprints(chroma.sonify(ids, altered_every=4))).collect()}
+    pairs = [(out[i], out[-1 - i]) for i in out if -1 - i in out and i >= 0]
+    assert len(pairs) > 100 and sum(a == b for a, b in pairs) >= 0.95 * len(pairs)
+
+
 def test_fingerprint_is_the_filters_by_definition():
     c = chroma.chroma(2000, np.random.default_rng(1).normal(size=6000).astype(np.float32))
     got = chroma.fingerprint(c)
