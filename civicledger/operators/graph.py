@@ -13,9 +13,18 @@ from ..operators.relational import first_by
 def cycles(edges: DataFrame, length: int) -> DataFrame:
     """Directed simple cycles of `length` nodes, each once, its least node first: n0.., leg0.., min_leg, total.
 
-    The order is applied before each join, so that only paths that can still be canonical are extended.
+    The order is applied before each join, so that only paths that can still be canonical are extended. Cycles of four
+    are two halves of two edges with the same ends: no path of three edges through a hub is ever made.
     """
     e = edges.where("src != dst")
+    legs = [F.col(f"leg{i}") for i in range(length)]
+    columns = [*[f"n{i}" for i in range(length)], *[f"leg{i}" for i in range(length)], "min_leg", "total_circled"]
+    if length == 4:
+        step = lambda i, j: e.select(F.col("src").alias(f"n{i}"), F.col("dst").alias(f"n{j}"), F.col("amount").alias(f"leg{i}"))
+        there = step(0, 1).where("n0 < n1").join(step(1, 2), "n1").where("n2 > n0")
+        back = step(2, 3).join(step(3, 0).where("n3 > n0"), "n3").where("n2 > n0")
+        out = there.join(back, ["n0", "n2"]).where("n1 != n3")
+        return out.withColumn("min_leg", F.least(*legs)).withColumn("total_circled", reduce(lambda a, b: a + b, legs)).select(*columns)
     paths = e.where("src < dst").select(F.col("src").alias("n0"), F.col("dst").alias("n1"), F.col("amount").alias("leg0"))
     for i in range(1, length - 1):
         step = e.select(F.col("src").alias(f"n{i}"), F.col("dst").alias(f"n{i + 1}"), F.col("amount").alias(f"leg{i}"))
@@ -24,9 +33,8 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
     last = length - 1
     back = e.select(F.col("src").alias(f"n{last}"), F.col("dst").alias("n0"), F.col("amount").alias(f"leg{last}"))
     out = paths.join(back, [f"n{last}", "n0"])
-    legs = [F.col(f"leg{i}") for i in range(length)]
     out = out.withColumn("min_leg", F.least(*legs)).withColumn("total_circled", reduce(lambda a, b: a + b, legs))
-    return out.select(*[f"n{i}" for i in range(length)], *[f"leg{i}" for i in range(length)], "min_leg", "total_circled")
+    return out.select(*columns)
 
 
 def reciprocal(edges: DataFrame) -> DataFrame:

@@ -46,7 +46,8 @@ def money_text(x: Column) -> Column:
     """$1.2B, $3.4M, $5.6K, $78."""
     short = [(1e9, "B"), (1e6, "M"), (1e3, "K")]
     whole = F.format_string("$%.0f", x.cast("double"))
-    return reduce(lambda c, s: c.when(F.abs(x) >= s[0], F.format_string(f"$%.1f{s[1]}", x.cast("double") / s[0])), short[1:], F.when(F.abs(x) >= short[0][0], F.format_string("$%.1fB", x.cast("double") / 1e9))).otherwise(whole)
+    text = reduce(lambda c, s: c.when(F.abs(x) >= s[0], F.format_string(f"$%.1f{s[1]}", x.cast("double") / s[0])), short[1:], F.when(F.abs(x) >= short[0][0], F.format_string("$%.1fB", x.cast("double") / 1e9))).otherwise(whole)
+    return F.when(x.isNotNull(), text)
 
 
 _FILED = "SELECT substr(bn, 1, 9) AS k, * EXCLUDE (bn) FROM financial WHERE total_revenue > 0 QUALIFY row_number() OVER (PARTITION BY substr(bn, 1, 9) ORDER BY fpe DESC, total_revenue) = 1"

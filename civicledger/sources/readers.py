@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -22,6 +23,13 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, multilin
     return df.toDF(*[" ".join(c.replace("﻿", "").split()) for c in df.columns])
 
 
+def bad_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a CSV read with a schema: the rows that fit it, and one row with the number of those that don't."""
+    if "_bad" not in df.columns:
+        return df, df.sparkSession.createDataFrame([(0,)], "bad_rows long")
+    return df.where("_bad IS NULL").drop("_bad"), df.agg(F.count("_bad").alias("bad_rows"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines, an array, or an object whose records are under result.records, records, features or the first array."""
     df = spark.read.option("multiLine", _is_document(spark, path)).json(path)
@@ -68,15 +76,15 @@ def detect_format(name: str, content_type: str = "", declared: str = "", head: s
     return "csv" if len(lines) >= 2 and all("," in x for x in lines) else "unknown"
 
 
-def retry(call: Callable[[], object], tries: int = 6, first: float = 2.0, most: float = 30.0, sleep: Callable[[float], None] = time.sleep):
-    """Call until it works, waiting twice as long each time."""
+def retry(call: Callable[[], object], tries: int = 6, first: float = 2.0, most: float = 30.0, sleep: Callable[[float], None] = time.sleep, linear: bool = False):
+    """Call until it works, waiting twice as long each time, or `first` seconds longer."""
     for n in range(tries):
         try:
             return call()
         except OSError:
             if n == tries - 1:
                 raise
-            sleep(min(most, first * 2**n))
+            sleep(min(most, first * (n + 1) if linear else first * 2**n))
     return None
 
 
@@ -84,7 +92,9 @@ class PagedSource(DataSource):
     """A paged API as a table: `spark.read.format("paged").option("url", ..)`, a partition for each page.
 
     Options: url (a folder of offset-named JSON pages, or an http address that takes limit and offset), schema,
-    total (what the first page's answer states, if not given), page (records a page), start (offset to go on from).
+    total (what the first page's answer states, if not given), page (records a page), start (offset to go on from),
+    wait (linear: 2, 4, 6 .. seconds between tries), tries, on_error (skip: pages that keep failing are left out, and
+    said so on the task's log; else the load fails).
     """
 
     @classmethod
@@ -109,7 +119,14 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition) -> Iterator[tuple]:
         url, offset = self.options["url"], partition.value
-        for r in retry(lambda: fetch_page(url, offset, int(self.options.get("page", 32000)))):
+        try:
+            rows = retry(lambda: fetch_page(url, offset, int(self.options.get("page", 32000))), int(self.options.get("tries", 6)), float(self.options.get("first", 2.0)), linear=self.options.get("wait") == "linear")
+        except OSError as e:
+            if self.options.get("on_error") != "skip":
+                raise
+            print(f"page {offset} of {url} left out: {e}", file=sys.stderr)
+            return
+        for r in rows:
             whole = json.dumps(r, sort_keys=True, ensure_ascii=False)
             yield tuple(whole if n == "record" else None if r.get(n) in (None, "", "None") else str(r[n]) for n in self.names)
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from civicledger.functions import keys
 from civicledger.operators import graph, matching
 from civicledger.operators import relational as rel
-from civicledger.plans import gateway, tables
-from civicledger.sources import readers
+from civicledger.plans import charts, gateway, profiles, tables
+from civicledger.sources import readers, sinks
 
 
 def one(spark, values, expr, kind="string"):
@@ -59,6 +59,48 @@ def test_dml(spark):
     assert [r["t"] for r in rel.fill_by_mode(df, "s", "t").orderBy("i").collect()] == ["p", "p", "q", "p", None]
 
 
+def test_backfills(spark):
+    a, b = spark.createDataFrame([(1, 5), (2, 9)], "k int, v int"), spark.createDataFrame([(1, 7), (2, 3), (3, 1)], "k int, v int")
+    assert {tuple(r) for r in rel.upsert_greatest(a, b, ["k"], "v").collect()} == {(1, 7), (2, 9), (3, 1)}
+    target = spark.createDataFrame([(1, None), (2, 9), (4, 4)], "k int, v int")
+    got = {tuple(r) for r in rel.update_where_distinct(target, spark.createDataFrame([(1, 7), (2, 9), (3, 1)], "k int, v int"), "k", "v").collect()}
+    assert got == {(1, 7, True), (2, 9, False), (4, 4, False)}
+    t = spark.createDataFrame([(1, "a", None, None), (2, "a", None, None), (3, None, "x", None), (4, "b", None, "old")], "id int, p string, q string, v string")
+    s = spark.createDataFrame([("a", None, "2"), ("a", None, "1"), (None, "x", "3"), ("c", None, "4")], "p string, q string, v string")
+    assert {(r["id"], r["v"]) for r in rel.update_paired(t, s, ["p", "q"], "id", [F.col("v")], ["v"]).collect()} == {(1, "1"), (2, "2"), (3, "3"), (4, "old")}
+    full = spark.createDataFrame([(1, "x")] * 39 + [(1, None)], "s int, t string")
+    assert rel.fill_by_mode(full, "s", "t").where("t IS NULL").count() == 1
+    assert rel.fill_by_mode(full, "s", "t", enough=0.99).where("t IS NULL").count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    one, two = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    path = str(tmp_path / "t")
+    assert sinks.materialize(spark, one, path).count() == 2 and sinks.materialize(spark, two, path).where("k = 3").count() == 0
+    assert sinks.materialize(spark, two, path, force=True).count() == 2
+    assert {r["v"] for r in sinks.append_new(spark, one, path, ["k"]).collect()} == {"a", "c", "d"}
+    assert {tuple(r) for r in sinks.merge(spark, spark.createDataFrame([(1, "z")], "k int, v string"), path, str(tmp_path / "u"), ["k"]).collect()} == {(1, "z"), (2, "c"), (3, "d")}
+    assert sinks.shared_folder(spark).endswith(spark.sparkContext.applicationId)
+
+
+def test_vector_step_takes_what_is_left(spark):
+    entities = spark.createDataFrame([("charity", "Maple Leaf Housing", "MAPLE LEAF HOUSING", "1"), ("grant", "River Works", "RIVER WORKS", None), ("grant", "Ox", "OX", None)], "source string, entity_name string, name_norm string, bn string")
+    left = spark.createDataFrame([(1, "MAPLE LEAF HOUSNG"), (2, "UNKNOWN PARTY"), (3, "OX"), (4, None)], "notice_id int, name_norm string")
+    rows = matching.match_by_vector(left, entities).collect()
+    assert [(r["notice_id"], r["entity_name"], r["method"]) for r in rows] == [(1, "Maple Leaf Housing", "vector_cosine")] and 0.72 <= rows[0]["confidence"] < 1
+
+
+def test_findings_and_failed_checks(spark):
+    rows = spark.createDataFrame([("zombie-recipients", 0, None, None, None), ("amendment-creep", 1234, 2.5e6, "ACME", None), ("contract-intelligence", 3, 7e9, None, 41.26)], "finding string, n long, amount double, subject string, pct double")
+    got = {r["finding"]: r["text"] for r in profiles.finding_texts(rows).collect()}
+    assert got == {"zombie-recipients": "Data unavailable", "amendment-creep": "ACME: grown to $2.5M; 1,234 contracts flagged", "contract-intelligence": "Services are 41.3% of categorised contracts"}
+    money = spark.createDataFrame([(1.24e9,), (5600.0,), (78.0,), (-2e6,), (None,)], "x double").select(profiles.money_text(F.col("x")))
+    assert [r[0] for r in money.collect()] == ["$1.2B", "$5.6K", "$78", "$-2.0M", None]
+    tables = {"charities": spark.createDataFrame([("123456789RR0001", "Revoked")], "bn string, designation string")}
+    flags = profiles.screen_entity(tables, "anyone", "123456789RR0001").collect()
+    assert [(r["challenge"], r["severity"]) for r in flags] == [("charity_status", "high")]
+
+
 def test_matching_prefers_numbers(spark):
     notices = spark.createDataFrame([(1, "ACME", "123456789"), (2, "ACME", None), (3, "ABC", None)], "notice_id int, name_norm string, bn_guess string")
     entities = spark.createDataFrame([("c", "Acme", "ACME", "123456789"), ("c", "Abc", "ABC", None)], "source string, entity_name string, name_norm string, bn string")
@@ -73,6 +115,45 @@ def test_profile(spark):
     assert tables.suggest_charts([r.asDict() for r in p.values()])[0] == ("line", "date", "value")
 
 
+def test_charts_from_a_profile(spark):
+    df = spark.createDataFrame([("2024-01-01", "Ontario", "10"), ("2024-02-01", "Ontario", "15"), ("2024-03-01", "Quebec", "12")], "date string, province string, value string")
+    p = [r.asDict() for r in tables.profile(df).collect()]
+    assert charts.choose_fields(p, "line") == ("date", "value", None) and charts.choose_fields(p, "bar") == ("province", "value", None)
+    assert [charts.kind_of_goal(g) for g in ("trend over time", "price versus size", "top vendors", "anything", None)] == ["line", "scatter", "bar", None, None]
+    assert charts.choose_aggregation(df, "date", "value") == "none" and charts.choose_aggregation(df, "province", "value") == "sum" and charts.choose_aggregation(df, "province", None) == "count"
+    points, spec = charts.prepare(df, p, "trend")
+    assert [tuple(r) for r in points.collect()] == [("2024-01-01", 10.0), ("2024-02-01", 15.0), ("2024-03-01", 12.0)]
+    assert spec["mark"] == "line" and spec["encoding"]["x"]["type"] == "temporal"
+    points, spec = charts.prepare(df, p, "compare provinces")
+    assert [tuple(r) for r in points.collect()] == [("Ontario", 25.0), ("Quebec", 12.0)] and spec["encoding"]["y"]["title"] == "sum of value"
+    for bad in ({"x": "nothing"}, {"y": "province"}, {"group": "value"}):
+        with pytest.raises(ValueError):
+            charts.choose_fields(p, "bar", **bad)
+    with pytest.raises(ValueError):
+        charts.choose_fields([c for c in p if c["role"] != "time"], "line")
+
+
+def test_pick_chart(spark):
+    kind = lambda rows, schema: charts.pick_chart(spark.createDataFrame(rows, schema))["type"]
+    assert kind([(5,)], "n int") == "kpi" and kind([], "n int") == "none" and kind([("a",), ("b",)], "v string") == "table"
+    assert kind([(2020, "a", 1.0), (2021, "a", 2.0)], "fiscal_year int, k string, v double") == "multi_line"
+    assert kind([("a", "x", 1.0), ("b", "x", 2.0)], "k string, l string, v double") == "grouped_bar"
+    assert kind([("a", 1.0), ("b", 2.0)], "k string, v double") == "bar" and kind([(2020, 1.0), (2021, 2.0)], "year int, v double") == "line"
+    assert kind([(1, 1.0), (2, 2.0)], "u int, v double") == "scatter"
+
+
+def test_pages_that_fail_are_left_out(spark, tmp_path):
+    for offset in (0, 4):
+        (tmp_path / f"{offset}.json").write_text('{"total": 6, "records": [{"id": "%d"}, {"id": "%d"}]}' % (offset, offset + 1))
+    spark.dataSource.register(readers.PagedSource)
+    read = lambda **o: spark.read.format("paged").options(url=str(tmp_path), schema="id string", page="2", tries="2", first="0", **o).load()
+    assert sorted(r["id"] for r in read(on_error="skip").collect()) == ["0", "1", "4", "5"]
+    with pytest.raises(Exception, match=".*"):
+        read().collect()
+    good, bad = readers.bad_rows(spark.createDataFrame([(1, None), (2, "2,x,y")], "k int, _bad string"))
+    assert good.columns == ["k"] and good.count() == 1 and bad.first()[0] == 1
+
+
 def test_geo(spark):
     text = '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"n":"a"},"geometry":{"type":"Polygon","coordinates":[[[-80,43],[-79,43],[-79,44],[-80,43]]]}},{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[-71,47]}}]}'
     rows = tables.geo_features(spark.createDataFrame([(text,)], "value string")).orderBy("feature_id").collect()
