@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 
 BOOKS, WORDS, BEAM = 16, 256, 8
 TRAIN = 16_384
@@ -154,7 +154,8 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
     blocks = coded.withColumn("cblock", F.pmod(F.xxhash64("rep"), F.lit(n_code)).cast("int")).groupBy("cblock").applyInPandas(pack_codes, "cblock int, reps binary, codes binary, scales binary")
     # few blocks are copied until every core has one; with more blocks than cores nothing is
     slices = _blocks(2 * spark.sparkContext.defaultParallelism, n_code)
-    blocks = cut(blocks, "ann-blocks").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    packed = cut(blocks, "ann-blocks")
+    blocks = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def scan(asked, slices):
         def run(batches):
@@ -192,6 +193,7 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
         hits = blocks.repartition(n_code * slices, "cblock", "slice").drop("cblock").mapInPandas(scan(asked_now, slices), "qrep bigint, crep bigint, approx double")
         parts.append(cut(hits.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= rerank).select("qrep", "crep"), "ann-found"))
         asked_now.unpersist()
+    drop(raw, coded, q, packed)
     if not parts:
         return empty
     found = reduce(DataFrame.unionByName, parts)

@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 from .components import components
 
 FFT, HOP, LOWEST = 512, 128, 110.0
@@ -137,15 +137,17 @@ def align(prints: DataFrame, votes: int = 3, most_error: float = 0.35, share: in
     # a held tone repeats a pair: its first place stands for it
     marks = cut(reps.select("rec_id", F.explode(pairs).alias("m")).groupBy("rec_id", F.col("m.key").alias("key")).agg(F.min("m.at").alias("at")), "chroma-marks")
     shared = marks.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / share).alias("parts"))
-    marks = cut(marks.join(shared, "key"), "chroma-shared")
+    all_marks, marks = marks, cut(marks.join(shared, "key"), "chroma-shared")
     later = marks.withColumn("part", F.pmod(F.xxhash64("rec_id"), "parts"))
     earlier = marks.select("key", F.col("rec_id").alias("match_id"), F.col("at").alias("match_at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     hits = later.join(earlier, ["key", "part"]).where("match_id < rec_id")
     hits = hits.groupBy("rec_id", "match_id", (F.col("at") - F.col("match_at")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
     hits = cut(hits, "chroma-hits")
+    drop(rows, copies, all_marks, marks)
     good = hits.join(reps.select("rec_id", F.col("fp").alias("_a")), "rec_id").join(reps.select(F.col("rec_id").alias("match_id"), F.col("fp").alias("_b")), "match_id")
     good = good.withColumn("bit_error", bit_error(F.col("_a"), F.col("_b"), F.col("shift"))).where(F.col("bit_error") <= most_error)
     good = cut(good.select("rec_id", "match_id", F.col("shift").cast("int").alias("frame_offset"), "votes", "bit_error"), "chroma-matches")
+    drop(hits, reps)
     order = F.struct((-F.col("votes")).alias("v"), "match_id", "frame_offset")
     best = good.groupBy(F.col("rec_id").alias("copy_of")).agg(F.min_by(F.struct("match_id", "frame_offset", "votes", "bit_error"), order).alias("b")).select("copy_of", "b.*")
     classes = components(good.select(F.col("rec_id").alias("a"), F.col("match_id").alias("b"))).withColumnRenamed("node", "copy_of")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_count
+from .common import cut, drop, table, word_count
 
 BITS, LEVELS = 12, 5  # 60 bits of hash in all
 TOP = 1 << (BITS * LEVELS)
@@ -56,15 +56,17 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
     state = state.withColumn("_budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     state = cut(state.withColumn("_prefix", F.lit(0).cast("long")).withColumn("threshold", F.lit(None).cast("long")), "mix-state")
-    rest = sized
+    rest, done = sized, []
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        last = level == LEVELS - 1
+        last, before = level == LEVELS - 1, state
         open_ = state.where(F.col("threshold").isNull()).select(F.col("source").alias("_s"), "_prefix", "_budget")
         if level:
             near = (F.col("source").eqNullSafe(F.col("_s"))) & (F.shiftright("h", shift + BITS) == F.col("_prefix"))
             rest = rest.join(open_, near, "left_semi")
-            rest = cut(rest, "mix-boundary") if level == 1 else rest
+            if level == 1:
+                rest = cut(rest, "mix-boundary")
+                done.append(rest)
         hist = rest.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         hist = hist.join(open_, F.col("source").eqNullSafe(F.col("_s")))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
@@ -80,7 +82,9 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
             "threshold", F.when(F.col("threshold").isNotNull(), F.col("threshold")).when(F.col("e").isNull(), end).otherwise(found)
         )
         state = state.withColumn("_prefix", F.coalesce("e.bucket", "_prefix")).withColumn("_budget", F.coalesce(left, "_budget")).drop("e")
+        done.append(before)
         state = cut(state, "mix-state")
+    drop(*done)
     return state.drop("_prefix", "_budget")
 
 
