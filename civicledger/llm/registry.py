@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, chroma, jaccard, langid, lines, mixing, spelling, substrings, toxicity, warc
+from . import alignment, ann, bpe, chroma, classlm, jaccard, langid, lines, mixing, spelling, substrings, toxicity, warc
 
-MODULES = (langid, warc, substrings, lines, jaccard, toxicity, chroma, ann, mixing, bpe, spelling)
+MODULES = (langid, warc, substrings, lines, jaccard, toxicity, chroma, ann, mixing, bpe, classlm, alignment, spelling)
 
 
 def queries() -> dict:
