@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import vectors
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -39,46 +41,61 @@ def match_entities(notices: DataFrame, entities: DataFrame, shortest: int = 4) -
 NAME_DIMENSIONS = 256
 
 
-def name_vector(name: Column) -> Column:
-    """Counts of the name's letter triples, dealt to NAME_DIMENSIONS components by their characters.
+def name_vectors(names: DataFrame) -> DataFrame:
+    """(id, embedding) of distinct names (id): counts of letter triples, dealt to NAME_DIMENSIONS by their characters.
 
     It stands for a trained embedding, which would take its place as a column of the same kind.
     """
-    n = F.greatest(F.length(name) - 2, F.lit(0))
-    code = lambda i: F.ascii(F.substr(name, i, F.lit(1)))
-    triple = lambda i: ((code(i) * 961 + code(i + 1) * 31 + code(i + 2)) % NAME_DIMENSIONS).cast("int")
-    triples = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), triple)).otherwise(F.array().cast("array<int>"))
-    # sorted, so that a component's count is the distance of two places
-    return F.transform(F.sequence(F.lit(0), F.lit(NAME_DIMENSIONS - 1)), lambda k: F.size(F.filter(triples, lambda x: x == k)).cast("double"))
 
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            out = np.zeros((len(texts), NAME_DIMENSIONS))
+            for i, text in enumerate(texts):
+                code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+                if len(code) > 2:
+                    out[i] = np.bincount((code[:-2] * 961 + code[1:-1] * 31 + code[2:]) % NAME_DIMENSIONS, minlength=NAME_DIMENSIONS)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * NAME_DIMENSIONS), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], ["id", "embedding"])
 
-def match_by_vector(left_over: DataFrame, entities: DataFrame, least: float = 0.72, shortest: int = 4) -> DataFrame:
+    return names.where("id is not null").mapInArrow(count, "id string, embedding array<double>")
+
+
+def match_by_vector(left_over: DataFrame, entities: DataFrame, least: float = 0.72, shortest: int = 4, exact: bool = True) -> DataFrame:
     """(notice_id, source, entity_name, bn, method, confidence): for notices that number and name left, the most
-    similar entity of all, if its similarity is `least` or more. Equal names are searched once, in packed blocks."""
-    asked = left_over.where(F.length("name_norm") >= shortest).select("name_norm").distinct().withColumn("left_id", F.xxhash64("name_norm"))
-    known = entities.where(F.length("name_norm") >= shortest).groupBy("name_norm").agg(F.min(F.struct("source", "entity_name", "bn")).alias("e")).withColumn("right_id", F.xxhash64("name_norm"))
-    one = F.lit(0).alias("block")
-    near = nearest_by_blocks(asked.select("left_id", name_vector(F.col("name_norm")).alias("embedding"), one), known.select("right_id", name_vector(F.col("name_norm")).alias("embedding"), one), least)
-    hit = near.join(asked, "left_id").join(known.select("right_id", "e"), "right_id").select("name_norm", "e.*", F.col("similarity").alias("confidence"))
+    similar entity of all, if its similarity is `least` or more; ties go to the smallest normalised name.
+
+    Each different name is stored and searched once, in an inverted file of the entities' vectors; without `exact`
+    only the lists nearest to a name are looked into.
+    """
+    asked = left_over.where(F.length("name_norm") >= shortest).select(F.col("name_norm").alias("id")).distinct()
+    known = entities.where(F.length("name_norm") >= shortest).groupBy("name_norm").agg(F.min(F.struct("source", "entity_name", "bn")).alias("e"))
+    lists = vectors.build(name_vectors(known.select(F.col("name_norm").alias("id"))))
+    near = lists.nearest(name_vectors(asked), least=least, exact=exact).withColumnRenamed("id", "asked")
+    hit = near.join(known.withColumnRenamed("name_norm", "near"), "near").select(F.col("asked").alias("name_norm"), "e.*", F.col("similarity").alias("confidence"))
     return left_over.select("notice_id", "name_norm").join(hit, "name_norm").select("notice_id", "source", "entity_name", "bn", F.lit("vector_cosine").alias("method"), "confidence")
 
 
-#: Rows of a packed chunk of vectors: a pair of chunks is one row of the join.
-CHUNK = 1024
+#: Vectors of a packed chunk of the searched side, and of the asking one: a pair of chunks is one row of the join.
+CHUNK, ASKED = 4096, 1024
 
 
 def nearest_by_blocks(left: DataFrame, right: DataFrame, least: float = 0.72, apart: bool = False, chunk: int = CHUNK) -> DataFrame:
     """For each left row (left_id, embedding, block) the most similar right row (right_id, embedding, block) of its block.
 
-    The block (a label, a first letter) keeps this an equi-join; ties (to 12 places) go to the smaller right_id. Rows
-    are packed into chunks of about `chunk` vectors and chunks are multiplied, so no row is made for a pair. With
-    `apart` a row isn't its own neighbour. Ids are bigint; vectors that are null, without length or not finite match nothing.
+    All rows of a block are compared, as matrix products of packed chunks; no row is made for a pair. A searched chunk
+    stays where its block and number put it, and each asking chunk is sent to all of its block, so a large block is as
+    many tasks as it has chunks. Ties (to 12 places) go to the smaller right_id. With `apart` a row isn't its own
+    neighbour. Ids are bigint; vectors that are null, without length or not finite match nothing.
     """
 
-    def packed(df, key):
-        n = df.groupBy("block").agg(F.ceil(F.count("*") / chunk).alias("_n"))
-        rows = df.join(n, "block").withColumn("_part", F.pmod(F.xxhash64(key), "_n"))
-        return rows.groupBy("block", "_part").agg(F.collect_list(F.struct(F.col(key).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias(f"_{key}")).drop("_part")
+    def packed(df, key, size):
+        n = df.groupBy("block").agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
+        rows = df.join(n, "block").withColumn("_part", F.pmod(F.xxhash64(key), "_n").cast("int"))
+        return n, rows.groupBy("block", "_part").agg(F.collect_list(F.struct(F.col(key).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias(f"_{key}"))
 
     def multiply(batches):
         import numpy as np
@@ -103,7 +120,9 @@ def nearest_by_blocks(left: DataFrame, right: DataFrame, least: float = 0.72, ap
                 keep = most >= least
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[at[keep]]), pa.array(most[keep])], ["left_id", "right_id", "similarity"])
 
-    pairs = packed(left, "left_id").join(packed(right, "right_id"), "block").select("_left_id", "_right_id").repartition(left.sparkSession.sparkContext.defaultParallelism * 4)
-    found = pairs.mapInArrow(multiply, "left_id bigint, right_id bigint, similarity double")
+    _, asking = packed(left, "left_id", min(chunk, ASKED))
+    n, searched = packed(right, "right_id", chunk)
+    sent = asking.drop("_part").join(n, "block").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    found = sent.join(searched, ["block", "_part"]).select("_left_id", "_right_id").mapInArrow(multiply, "left_id bigint, right_id bigint, similarity double")
     best = found.groupBy("left_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("right_id").alias("r"))).alias("m"))
     return best.select("left_id", F.col("m.r").alias("right_id"), (-F.col("m.s")).alias("similarity"))

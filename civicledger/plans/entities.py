@@ -52,18 +52,31 @@ def _vector_sql(name: str) -> str:
     return f"list_transform(range(256), lambda k: CAST(len(list_filter({triples}, lambda x: x = k)) AS DOUBLE))"
 
 
-@view("adverse_media_vector_matches", "notice_id:l confidence:d", "notices charities grants contracts", rf"""
-  WITH m AS ({_MATCHES}), u0 AS ({_UNIVERSE}), u AS (SELECT name_norm, {_vector_sql('name_norm')} AS v FROM (SELECT DISTINCT name_norm FROM u0 WHERE length(name_norm) >= 4)),
+_BY_VECTOR = rf"""WITH m AS ({_MATCHES}), u0 AS ({_UNIVERSE}),
+  k AS (SELECT * FROM u0 WHERE length(name_norm) >= 4 QUALIFY row_number() OVER (PARTITION BY name_norm ORDER BY source, entity_name, bn NULLS FIRST) = 1), u AS (SELECT *, {_vector_sql('name_norm')} AS v FROM k),
   p AS (SELECT id, {_NORM.format('entity_name_raw')} AS name_norm FROM notices WHERE id NOT IN (SELECT notice_id FROM m)), d AS (SELECT name_norm, {_vector_sql('name_norm')} AS v FROM (SELECT DISTINCT name_norm FROM p WHERE length(name_norm) >= 4)),
-  b AS (SELECT d.name_norm, max(round(list_cosine_similarity(d.v, u.v), 12)) AS confidence FROM d, u GROUP BY 1)
-  SELECT id AS notice_id, confidence FROM p JOIN b USING (name_norm) WHERE confidence >= 0.72""")
-def adverse_media_vector_matches(t):
+  b AS (SELECT d.name_norm, u.source, u.entity_name, u.bn, round(list_cosine_similarity(d.v, u.v), 12) AS confidence FROM d, u QUALIFY row_number() OVER (PARTITION BY d.name_norm ORDER BY round(list_cosine_similarity(d.v, u.v), 12) DESC, u.name_norm) = 1)
+  SELECT id AS notice_id, source, entity_name, bn, 'vector_cosine' AS method, confidence FROM p JOIN b USING (name_norm) WHERE confidence >= 0.72"""
+
+
+def vector_matches(t) -> DataFrame:
     """What number and name left, matched to the most similar name."""
     notices = _notices(t)
     left_over = notices.join(adverse_media_matches(t).select("notice_id").distinct(), "notice_id", "left_anti")
     return matching.match_by_vector(left_over, entity_universe(t))
 
 
+@view("adverse_media_vector_matches", "notice_id:l confidence:d", "notices charities grants contracts", f"SELECT notice_id, confidence FROM ({_BY_VECTOR})")
+def adverse_media_vector_matches(t):
+    return vector_matches(t)
+
+
+@view("adverse_media_all_matches", "notice_id:l source:s entity_name:s bn:s method:s confidence:d", "notices charities grants contracts", f"({_MATCHES}) UNION ALL ({_BY_VECTOR})")
+def adverse_media_all_matches(t):
+    """All matches in one table: by number, by name, and for what is left by the nearest vector."""
+    return adverse_media_matches(t).unionByName(vector_matches(t))
+
+
 @view("adverse_media_report", "severity:s method:s matches:l notices:l granted:d contracted:d", "notices charities grants contracts", f"""
   SELECT severity, method, count(*) AS matches, count(DISTINCT notice_id) AS notices, coalesce(sum(g.v), 0) AS granted, coalesce(sum(c.v), 0) AS contracted
   FROM ({_MATCHES}) m JOIN notices ON id = notice_id LEFT JOIN (SELECT substr(recipient_business_number, 1, 9) AS k, sum(agreement_value) AS v FROM grants WHERE recipient_business_number IS NOT NULL GROUP BY 1) g ON g.k = m.bn
