@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import keys
+from ..sources.refresh import delete, input_files
 from ..sources.sinks import shared_folder
 
 DAY = "CAST(CAST({0} AS DATE) + INTERVAL 24 YEAR AS DATE)"
@@ -119,14 +120,14 @@ class Domain(Mapping):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            if name == "policy_targets":
-                df = policy_targets(self.spark)
-            else:
-                sql = BINDING[name]
-                df = self.spark.sql(sql, **{t: self.raw(t) for t in TABLES if "{%s}" % t in sql})
-            self._made[name] = ingested_contracts(self.spark, self.sf_dir, df) if name == "contracts" else df
+            df = policy_targets(self.spark) if name == "policy_targets" else self.bound(name)
+            self._made[name] = current_contracts(self.spark, self.sf_dir, df) if name == "contracts" else df
         return self._made[name]
 
+    def bound(self, name: str) -> DataFrame:
+        sql = BINDING[name]
+        return self.spark.sql(sql, **{t: self.raw(t) for t in TABLES if "{%s}" % t in sql})
+
     def __iter__(self):
         return iter([*BINDING, "policy_targets"])
 
@@ -140,18 +141,37 @@ def with_vendor(contracts: DataFrame) -> DataFrame:
     return contracts.join(names.withColumn("normalized_vendor", keys.normalize_vendor(names["vendor_name"])), "vendor_name", "left")
 
 
-#: Paths of ingested contracts by application and folder.
-_INGESTED: dict[tuple[str, str], str] = {}
+#: The tables that contracts are bound to.
+CONTRACT_TABLES = ("lineitem", "orders", "supplier", "part")
+#: Ingested contracts by application and folder: their path, and the input files they were made from.
+_INGESTED: dict[tuple[str, str], tuple[str, list]] = {}
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> list:
+    return input_files(spark, *[f"{sf_dir}/{t}.parquet" for t in CONTRACT_TABLES])
 
 
-def ingested_contracts(spark: SparkSession, sf_dir: str, contracts: DataFrame) -> DataFrame:
-    """The contracts as their ingestion stores them, with normalized_vendor: written once a session, read by all views."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INGESTED:
+def ingest_contracts(spark: SparkSession, sf_dir: str) -> str:
+    """Store the contracts with normalized_vendor, as an ingestion does: views over this folder read the stored table
+    for as long as none of its input files changes, and go by the tables themselves after that."""
+    key, files = (spark.sparkContext.applicationId, sf_dir), _inputs(spark, sf_dir)
+    if key not in _INGESTED or _INGESTED[key][1] != files:
         path = f"{shared_folder(spark)}/contracts-{uuid.uuid4().hex[:12]}"
-        with_vendor(contracts).write.parquet(path)
-        _INGESTED[key] = path
-    return spark.read.parquet(_INGESTED[key])
+        with_vendor(Domain(spark, sf_dir).bound("contracts")).write.parquet(path)
+        before = _INGESTED.pop(key, None)
+        _INGESTED[key] = (path, files)
+        if before:
+            delete(spark, before[0])
+    return _INGESTED[key][0]
+
+
+def current_contracts(spark: SparkSession, sf_dir: str, contracts: DataFrame) -> DataFrame:
+    """The stored contracts if they are of the input files as they are now, else `contracts` with names normalised
+    once each in the same plan. No job runs here."""
+    path, files = _INGESTED.get((spark.sparkContext.applicationId, sf_dir), ("", None))
+    if files is not None and files == _inputs(spark, sf_dir):
+        return spark.read.parquet(path)
+    return with_vendor(contracts)
 
 
 def policy_targets(spark: SparkSession) -> DataFrame:

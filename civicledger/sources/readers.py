@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = False) -> DataFrame:
@@ -94,7 +94,11 @@ class PagedSource(DataSource):
     Options: url (a folder of offset-named JSON pages, or an http address that takes limit and offset), schema,
     total (what the first page's answer states, if not given), page (records a page), start (offset to go on from),
     wait (linear: 2, 4, 6 .. seconds between tries), tries, on_error (skip: pages that keep failing are left out, and
-    said so on the task's log; else the load fails).
+    said so on the task's log; rows: they are a row each, with their first record's number, their records and the error in the columns page, records
+    and error, which the others have as null; else the load fails), parts (first:records, separated by commas: only these).
+
+    As a stream its offset is the number of records read. A batch holds all that the API has had since the last one,
+    a page or part of one to a task, and is read again between the same offsets after a restart.
     """
 
     @classmethod
@@ -102,11 +106,42 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self) -> str:
-        return self.options.get("schema", "id string, record string")
+        return self.options.get("schema", "id string, record string") + (", page bigint, records bigint, error string" if self.options.get("on_error") == "rows" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(dict(self.options), [f.name for f in schema.fields])
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return PagedStreamReader(dict(self.options), [f.name for f in schema.fields])
+
+
+#: Columns of failed pages.
+EXTRA = ("page", "records", "error")
+
+
+class Page(InputPartition):
+    """`take` records of the page that begins at record `offset`, of which the first `skip` are left out."""
+
+    def __init__(self, offset: int, skip: int = 0, take: int | None = None):
+        self.offset, self.skip, self.take = offset, skip, take
+
+
+def page_rows(options: dict, names: list[str], part: Page) -> Iterator[tuple]:
+    url, size = options["url"], int(options.get("page", 32000))
+    try:
+        rows = retry(lambda: fetch_page(url, part.offset, size), int(options.get("tries", 6)), float(options.get("first", 2.0)), linear=options.get("wait") == "linear")
+    except OSError as e:
+        if options.get("on_error") == "rows":
+            yield tuple({"page": part.offset + part.skip, "records": size if part.take is None else part.take, "error": str(e)[:300]}.get(n) for n in names)
+        elif options.get("on_error") == "skip":
+            print(f"page {part.offset} of {url} left out: {e}", file=sys.stderr)
+        else:
+            raise
+        return
+    for r in rows[part.skip : None if part.take is None else part.skip + part.take]:
+        whole = json.dumps(r, sort_keys=True, ensure_ascii=False)
+        yield tuple(whole if n == "record" else None if r.get(n) in (None, "", "None") or options.get("on_error") == "rows" and n in EXTRA else str(r[n]) for n in names)
+
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
@@ -114,21 +149,34 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         size, start = int(self.options.get("page", 32000)), int(self.options.get("start", 0))
+        if "parts" in self.options:
+            parts = [tuple(map(int, x.split(":"))) for x in self.options["parts"].split(",") if x]
+            return [Page(first - first % size, first % size, n) for first, n in parts]
         total = int(self.options["total"]) if "total" in self.options else retry(lambda: stated_total(self.options["url"], start, size))
-        return [InputPartition(o) for o in range(start, total, size)] or [InputPartition(start)]
+        return [Page(o) for o in range(start, total, size)] or [Page(start)]
 
     def read(self, partition) -> Iterator[tuple]:
-        url, offset = self.options["url"], partition.value
-        try:
-            rows = retry(lambda: fetch_page(url, offset, int(self.options.get("page", 32000))), int(self.options.get("tries", 6)), float(self.options.get("first", 2.0)), linear=self.options.get("wait") == "linear")
-        except OSError as e:
-            if self.options.get("on_error") != "skip":
-                raise
-            print(f"page {offset} of {url} left out: {e}", file=sys.stderr)
-            return
-        for r in rows:
-            whole = json.dumps(r, sort_keys=True, ensure_ascii=False)
-            yield tuple(whole if n == "record" else None if r.get(n) in (None, "", "None") else str(r[n]) for n in self.names)
+        return page_rows(self.options, self.names, partition)
+
+
+class PagedStreamReader(DataSourceStreamReader):
+    def __init__(self, options: dict, names: list[str]):
+        self.options, self.names = options, names
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"row": int(self.options.get("start", 0))}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        size = int(self.options.get("page", 32000))
+        return {"row": int(self.options["total"]) if "total" in self.options else retry(lambda: stated_total(self.options["url"], 0, size))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        size, first, last = int(self.options.get("page", 32000)), start["row"], end["row"]
+        pages = range(first - first % size, last, size)
+        return [Page(o, max(0, first - o), min(last, o + size) - max(first, o)) for o in pages]
+
+    def read(self, partition) -> Iterator[tuple]:
+        return page_rows(self.options, self.names, partition)
 
 
 def fetch_answer(url: str, offset: int, limit: int) -> dict:

@@ -12,14 +12,16 @@ from ..operators.relational import anti_insert, upsert
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where tables of this session go that all executors read: the checkpoint folder, else the warehouse, and a
-    temporary folder only where everything runs on one machine."""
+    """Where tables of this session go that all executors read: the checkpoint folder, and a temporary one only where
+    everything runs on one machine. Elsewhere the setting must be there; a default could be each executor's own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local"):
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='civicledger-')}"
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def materialize(spark: SparkSession, df: DataFrame, path: str, force: bool = False) -> DataFrame:
