@@ -4,8 +4,9 @@ Exchange: a word moves to the class in which the log likelihood of the corpus un
 its counts of neighbouring classes and the table of class pairs. Here each task moves its words one small lot after the
 other, keeping its own copy of the table up to date, and tasks learn of each other's moves after the step (half of
 the words a step, fewer after a step that failed); a step stays only if the exact objective rose. What moves is a
-unit: a word of at least LEAST training occurrences by itself, rarer and unknown words together by their last
-letters. All counts are over all training rows; what comes to the driver is the table of class pairs.
+unit: each of the OWN most frequent words by itself, all other and unknown words together by their last letters. So
+a model has UNITS units whatever the corpus, and its arrays by unit are what the driver holds and tasks are given;
+words, their counts and the counts of neighbours are of all training rows and stay tables.
 
 A text's probability is that of its classes, each given the one before, times that of each word given its class.
 Both are discounted; the emissions' discount is the class's probability of an unknown word, which like in the base
@@ -16,32 +17,33 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, block_id, look_up, pack, unpack
-from .common import cut, crc_mod, drop, small, table, text_batches
+from .common import crc_mod, cut, drop, table, text_batches
 
 CLASSES = 64
-STEPS = 6  # of the exchange, at most
-LEAST = 50  # training occurrences from which a word is a unit
-LETTERS = 3  # last letters by which rarer words are one unit
+STEPS = 5  # of the exchange, at most
+OWN = 1 << 15  # words that move by themselves, at most: the size of the model, like the number of classes
+TAILS = 1 << 13  # groups of the other words, by a hash of their last letters
+LETTERS = 3
+UNITS = 1 + OWN + TAILS
 END = "\n"  # the end of a text; no word holds white space
 HELD_BACK = 0.5  # discount of class pairs
 ROWS = 1 << 11  # counts that are compared with all classes at once
-
-
-def unit(word: Column, n: Column) -> Column:
-    """What a word of n training occurrences moves with: 64-bit hash of itself, or of its last letters; 0 for the end."""
-    rare = F.xxhash64(F.concat(F.lit(END), F.right(word, F.lit(LETTERS))))
-    return F.when(word == END, F.lit(0).cast("long")).when(n >= LEAST, F.xxhash64(word)).otherwise(rare)
+PLACE = 18  # bits of a neighbour's side and unit within a count
+PAIRS = 1 << 21  # distinct pairs of units that a task sums up before it sends them on
 
 
 def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
-    """block, ids, held, sizes (words by document), words, train (training occurrences of each), packed places of words."""
+    """block, ids, held, sizes (words by document), words, train (training occurrences of each), packed (places of words, units
+    of the words' last letters)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def write(batches):
+        import zlib
+
         import numpy as np
         import pyarrow as pa
 
@@ -55,7 +57,9 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
             codes, sizes, out = np.array(codes, np.int64), np.array(sizes, np.int64), np.asarray(batch.column(1).to_pylist(), bool)
             train = np.bincount(codes[np.repeat(~out, sizes)], minlength=len(place))
             train[0] += (~out).sum()
-            values = [[block_id()], [batch.column(0).to_pylist()], [out], [sizes], [[w.decode() for w in place]], [train], [pack(codes)]]
+            words = [w.decode() for w in place]
+            tails = np.array([1 + OWN + zlib.crc32(w[-LETTERS:].encode()) % TAILS for w in words], np.int64)
+            values = [[block_id()], [batch.column(0).to_pylist()], [out], [sizes], [words], [train], [pack(codes, tails)]]
             types = [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
 
@@ -64,26 +68,6 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
     return docs.select("doc_id", held.alias("held"), F.col("text").cast("string").alias("text")).mapInArrow(write, schema)
 
 
-def with_units(found: DataFrame) -> DataFrame:
-    """Blocks whose words are told as (n, unit): n by word, places of units by word, distinct units."""
-    kind = dict(found.dtypes)["ids"]
-
-    def write(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                values = batch.column("found").slice(row, 1).flatten()
-                n, units = np.asarray(values.field("n")), np.asarray(values.field("unit"))
-                distinct, place = np.unique(units, return_inverse=True)
-                kept = [batch.column(c).slice(row, 1) for c in ("block", "ids", "held", "sizes", "packed")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([n], pa.list_(pa.int64())), pa.array([pack(place)], pa.binary()), pa.array([distinct], pa.list_(pa.int64()))], names)
-
-    names = ["block", "ids", "held", "sizes", "packed", "n", "places", "units"]
-    return found.mapInArrow(write, f"block bigint, ids {kind}, held array<boolean>, sizes array<bigint>, packed binary, n array<bigint>, places binary, units array<bigint>")
-
-
 def sequences(sizes, codes):
     """All documents' codes, each document between ends (code 0), and where each document's first word stands."""
     import numpy as np
@@ -95,63 +79,122 @@ def sequences(sizes, codes):
     return out, first
 
 
+def units_of(value, tails):
+    """Units of a block's words, by what they were told as: an own unit's negative number, or a count."""
+    import numpy as np
+
+    out = np.where(value < 0, -value, tails)
+    out[0] = 0
+    return out
+
+
 def bigrams(coded: DataFrame) -> DataFrame:
-    """(a, b, n): neighbouring units of all training documents, whose first word follows an end."""
+    """(pair, n): neighbouring units a * 2^17 + b of all training documents, whose first word follows an end."""
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
+        held_pairs, held_n = [], []
+
+        def merged():
+            pairs, at = np.unique(np.concatenate(held_pairs), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate(held_n)).astype(np.int64)
+            held_pairs.clear(), held_n.clear()
+            return pairs, n
+
+        def sent(pairs, n):
+            for i in range(0, len(pairs), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 17)]), pa.array(n[i : i + (1 << 17)])], ["pair", "n"])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                sizes, held = (np.asarray(batch.column(c).slice(row, 1).flatten().to_numpy(zero_copy_only=False)) for c in ("sizes", "held"))
-                units = batch.column("units").slice(row, 1).flatten()
-                (codes,), (places,) = unpack(batch.column("packed")[row].as_py()), unpack(batch.column("places")[row].as_py())
+                sizes, held, value = (np.asarray(batch.column(c).slice(row, 1).flatten().to_numpy(zero_copy_only=False)) for c in ("sizes", "held", "found"))
+                codes, tails = unpack(batch.column("packed")[row].as_py())
                 words, first = sequences(sizes, codes)
+                units = units_of(value, tails)[words]
                 inside = np.repeat(~held.astype(bool), sizes + 2)
                 inside[first - 1] = False  # no pair ends where a document begins
                 at = np.flatnonzero(inside)
-                pairs, n = np.unique((places[words[at - 1]] << 32) | places[words[at]], return_counts=True)
-                ends = [units.take(pa.array(x)) for x in (pairs >> 32, pairs & 0xFFFFFFFF)]
-                yield pa.RecordBatch.from_arrays([*ends, pa.array(n.astype(np.int64))], ["a", "b", "n"])
-
-    rows = coded.select("sizes", "held", "packed", "places", "units").mapInArrow(count, "a bigint, b bigint, n bigint")
-    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def neighbours(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(unit, seen: side, class and n of its neighbours): side 0 for what follows it, 1 for what precedes."""
-    of = small(classes.select("unit", "cls"))
-    after = pairs.join(of.withColumnRenamed("unit", "b"), "b").select(F.col("a").alias("unit"), F.lit(0).alias("side"), "cls", "n")
-    before = pairs.join(of.withColumnRenamed("unit", "a"), "a").select(F.col("b").alias("unit"), F.lit(1).alias("side"), "cls", "n")
-    each = after.unionByName(before).groupBy("unit", "side", "cls").agg(F.sum("n").alias("n"))
-    return each.groupBy("unit").agg(F.collect_list(F.struct("side", "cls", "n")).alias("seen"))
-
-
-def first_classes(pairs: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """(unit, cls): the end is class 0, the k most frequent units have classes of their own, others go by their neighbours among these."""
-    top = units.where("unit <> 0").orderBy(F.desc("n"), "unit").limit(k)
-    ranked = top.select("unit", F.col("n").alias("own"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("own")).alias("less"), "unit", "own")))
-    seeds = F.broadcast(ranked.agg(order.alias("x")).select(F.posexplode("x").alias("at", "x")).select(F.col("x.unit").alias("unit"), (F.col("at") + 1).alias("cls"), F.col("x.own").alias("own")))
-    near = [pairs.join(seeds.withColumnRenamed("unit", x), x).select(F.col(y).alias("unit"), "cls", "own", "n") for x, y in ("ab", "ba")]
-    each = near[0].unionByName(near[1]).groupBy("unit", "cls").agg(F.sum("n").alias("n"), F.first("own").alias("own"))
-    best = each.groupBy("unit").agg(F.max_by("cls", F.struct(F.col("n") / F.sqrt("own"), "cls")).alias("near"))
-    own = units.join(best, "unit", "left").join(seeds.select("unit", F.col("cls").alias("seed")), "unit", "left")
-    return own.select("unit", F.when(F.col("unit") == 0, 0).otherwise(F.coalesce("seed", "near", F.pmod("unit", F.lit(k)) + 1)).cast("int").alias("cls"))
-
-
-def class_pairs(seen: DataFrame, k: int):
-    """The table of class pairs (a class, the class that follows) from (cls, seen): at most (k + 1)^2 numbers."""
+                pairs, n = np.unique((units[at - 1] << 17) | units[at], return_counts=True)
+                held_pairs.append(pairs)
+                held_n.append(n)
+                if sum(map(len, held_pairs)) > PAIRS:
+                    pairs, n = merged()
+                    if len(pairs) > PAIRS // 2:
+                        yield from sent(pairs, n)
+                    else:
+                        held_pairs.append(pairs)
+                        held_n.append(n)
+        if held_pairs:
+            yield from sent(*merged())
+
+    return coded.select("sizes", "held", "found", "packed").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """(unit, seen): one row for each unit; of its neighbours, n * 2^18 + side * 2^17 + unit: what follows it, and, of side 1, what precedes."""
+    a, b = F.shiftright("pair", 17), F.col("pair").bitwiseAND((1 << 17) - 1)
+    entry = lambda unit, other, side: F.struct(unit.cast("int").alias("unit"), (F.shiftleft("n", PLACE) + (side << 17) + other).alias("x"))
+    return pairs.select(F.inline(F.array(entry(a, b, 0), entry(b, a, 1)))).groupBy("unit").agg(F.collect_list("x").alias("seen"))
+
+
+def read_seen(batch):
+    """units, where their counts start, and of each count: side, unit, n."""
     import numpy as np
 
-    rows = seen.select("cls", F.inline(F.filter("seen", lambda x: x["side"] == 0).alias("x"))).toDF("cls", "side", "after", "n")
-    out = np.zeros((k + 1, k + 1))
-    for r in rows.groupBy("cls", "after").agg(F.sum("n").alias("n")).collect():
-        out[r["cls"], r["after"]] = r["n"]
+    lists = batch.column("seen")
+    x, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets).astype(np.int64)
+    return np.asarray(batch.column("unit")).astype(np.int64), offsets - offsets[0], (x >> 17) & 1, x & ((1 << 17) - 1), x >> PLACE
+
+
+def first_classes(seen: DataFrame, sizes, k: int):
+    """A class for each unit: the end has class 0, the k most frequent units one each, others the one of them that is most their neighbour."""
+    import numpy as np
+
+    root = np.sqrt(np.maximum(sizes[: k + 1], 1))
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            units, bounds, _, other, n = read_seen(batch)
+            best = np.zeros(len(units), np.int32)
+            for i in range(len(units)):
+                part = slice(bounds[i], bounds[i + 1])
+                seeds = (other[part] > 0) & (other[part] <= k)
+                if seeds.any():
+                    best[i] = np.bincount(other[part][seeds], weights=n[part][seeds] / root[other[part][seeds]]).argmax()
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(best)], ["unit", "cls"])
+
+    out = np.arange(len(sizes)) % k + 1
+    found = seen.mapInArrow(near, "unit int, cls int").where("cls > 0").toArrow()  # a row for each unit at most
+    out[np.asarray(found.column("unit"))] = np.asarray(found.column("cls"))
+    out[: k + 1] = np.arange(k + 1)
     return out
 
 
+def class_pairs(seen: DataFrame, classes, k: int):
+    """The table of class pairs (a class, the class that follows); each task sums up its own (k + 1)^2 numbers."""
+    import numpy as np
+
+    def count(batches):
+        import pyarrow as pa
+
+        out = np.zeros((k + 1) ** 2)
+        for batch in batches:
+            units, bounds, side, other, n = read_seen(batch)
+            of = np.repeat(classes[units], np.diff(bounds))
+            out += np.bincount((of * (k + 1) + classes[other])[side == 0], weights=n[side == 0], minlength=len(out))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["at", "n"])
+
+    table = np.zeros((k + 1) ** 2)
+    for r in seen.mapInArrow(count, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        table[r["at"]] = r["n"]
+    return table.reshape(k + 1, k + 1)
+
+
 def objective(pairs) -> float:
     import numpy as np
 
@@ -180,68 +223,72 @@ def gains(own, starts, side, cls, n, pairs):
     return out - 2 * (g(sizes + total[:, None]) - g(sizes))
 
 
-def exchanged(seen: DataFrame, pairs, step: int, parts: int) -> DataFrame:
-    """(unit, cls) after one step: one of `parts` of the units, another each step, go where they gain most; the end stays."""
+def exchanged(seen: DataFrame, classes, pairs, step: int, parts: int):
+    """Classes after one step: one of `parts` of the units, another each step, go where they gain most; the end stays."""
+    import numpy as np
+
+    k = len(pairs)
 
     def move(batches):
-        import numpy as np
         import pyarrow as pa
 
         now = pairs.copy()
         for batch in batches:
-            units, own = np.asarray(batch.column("unit")), np.asarray(batch.column("cls")).astype(np.int64)
-            lists = batch.column("seen")
-            count = np.diff(np.asarray(lists.offsets))
-            flat = lists.flatten()
-            side, cls, n = (np.asarray(flat.field(x)).astype(np.int64) for x in ("side", "cls", "n"))
-            starts, ends, new, i = np.cumsum(count) - count, np.cumsum(count), own.copy(), 0
-            turn = (units != 0) & ((units ^ (units >> 17) ^ (units >> 41)) % parts == step % parts)
-            while i < len(own):
-                j = max(i + 1, int(np.searchsorted(ends, starts[i] + ROWS, "right")))
-                part = slice(starts[i], ends[j - 1])
-                gain = gains(own[i:j], starts[i:j] - starts[i], side[part], cls[part], n[part].astype(float), now)
+            units, bounds, side, other, n = read_seen(batch)
+            own = classes[units]
+            new, of = own.copy(), np.repeat(np.arange(len(units)), np.diff(bounds))
+            turn = (units != 0) & ((units ^ (units >> 5) ^ (units >> 10)) % parts == step % parts)
+            # counts by neighbouring class: one number for each side and class
+            cell, at = np.unique((of * 2 + side) * k + classes[other], return_inverse=True)
+            n = np.bincount(at, weights=n)
+            of, side, cls = cell // (2 * k), cell // k % 2, cell % k
+            bounds, i = np.searchsorted(of, np.arange(len(units) + 1)), 0
+            while i < len(units):
+                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + ROWS, "right")) - 1)
+                part = slice(bounds[i], bounds[j])
+                gain = gains(own[i:j], bounds[i:j] - bounds[i], side[part], cls[part], n[part], now)
                 gain[:, 0] = -np.inf
                 new[i:j] = np.where(turn[i:j], gain.argmax(1), own[i:j])
-                of = np.repeat(np.arange(i, j), count[i:j])
                 for x, sign in ((own, -1), (new, 1)):  # the lot's counts leave the old rows and columns for the new ones
-                    before, after = (np.where(side[part] == k, x[of], cls[part]) for k in (0, 1))
+                    before, after = (np.where(side[part] == s, x[of[part]], cls[part]) for s in (0, 1))
                     np.add.at(now, (before, after), sign * n[part])
                 np.maximum(now, 0, out=now)
                 i = j
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(new.astype(np.int32))], ["unit", "cls"])
+            moved = new != own
+            yield pa.RecordBatch.from_arrays([pa.array(units[moved].astype(np.int32)), pa.array(new[moved].astype(np.int32))], ["unit", "cls"])
 
-    return seen.select("unit", "cls", "seen").mapInArrow(move, "unit bigint, cls int")
+    out, found = classes.copy(), seen.mapInArrow(move, "unit int, cls int").toArrow()  # a row for each unit at most
+    out[np.asarray(found.column("unit"))] = np.asarray(found.column("cls"))
+    return out
 
 
-def exchange(pairs: DataFrame, units: DataFrame, k: int, steps: int):
-    """(unit, cls) as a written table, the table of class pairs, and the objective at the start and after each step that was kept.
+def exchange(seen: DataFrame, sizes, k: int, steps: int):
+    """Classes by unit, the table of class pairs, and the objective at the start and after each step that was kept.
 
     After a step that lowered the objective, its units are where they were and fewer go at once.
     """
-    classes, heights, parts = cut(first_classes(pairs, units, k), "lm-classes"), [], 2
-    best = None
-    for step in range(steps + 1):
-        seen = cut(neighbours(pairs, classes).join(classes, "unit"), "lm-seen")
-        now = class_pairs(seen, k)
-        if best is None or objective(now) > heights[-1]:
-            drop(*(best[::2] if best else ()))
-            best = classes, now, seen
+    best, parts = first_classes(seen, sizes, k), 2
+    pairs = class_pairs(seen, best, k)
+    heights = [objective(pairs)]
+    for step in range(steps):
+        classes = exchanged(seen, best, pairs, step, parts)
+        now = class_pairs(seen, classes, k)
+        if objective(now) > heights[-1]:
+            best, pairs = classes, now
             heights.append(objective(now))
         else:
-            drop(classes, seen)
             parts *= 2
-        if step < steps:
-            classes = cut(exchanged(best[2], best[1], step, parts), "lm-classes")
-    drop(best[2])
-    return best[0], best[1], heights
+    return best, pairs, heights
 
 
 @dataclass
 class Model:
-    """classes: (unit, cls); transitions[c, d] = log10 p(d | c); sizes, known: tokens and distinct words by class."""
+    """classes by unit; own: counts of the words that are units; transitions[c, d] = log10 p(d | c); sizes, known: tokens
+    and distinct words by class; words: (key, n, unit) of all training words, a table."""
 
-    classes: DataFrame
     words: DataFrame
+    classes: object
+    own: object
     transitions: object
     sizes: object
     known: object
@@ -261,8 +308,9 @@ class Model:
 
     def word_classes(self) -> DataFrame:
         """(word, n, cls) of all training words."""
-        own = self.words.select("key", "n", unit(F.col("key"), F.col("n")).alias("unit")).join(small(self.classes), "unit")
-        return own.select(F.col("key").alias("word"), "n", "cls")
+        classes = [int(c) for c in self.classes]
+        of = F.broadcast(self.words.sparkSession.createDataFrame(list(enumerate(classes)), "unit int, cls int"))  # UNITS rows
+        return self.words.join(of, "unit").select(F.col("key").alias("word"), "n", "cls")
 
 
 def transition_logs(pairs):
@@ -276,42 +324,42 @@ def transition_logs(pairs):
 
 
 def learn(coded: DataFrame, words: DataFrame, k: int = CLASSES, steps: int = STEPS) -> Model:
-    """The model of the blocks' training documents; `words` (key, n) are their counts, the end included."""
+    """The model of the blocks' training documents; `words` (key, n, unit) are their counts, the end included."""
     import numpy as np
 
     s = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
-    own = unit(F.col("key"), F.col("n"))
-    units = cut(words.groupBy(own.alias("unit")).agg(F.sum("n").alias("n"), F.count("*").alias("types")), "lm-units")
-    near = cut(bigrams(coded), "lm-bigrams")
-    classes, pairs, heights = exchange(near, units, k, steps)
-    known = np.zeros(k + 1)
-    for r in units.join(small(classes), "unit").groupBy("cls").agg(F.sum("types").alias("types")).collect():
-        known[r["cls"]] = r["types"]
-    drop(near, units)
+    sizes, types = np.zeros(UNITS, np.int64), np.zeros(UNITS)
+    for r in words.groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # UNITS rows at most
+        sizes[r["unit"]], types[r["unit"]] = r["n"], r["types"]
+    seen = cut(neighbours(bigrams(coded)), "lm-neighbours")
+    classes, pairs, heights = exchange(seen, sizes, k, steps)
+    drop(seen)
     discount = min(0.9, max(0.1, s["one"] / (s["one"] + 2 * s["two"]))) if s["one"] else 0.1
-    return Model(classes, words, transition_logs(pairs), pairs.sum(1), known, discount, s["n"], s["v"], heights)
+    return Model(words, classes, sizes[: 1 + OWN], transition_logs(pairs), pairs.sum(1), np.bincount(classes, weights=types, minlength=k + 1), discount, s["n"], s["v"], heights)
 
 
 def told(coded: DataFrame, model: Model) -> DataFrame:
+    """Scores of the blocks' documents."""
     import numpy as np
 
     unknown, moves, sizes, less, n_all, n_types = model.unknown(), model.transitions, model.sizes, model.discount, model.tokens, model.types
-    other = int(np.argmax(model.known * (np.arange(len(sizes)) > 0)))  # of words like none in training
+    other = int(np.argmax(model.known * (np.arange(len(sizes)) > 0)))  # the class of words whose last letters no training word has
     if not np.isfinite(unknown[other]):
         unknown[other] = np.log10(less)  # nothing but ends was seen
+    classes, own = np.where(np.isfinite(unknown)[model.classes], model.classes, other), model.own
     kind = dict(coded.dtypes)["ids"][6:-1]
-    joined = look_up(coded, "units", model.classes.withColumnRenamed("unit", "key"), F.coalesce("cls", F.lit(other)))
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for row in range(batch.num_rows):
-                at = {c: batch.column(c).slice(row, 1).flatten() for c in ("ids", "held", "sizes", "n", "found")}
-                size, n = np.asarray(at["sizes"]), np.asarray(at["n"]).astype(float)
-                (codes,), (places,) = unpack(batch.column("packed")[row].as_py()), unpack(batch.column("places")[row].as_py())
-                cls = np.asarray(at["found"]).astype(np.int64)[places]
+                at = {c: batch.column(c).slice(row, 1).flatten() for c in ("ids", "held", "sizes", "found")}
+                size, value = np.asarray(at["sizes"]), np.asarray(at["found"])
+                codes, tails = unpack(batch.column("packed")[row].as_py())
+                n = np.where(value < 0, own[np.maximum(-value, 0)], value).astype(float)
+                n[0] = own[0]
+                cls = classes[units_of(value, tails)]
                 base = np.log10((n + 0.5) / (n_all + 0.5 * (n_types + 1)))
                 given = np.where(n > 0, np.log10(np.maximum(n - less, 1e-9) / np.maximum(sizes[cls], 1)), unknown[cls])
                 given[0], cls[0] = 0.0, 0
@@ -330,18 +378,37 @@ def told(coded: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
-    return joined.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+    return coded.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+
+
+def with_units(words: DataFrame) -> DataFrame:
+    """(key, n, unit) of training words (key, n).
+
+    The own units are the words above a count, on a scale of 64 steps for each doubling, above which there are OWN at
+    most; they are numbered from 1 by falling count. The end is 0.
+    """
+    words = words.withColumn("step", F.floor(F.log2("n") * 64).cast("int"))
+    upto, least = 0, 1 << 30
+    for r in words.where(F.col("key") != END).groupBy("step").count().orderBy(F.desc("step")).collect():  # 64 rows a doubling
+        upto += r["count"]
+        if upto > OWN:
+            break
+        least = r["step"]
+    own = words.where((F.col("step") >= least) & (F.col("key") != END))  # OWN rows at most
+    own = own.select("key", F.row_number().over(Window.orderBy(F.desc("n"), "key")).alias("own"))
+    tail = 1 + OWN + F.crc32(F.right("key", F.lit(LETTERS)).cast("binary")) % TAILS
+    return words.join(F.broadcast(own), "key", "left").select("key", "n", F.when(F.col("key") == END, 0).otherwise(F.coalesce("own", tail)).cast("int").alias("unit"))
 
 
 def prepared(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame]:
-    """Coded blocks, and (key, n) of all training tokens, both written."""
+    """Coded blocks with the words' counts or units, and (key, n, unit) of all training tokens, both written."""
     blocks = cut(token_blocks(docs, held), "lm-blocks")
     pairs = blocks.select(F.inline(F.arrays_zip("words", "train"))).where("train > 0")
-    words = cut(pairs.groupBy(F.col("words").alias("key")).agg(F.sum("train").alias("n")), "lm-words")
-    n = F.coalesce("n", F.lit(0))
-    found = look_up(blocks.drop("train"), "words", words, F.struct(n.alias("n"), unit(F.col("key"), n).alias("unit")))
-    coded = cut(with_units(found), "lm-coded")
-    drop(blocks)
+    counts = cut(pairs.groupBy(F.col("words").alias("key")).agg(F.sum("train").alias("n")), "lm-counts")
+    words = cut(with_units(counts), "lm-words")
+    value = F.when(F.col("unit").between(1, OWN), -F.col("unit").cast("long")).otherwise(F.coalesce("n", F.lit(0)))
+    coded = cut(look_up(blocks.drop("train"), "words", words, value), "lm-coded")
+    drop(blocks, counts)
     return coded, words
 
 
