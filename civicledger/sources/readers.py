@@ -30,9 +30,13 @@ def bad_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("_bad IS NULL").drop("_bad"), df.agg(F.count("_bad").alias("bad_rows"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, an array, or an object whose records are under result.records, records, features or the first array."""
-    df = spark.read.option("multiLine", _is_document(spark, path)).json(path)
+def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON lines, an array, or an object whose records are under result.records, records, features or the first array.
+
+    With a `schema` (of the whole value) the data isn't read to find one.
+    """
+    r = spark.read.option("multiLine", _is_document(spark, path))
+    df = (r.schema(schema) if schema else r).json(path)
     for names in (("result", "records"), ("records",), ("features",)):
         c, at = F.col(names[0]), df.schema
         if names[0] not in df.columns:
@@ -47,11 +51,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.inline(arrays[0])) if arrays and len(df.columns) <= 3 else df
 
 
+#: Bytes of a file that are looked at to tell lines from a document.
+HEAD = 1 << 16
+
+
 def _is_document(spark: SparkSession, path: str) -> bool:
-    """Whether the first line isn't a whole JSON value by itself."""
-    first = spark.read.text(path).limit(1).collect()
+    """Whether the first line isn't a whole JSON value by itself; one that is longer than the file's head is taken for one."""
+    from .bounded import read_head
+
+    head, size = read_head(spark, path, HEAD)
+    first, end, _ = head.removeprefix("﻿".encode()).partition(b"\n")
+    if not end and size > len(head):
+        return False
     try:
-        return not isinstance(json.loads(first[0][0]), dict) if first else False
+        return bool(first.strip()) and not isinstance(json.loads(first), dict)
     except ValueError:
         return True
 
