@@ -89,8 +89,9 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
 
     Queries are rows whose vec_id is divisible by `queries_every`; candidates are all rows but the query's own.
     Rows with a null id, a null, empty or zero vector, or a null or non-finite component take no part. Equal
-    vectors are searched once and expanded to their k + 1 smallest ids, which is all a query can return of
-    them; of a repeated vec_id the least vector (by its components in order) counts. Vectors of another length
+    vectors are searched once (known by a 64-bit hash) and expanded to their k + 1 smallest ids, which is all a
+    query can return of them. A vec_id with several vectors is as many rows: each is a candidate, for the others
+    of its id too, and each is a query with a list of its own; equal rows are one. Vectors of another length
     than the commonest (the longest of those) take no part. Empty tables give an empty result. Extra columns are
     never read. Scores are double precision on the vectors as they are; only codes and tables are float.
 
@@ -104,13 +105,13 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & sound & F.exists(e, lambda x: x != 0))
-    raw = cut(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-rows")
+    raw = cut(rows.distinct(), "ann-rows")
     usual = raw.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("top")).orderBy(F.desc("c"), F.desc("d")).first()
     # floats hold no very large or small numbers; the order of products does not change with the unit
     unit = usual["top"] if usual and not 1e-12 < usual["top"] < 1e12 else 1.0
     rows = raw.where(F.size("embedding") == usual["d"]) if usual else raw
-    distinct = cut(rows.groupBy("embedding").agg(F.min("vec_id").alias("rep")), "ann-distinct")
-    members = cut(rows.join(distinct, "embedding").select("vec_id", "rep"), "ann-members")
+    distinct = cut(rows.groupBy("embedding").agg(F.min(F.xxhash64("embedding")).alias("rep")), "ann-distinct")
+    members = cut(rows.select("vec_id", F.xxhash64("embedding").alias("rep")), "ann-members")
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     n = distinct.count()
     if not n:
@@ -155,6 +156,7 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
     # few blocks are copied until every core has one; with more blocks than cores nothing is
     slices = _blocks(2 * spark.sparkContext.defaultParallelism, n_code)
     packed = cut(blocks, "ann-blocks")
+    tasks = 8 * spark.sparkContext.defaultParallelism  # a task has several blocks where there are many, and sends the best of all
     blocks = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def scan(asked, slices):
@@ -163,6 +165,7 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
             import pandas as pd
 
             all_reps, all_vectors = asked.value
+            best_of: dict = {}  # of each block of queries, the best codes of the task's blocks so far
             for pdf in batches:
                 for r in pdf.itertuples():
                     reps, scales = np.frombuffer(r.reps, np.int64), np.frombuffer(r.scales, np.float32)
@@ -179,8 +182,16 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
                                 score += (book @ qs.T)[codes[:, m]]
                             score *= scales[:, None]
                         best = np.argpartition(-score, keep - 1, axis=0)[:keep]
-                        got = np.take_along_axis(score, best, 0)
-                        yield pd.DataFrame({"qrep": np.repeat(qreps, keep), "crep": reps[best.T.ravel()], "approx": got.T.ravel()})
+                        got, who = np.take_along_axis(score, best, 0), reps[best]
+                        if start in best_of:
+                            got, who = np.concatenate([best_of[start][0], got]), np.concatenate([best_of[start][1], who])
+                            if len(got) > rerank:
+                                top = np.argpartition(-got, rerank - 1, axis=0)[:rerank]
+                                got, who = np.take_along_axis(got, top, 0), np.take_along_axis(who, top, 0)
+                        best_of[start] = got, who
+            for start, (got, who) in best_of.items():
+                qreps = all_reps[start : start + QUERY_BLOCK]
+                yield pd.DataFrame({"qrep": np.repeat(qreps, len(got)), "crep": who.T.ravel(), "approx": got.T.ravel()})
 
         return run
 
@@ -190,7 +201,7 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
         if not len(part):
             continue
         asked_now = spark.sparkContext.broadcast((part["rep"].to_numpy(np.int64), np.array(list(part["embedding"]), float)))
-        hits = blocks.repartition(n_code * slices, "cblock", "slice").drop("cblock").mapInPandas(scan(asked_now, slices), "qrep bigint, crep bigint, approx double")
+        hits = blocks.repartition(min(n_code * slices, tasks), "cblock", "slice").drop("cblock").mapInPandas(scan(asked_now, slices), "qrep bigint, crep bigint, approx double")
         parts.append(cut(hits.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= rerank).select("qrep", "crep"), "ann-found"))
         asked_now.unpersist()
     drop(raw, coded, q, packed)
@@ -201,11 +212,11 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
     dot = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     exact = found.join(two, "crep").join(one, "qrep").select("qrep", "crep", dot.alias("score"))
     wide = exact.join(smallest.withColumnRenamed("rep", "crep"), "crep")
-    order = Window.partitionBy("qrep").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("qrep").orderBy(F.desc("score"), "vec_id", "crep")
     wide = wide.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
-    lists = wide.groupBy("qrep").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id"))).alias("l"))  # k + 1 at most
+    lists = wide.groupBy("qrep").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id", "crep"))).alias("l"))  # k + 1 at most
     own = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("qrep")).join(lists, "qrep")
-    best = F.slice(F.filter("l", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    best = F.slice(F.filter("l", lambda x: (x["vec_id"] != F.col("query_id")) | (x["crep"] != F.col("qrep"))), 1, k)
     out = own.select("query_id", F.posexplode(best).alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.m")).alias("score"))
 

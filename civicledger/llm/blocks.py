@@ -32,6 +32,17 @@ def look_up(blocks: DataFrame, entries: str, table: DataFrame, value: Column) ->
     return blocks.drop(entries).join(found, "block", "left")
 
 
+def look_up_news(blocks: DataFrame, entries: str, known: str, table: DataFrame, value: Column) -> DataFrame:
+    """Like look_up, for values of which a block has a guess, the array `known`: `found_at` and `found` are the places and
+    values of those entries only whose guess is wrong. Both arrays are left out of the result."""
+    listed = blocks.select("block", F.posexplode(F.arrays_zip(F.col(entries).alias("key"), F.col(known).alias("known"))).alias("at", "x"))
+    valued = listed.select("block", "at", "x.key", "x.known").join(table, "key", "left").withColumn("value", value).where("value <> known")
+    found = valued.groupBy("block").agg(F.collect_list(F.struct("at", "value")).alias("x"))
+    joined = blocks.drop(entries, known).join(found, "block", "left")
+    none = F.array().cast("array<struct<at:int,value:bigint>>")
+    return joined.withColumn("x", F.coalesce("x", none)).withColumns({"found_at": F.col("x.at"), "found": F.col("x.value")}).drop("x")
+
+
 def pack(*arrays) -> bytes:
     """Unsigned integers, compressed: each array after its length."""
     import numpy as np

@@ -125,11 +125,14 @@ def align(prints: DataFrame, votes: int = 3, most_error: float = 0.35, share: in
     at least whose bits over the whole overlap differ by `most_error` at most, a recording's match is the one with
     most votes (ties to the smaller id, then the smaller offset). class_id is the least rec_id that copies and all
     pairs that pass lead to, whether or not they are a match. A positive offset means that the match's frames come
-    later in this recording. Empty fingerprints are copies of each other and match nothing; null ids take no part;
-    repeated rows count as one.
+    later in this recording. Empty fingerprints are copies of each other and match nothing, fingerprints of one
+    integer are copies of their equals and match nothing else; null ids take no part; repeated rows count as one, and
+    of different recordings of one rec_id that of the least digest counts. A recording is a row's array of integers,
+    8 for each second or fewer, whatever its length; a pair of integers that comes again in it keeps its first place.
     """
-    rows = cut(prints.where("rec_id is not null").dropDuplicates(["rec_id"]), "chroma-prints")
     digest = F.sha2(F.array_join("fp", ",").cast("binary"), 256)
+    own = prints.where("rec_id is not null").groupBy("rec_id").agg(F.min_by(F.struct("n_frames", "fp"), F.struct(digest, "n_frames")).alias("r"))
+    rows = cut(own.select("rec_id", "r.*"), "chroma-prints")
     copies = cut(rows.groupBy(digest.alias("d")).agg(F.min("rec_id").alias("copy_of")), "chroma-copies")
     known = cut(rows.select("rec_id", "n_frames", digest.alias("d")).join(copies, "d").drop("d"), "chroma-known")
     reps = cut(rows.join(copies.select(F.col("copy_of").alias("rec_id")), "rec_id", "left_semi").where(F.size("fp") > 1), "chroma-reps")

@@ -20,8 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, block_id, look_up, pack, unpack
-from .common import crc_mod, cut, drop, table, text_batches
+from .blocks import BLOCK, block_id, look_up_news, pack, unpack
+from .common import crc_mod, cut, drop, release, table, text_batches
 
 CLASSES = 64
 STEPS = 5  # of the exchange, at most
@@ -38,7 +38,7 @@ PAIRS = 1 << 21  # distinct pairs of units that a task sums up before it sends t
 
 def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
     """block, ids, held, sizes (words by document), words, train (training occurrences of each), packed (places of words, units
-    of the words' last letters)."""
+    of the words' last letters, train)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def write(batches):
@@ -59,7 +59,7 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
             train[0] += (~out).sum()
             words = [w.decode() for w in place]
             tails = np.array([1 + OWN + zlib.crc32(w[-LETTERS:].encode()) % TAILS for w in words], np.int64)
-            values = [[block_id()], [batch.column(0).to_pylist()], [out], [sizes], [words], [train], [pack(codes, tails)]]
+            values = [[block_id()], [batch.column(0).to_pylist()], [out], [sizes], [words], [train], [pack(codes, tails, train)]]
             types = [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
 
@@ -79,6 +79,16 @@ def sequences(sizes, codes):
     return out, first
 
 
+def read_block(batch, row: int):
+    """sizes, places of words, units of tails, and what each of a block's words is: an own unit's negative number, or its count."""
+    import numpy as np
+
+    sizes, at, found = (np.asarray(batch.column(c).slice(row, 1).flatten()) for c in ("sizes", "found_at", "found"))
+    codes, tails, value = unpack(batch.column("packed")[row].as_py())
+    value[at] = found
+    return sizes, codes, tails, value
+
+
 def units_of(value, tails):
     """Units of a block's words, by what they were told as: an own unit's negative number, or a count."""
     import numpy as np
@@ -109,8 +119,8 @@ def bigrams(coded: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in range(batch.num_rows):
-                sizes, held, value = (np.asarray(batch.column(c).slice(row, 1).flatten().to_numpy(zero_copy_only=False)) for c in ("sizes", "held", "found"))
-                codes, tails = unpack(batch.column("packed")[row].as_py())
+                sizes, codes, tails, value = read_block(batch, row)
+                held = batch.column("held").slice(row, 1).flatten().to_numpy(zero_copy_only=False)
                 words, first = sequences(sizes, codes)
                 units = units_of(value, tails)[words]
                 inside = np.repeat(~held.astype(bool), sizes + 2)
@@ -129,7 +139,7 @@ def bigrams(coded: DataFrame) -> DataFrame:
         if held_pairs:
             yield from sent(*merged())
 
-    return coded.select("sizes", "held", "found", "packed").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return coded.select("sizes", "held", "found_at", "found", "packed").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
@@ -332,6 +342,7 @@ def learn(coded: DataFrame, words: DataFrame, k: int = CLASSES, steps: int = STE
     for r in words.groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # UNITS rows at most
         sizes[r["unit"]], types[r["unit"]] = r["n"], r["types"]
     seen = cut(neighbours(bigrams(coded)), "lm-neighbours")
+    release(coded.sparkSession)
     classes, pairs, heights = exchange(seen, sizes, k, steps)
     drop(seen)
     discount = min(0.9, max(0.1, s["one"] / (s["one"] + 2 * s["two"]))) if s["one"] else 0.1
@@ -354,9 +365,8 @@ def told(coded: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             for row in range(batch.num_rows):
-                at = {c: batch.column(c).slice(row, 1).flatten() for c in ("ids", "held", "sizes", "found")}
-                size, value = np.asarray(at["sizes"]), np.asarray(at["found"])
-                codes, tails = unpack(batch.column("packed")[row].as_py())
+                at = {c: batch.column(c).slice(row, 1).flatten() for c in ("ids", "held")}
+                size, codes, tails, value = read_block(batch, row)
                 n = np.where(value < 0, own[np.maximum(-value, 0)], value).astype(float)
                 n[0] = own[0]
                 cls = classes[units_of(value, tails)]
@@ -407,8 +417,10 @@ def prepared(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame]:
     counts = cut(pairs.groupBy(F.col("words").alias("key")).agg(F.sum("train").alias("n")), "lm-counts")
     words = cut(with_units(counts), "lm-words")
     value = F.when(F.col("unit").between(1, OWN), -F.col("unit").cast("long")).otherwise(F.coalesce("n", F.lit(0)))
-    coded = cut(look_up(blocks.drop("train"), "words", words, value), "lm-coded")
+    # a word that only one block has is as its block has counted it: the block is told of the others
+    coded = cut(look_up_news(blocks, "words", "train", words, value), "lm-coded")
     drop(blocks, counts)
+    release(docs.sparkSession)
     return coded, words
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -62,6 +63,13 @@ def drop(*frames: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; else they stay until the
+    driver's JVM happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Bytes of an Arrow batch on its way to a Python worker, whatever its rows are like.
 BATCH_BYTES = 8 << 20
 #: Rows that are broadcast at most; a larger side is shuffled instead.

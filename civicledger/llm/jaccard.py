@@ -37,6 +37,9 @@ CHUNKS = 64
 HEAVY = 1000
 #: Shingles that are put last at most in one turn (the most common ones first).
 DEMOTED = 1 << 20
+#: Bits of the table that tells which shingles are put last: 8 MB, whatever the corpus. Shingles that share a bit share
+#: that fate, which changes the order, the same for all documents, and no result.
+HIDDEN = 1 << 26
 #: Pivots of a region in each turn after the first.
 PIVOTS = 32
 _BLOCK = 1 << 19
@@ -146,6 +149,18 @@ def _slots(sh, counters: int):
     return (sh >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
+def _is_hidden(bits, sh):
+    at = _slots(sh, HIDDEN)
+    return (bits[at >> 3] >> (at & 7).astype("u1")) & 1
+
+
+def _hide(bits, sh) -> None:
+    import numpy as np
+
+    at = _slots(sh, HIDDEN)
+    np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+
 def _levels(described: DataFrame):
     """How common each counter's shingles are, as a byte (8 steps for each doubling), and the mean count.
 
@@ -190,8 +205,7 @@ def _cells(docs: DataFrame, levels, last) -> DataFrame:
             n, at = _spans(doc, batch.num_rows)
             cls = np.array([_class_id(sh[a : a + k]) if k else 0 for a, k in zip(at, n, strict=True)], np.int64)
             level = level_of[_slots(sh, len(level_of))].astype(np.int16)
-            if len(last):
-                level += 256 * (last[np.minimum(np.searchsorted(last, sh), len(last) - 1)] == sh)
+            level += 256 * _is_hidden(last, sh).astype(np.int16)
             order = np.lexsort((sh, level, doc))
             rank = np.arange(len(doc)) - at[doc]
             keep = rank < (n - (n * PERCENT + 99) // 100 + 1)[doc]
@@ -206,7 +220,7 @@ def _regions(docs: DataFrame, described: DataFrame) -> DataFrame:
     import numpy as np
 
     levels, mean = _levels(described)
-    last = np.zeros(0, np.uint64)
+    last = np.zeros(HIDDEN // 8, np.uint8)
     while True:
         cells = cut(_cells(docs, levels, last), "jaccard-cells")
         shared = cells.groupBy("cell").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("cell")
@@ -217,10 +231,10 @@ def _regions(docs: DataFrame, described: DataFrame) -> DataFrame:
         sizes = members.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > HEAVY)
         found = sizes.orderBy(F.desc("rows"), "cell").select("cell").limit(DEMOTED).toArrow()
         found = np.asarray(found.column(0), np.int64).view(np.uint64)
-        hidden = found[(levels[_slots(found, len(levels))] <= 8 * np.log2(4 * mean)) & ~np.isin(found, last)]
+        hidden = found[(levels[_slots(found, len(levels))] <= 8 * np.log2(4 * mean)) & (_is_hidden(last, found) == 0)]
         if not len(hidden):
             break
-        last = np.union1d(last, hidden)
+        _hide(last, hidden)
         drop(members)
     first = members.groupBy("cell").agg(F.min(F.struct("i", "n", "cls")).alias("first"))
     with_pivot = cut(members.join(first, "cell").select(*members.columns, F.col("first.cls").alias("p"), F.col("first.n").alias("pn"), F.col("first.i").alias("pi")), "jaccard-members", members.count())

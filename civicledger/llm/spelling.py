@@ -100,7 +100,12 @@ def variants(docs: DataFrame, least: int = 3, letters: int = 5, ratio: int = 2)
     are read. A very long text is one Python string in its task; nothing else depends on a text's length, and
     `letters` bounds no word from above: a run of m letters makes m + 1 keys of m letters each.
     """
-    words = cut(count_words(docs).where((F.col("n") >= least) & (F.length("word") >= letters)), "spelling-words")
+    return grouped(count_words(docs), least, letters, ratio)
+
+
+def grouped(counts: DataFrame, least: int, letters: int, ratio: int) -> DataFrame:
+    """The variants of counted words (word, n)."""
+    words = cut(counts.where((F.col("n") >= least) & (F.length("word") >= letters)), "spelling-words")
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     own = words.join(near, "word", "left")
     found = F.when(-F.col("best.less") >= ratio * F.col("n"), F.col("best.near"))

@@ -99,8 +99,8 @@ class Model:
 def fit(labelled: DataFrame, sample: int = 6000, most: int = 3000, balance: float = 2.0, ridge: float = 1e-5, steps: int = 1000) -> Model:
     """A model from (doc_id, text, toxic 0/1): `sample` rows of label 1 and twice as many of label 0 at most.
 
-    `balance` weighs the penalty on the difference between a text and its counterfactual twin. Without a row of
-    either label the model says 0.5 * share: nothing can be told apart.
+    `balance` weighs the penalty on the difference between a text and its counterfactual twin. Without rows
+    of both labels nothing can be told apart: every score is the same low one, and nothing is rejected.
     """
     import numpy as np
 
@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, sample: int = 6000, most: int = 3000, balance: floa
     spark, kind = labelled.sparkSession, dict(labelled.dtypes)["doc_id"]
     n1, n0 = len(picked[1]), len(picked[0])
     if not n1 or not n0:
-        return Model({}, -3.0 if n0 or not n1 else 3.0)
+        return Model({}, -3.0)
     ids = spark.createDataFrame([(i,) for x in picked.values() for i in x if i is not None], f"_id {kind}").distinct()
     rows = labelled.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select("toxic", "text")
     names = choose(feature_counts(rows), n1, n0, most)
@@ -219,7 +219,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1)
 
     Null texts are scored as empty ones. Repeated rows get equal scores; null ids are scored and never learned
     from; extra columns are never read; empty tables give an empty result, and without labels of both kinds
-    every score is the same.
+    every score is the same low one. Texts are scored whole, one at a time, whatever their length.
     """
     model = learn(docs, labels, folds, held)
     rows = docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), "text")

@@ -376,15 +376,37 @@ def test_search_doubles_repeats_and_lengths(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(200, 6)) * 1e100
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(500, [1e100] * 5), (520, [1e100] * 7), (40, (x[40] * 2).tolist()), (40, (x[40] * -3).tolist())]
-    x[40] = min(v for i, v in rows + odd if i == 40)
+    odd = [(500, [1e100] * 5), (520, [1e100] * 7), (40, (x[40] * 2).tolist()), (40, (x[40] * -3).tolist()), (40, (x[40] * 2).tolist())]
+    known = [(i, tuple(v)) for i, v in rows] + [(i, tuple(v)) for i, v in odd[2:4]]  # of one id, each vector is a row; equal rows are one
     for exact in (False, True):
-        out = ann.search(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), rerank=200, exact=exact).collect()
-        assert {r["query_id"] for r in out} == set(range(0, 200, 20)) and len(out) == 200
-        for q in range(0, 200, 20):
-            s = [sum(a * b for a, b in zip(x[q] / 1e100, v / 1e100, strict=True)) for v in x]
-            want = sorted((i for i in range(200) if i != q), key=lambda i: (-s[i], i))[:20]
-            assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+        out = ann.search(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), rerank=220, exact=exact).collect()
+        assert {r["query_id"] for r in out} == set(range(0, 200, 20)) and len(out) == 240
+        want = collections.Counter()
+        for row in known:
+            if row[0] % 20 == 0:
+                s = {r: sum(a / 1e100 * (b / 1e100) for a, b in zip(row[1], r[1], strict=True)) for r in known if r != row}
+                want.update((row[0], n, r[0]) for n, r in enumerate(sorted(s, key=lambda r: (-s[r], r[0]))[:20], 1))
+        assert collections.Counter((r["query_id"], r["rank"], r["vec_id"]) for r in out) == want
+
+
+def test_search_finds_another_row_of_a_repeated_id(spark):
+    """The second row of id 7 holds the vector that is nearest to query 0."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(100, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (9 * x[0]).tolist())]
+    best = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0 AND rank = 1").collect()
+    assert [r["vec_id"] for r in best] == [7]
+
+
+def test_many_code_blocks_in_few_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(900, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, ann.search(df, exact=True).collect()))
+    monkeypatch.setattr(ann, "CODE_BLOCK", 7)
+    assert [(*r[:3], round(r[3], 9)) for r in sorted(map(tuple, ann.search(df, exact=True).collect()))] == [(*r[:3], round(r[3], 9)) for r in want]
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df).collect()}
+    assert len(got & {(r[0], r[2]) for r in want}) >= 0.9 * len(want)
 
 
 def test_search_recall_with_few_reranked(spark):
