@@ -116,3 +116,9 @@ def effective_value(value: Column, original: Column, amendment: Column) -> Colum
 
 def amendment_ratio(original: Column, amendment: Column) -> Column:
     return F.when(original > 0, amendment / original)
+
+
+def same_letters(text: Column) -> Column:
+    """A key for joins and groups that is equal for texts that differ in case and accents only, in all of Unicode:
+    composed and decomposed letters, and those that no list of replacements names."""
+    return F.collate(text, "UNICODE_CI_AI")

@@ -70,14 +70,23 @@ def choose_fields(profiled: list[dict], kind: str, goal: str | None = None, x: s
     return over["column"], value and value["column"], by and by["column"]
 
 
-def choose_aggregation(df: DataFrame, x: str, y: str | None, group: str | None = None, asked: str | None = None) -> str:
-    """What is asked for; else count without a measure, none if no (x, group) comes twice, sum if one does."""
+def choose_aggregation(df: DataFrame, x: str, y: str | None, group: str | None = None, asked: str | None = None, goal: str | None = None) -> str:
+    """What is asked for; else count without a measure, none if no (x, group) comes twice, and if one does the average
+    of what the measure's name or the goal calls a rate, and the sum of anything else."""
     if asked not in (None, "auto"):
         return asked
     if y is None:
         return "count"
     keys = [x] + ([group] if group else [])
-    return "none" if df.where(F.col(x).isNotNull()).groupBy(*keys).count().where("count > 1").isEmpty() else "sum"
+    return "none" if df.where(F.col(x).isNotNull()).groupBy(*keys).count().where("count > 1").isEmpty() else "avg" if is_rate(f"{goal or ''} {y}") else "sum"
+
+
+# Words that make a measure one to average.
+RATES = ["average", "avg", "mean", "rate", "pct"]
+
+
+def is_rate(text: str) -> bool:
+    return "%" in text or "percent" in text.lower() or any(w in _plain(text) for w in RATES)
 
 
 def scatter(df: DataFrame, x: str, y: str, group: str | None = None, limit: int = POINTS) -> DataFrame:
@@ -94,7 +103,7 @@ def prepare(df: DataFrame, profiled: list[dict], goal: str | None = None, kind:
     x, y, group = choose_fields(profiled, kind, goal, **fields)
     if kind == "scatter":
         return scatter(df, x, y, group), vega_lite(kind, x, y, group, "quantitative")
-    how = choose_aggregation(df, x, y, group, asked)
+    how = choose_aggregation(df, x, y, group, asked, goal)
     number = df if y is None else df.withColumn(y, F.regexp_replace(F.col(y).cast("string"), "[$,%\\s]", "").try_cast("double"))
     points = tables.chart(number, x, y, group, "max" if how == "none" else how, POINTS, by_value=kind == "bar")
     return points, vega_lite(kind, x, y if y and how != "count" else "count", group, "temporal" if kind == "line" else "nominal", how)
@@ -109,38 +118,96 @@ def vega_lite(kind: str, x: str, y: str, group: str | None, x_type: str, how: st
     return {"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "mark": {"line": "line", "bar": "bar", "scatter": "point"}[kind], "encoding": encoding}
 
 
-def column_kinds(df: DataFrame) -> dict[str, str]:
-    """numeric, temporal or categorical by type; years and dates in a column's name make it temporal."""
-    out = {}
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.DateType | T.TimestampType) or re.search(r"(^|_)(year|date|month|quarter|fiscal)", f.name.lower()):
+TEMPORAL = r"year|date|fiscal|quarter|month"
+PLAIN_NUMBER = r"^\s*-?\d+(\.\d+)?\s*$"
+#: Rows of a result by which its columns are judged.
+LOOKED_AT = 200
+CHARTS = ("bar", "line", "kpi", "stacked_bar", "grouped_bar", "multi_line")
+
+
+def column_kinds(df: DataFrame) -> tuple[dict[str, str], int]:
+    """numeric, temporal, categorical or empty by the values of the first rows (numbers may be text), and how many rows
+    these are; a name that speaks of a time makes a column temporal. One row comes to the driver."""
+    first = df.limit(LOOKED_AT)
+    text = lambda c: F.nullif(F.col(f"`{c}`").cast("string"), F.lit(""))
+    counts = [x for i, c in enumerate(df.columns) for x in (F.count(text(c)).alias(f"n{i}"), F.count_if(text(c).rlike(PLAIN_NUMBER)).alias(f"m{i}"))]
+    r, out = first.agg(F.count("*").alias("rows"), *counts).first(), {}
+    for i, f in enumerate(df.schema.fields):
+        if not r[f"n{i}"]:
+            out[f.name] = "empty"
+        elif isinstance(f.dataType, T.DateType | T.TimestampType | T.TimestampNTZType) or re.search(TEMPORAL, f.name, re.I):
             out[f.name] = "temporal"
         else:
-            out[f.name] = "numeric" if isinstance(f.dataType, T.NumericType) else "categorical"
-    return out
+            out[f.name] = "numeric" if isinstance(f.dataType, T.NumericType) or r[f"m{i}"] == r[f"n{i}"] else "categorical"
+    return out, r["rows"]
 
 
-def pick_chart(df: DataFrame) -> dict:
-    """How to show a result: a figure, lines over time (one for each value of a category), grouped or plain bars, a
-    scatter, or the table itself. Reads two rows at most."""
-    kinds, few = column_kinds(df), len(df.limit(2).collect())
+def pick_chart(df: DataFrame, hint: dict | None = None) -> dict:
+    """How to show a result: a figure, lines over time (one for each value of a category), stacked or grouped bars, a
+    line, bars, a scatter, or the table itself. A hint chooses the series, grouped bars, and the title."""
+    kinds, few = column_kinds(df)
+    hint = hint if hint and hint.get("type") in CHARTS else {}
     by = {k: [c for c, x in kinds.items() if x == k] for k in ("numeric", "temporal", "categorical")}
     n, t, c = by["numeric"], by["temporal"], by["categorical"]
+    named = {"title": hint["title"]} if hint.get("title") else {}
     if few == 0:
         return {"type": "none"}
     if few == 1 and len(n) == 1:
-        return {"type": "kpi", "y": n[0]}
-    if len(t) == 1 and c and len(n) == 1:
-        return {"type": "multi_line", "x": t[0], "y": n[0], "series": c[0]}
-    if len(c) >= 2 and len(n) == 1:
-        return {"type": "grouped_bar", "x": c[0], "y": n[0], "series": c[1]}
-    if t and n:
-        return {"type": "line", "x": t[0], "y": n[0]}
-    if c and n:
-        return {"type": "bar", "x": c[0], "y": n[0]}
+        return {"type": "kpi", "y": n[0]} | named
+    if len(t) == 1 and c and len(n) == 1 and few > 1:
+        series = hint["series"] if hint.get("type") == "multi_line" and hint.get("series") in df.columns else c[0]
+        return {"type": "multi_line", "x": t[0], "y": n[0], "series": series} | named
+    if not t and len(c) >= 2 and len(n) == 1 and few > 1:
+        return {"type": "grouped_bar" if hint.get("type") == "grouped_bar" else "stacked_bar", "x": c[0], "y": n[0], "series": c[1]} | named
+    if len(t) == 1 and len(n) == 1 and few > 1:
+        return {"type": "line", "x": t[0], "y": n[0]} | named
+    if c and len(n) == 1 and few > 1:
+        return {"type": "bar", "x": c[0], "y": n[0]} | named
     return {"type": "scatter", "x": n[0], "y": n[1]} if len(n) >= 2 else {"type": "table"}
 
 
+#: Lines and bars of a chart with series at most, the last one being all others; single bars at most.
+SERIES, STACKED, BARS = 8, 6, 25
+
+
+def chart_rows(df: DataFrame, spec: dict, this_year: int | None = None) -> DataFrame:
+    """The rows that a picked chart draws: few series and "Other", years that can be, lines by time, the largest bars."""
+    from datetime import UTC, datetime
+
+    kind = spec["type"]
+    number = lambda c: F.col(f"`{c}`").cast("string").try_cast("double")
+    if kind in ("multi_line", "stacked_bar", "grouped_bar"):
+        keep = SERIES if kind == "multi_line" else STACKED
+        named = df.withColumn("_s", F.coalesce(F.col(f"`{spec['series']}`").cast("string"), F.lit("—"))).withColumn("_y", F.coalesce(number(spec["y"]), F.lit(0.0)))
+        top = named.groupBy("_s").agg(F.sum("_y").alias("_t")).orderBy(F.desc("_t"), "_s").limit(keep - 1).select(F.col("_s").alias("_top"))
+        joined = named.join(F.broadcast(top), F.col("_s") == F.col("_top"), "left")  # SERIES rows at most
+        return joined.withColumn(spec["series"], F.when(F.col("_top").isNotNull(), F.col(f"`{spec['series']}`")).otherwise(F.lit("Other"))).select(*df.columns)
+    if kind == "line":
+        x, last = number(spec["x"]), (this_year or datetime.now(UTC).year) + 2
+        can_be = x.isNull() | (x != F.floor(x)) | x.between(1990, last)
+        return df.where(can_be).orderBy(F.coalesce(x, F.lit(0.0)), F.col(f"`{spec['x']}`"))
+    if kind == "bar":
+        return df.orderBy(F.coalesce(number(spec["y"]), F.lit(0.0)).desc(), F.col(f"`{spec['x']}`")).limit(BARS)
+    return df
+
+
+def chart_hint(answer: str) -> tuple[str, dict | None]:
+    """A generated statement without its fences and `-- CHART: {..}` lines, and the last line's hint if it is a sound one."""
+    import json
+
+    sql = re.sub(r"\n?```$", "", re.sub(r"^```sql\n?", "", answer.strip(), flags=re.I)).strip()
+    lines = r"^[ \t]*--[ \t]*CHART[ \t]*:[ \t]*(\{.*\})[ \t]*$"
+    found, hint = re.findall(lines, sql, re.I | re.M), None
+    if found:
+        try:
+            said = json.loads(found[-1])
+        except ValueError:
+            said = None
+        if isinstance(said, dict) and said.get("type") in CHARTS:
+            hint = {"type": said["type"]} | {k: said[k] for k in ("x", "y", "series", "title") if isinstance(said.get(k), str) and 0 < len(said[k]) < 200}
+    return re.sub(lines, "", sql, flags=re.I | re.M).strip(), hint
+
+
 # What a file's format counts, for analysis and otherwise.
 FORMAT_SCORES = [("CSV", 40, 25), ("GEOJSON", 35, 30), ("JSON", 35, 30), ("JSONL", 30, 20), ("XML", 15, 15), ("TXT", 10, 10), ("HTML", -20, 0)]
 STRUCTURED = ["CSV", "TSV", "JSON", "JSONL", "GEOJSON", "XML", "TXT"]

@@ -70,16 +70,17 @@ def policy_buckets(t):
 
 @view("policy_alignment", "id:s name:s department:s announced_year:l total_commitment_cad:d annual_target:d total_matched:d grant_count:l years_observed:l annual_actual:d annual_gap:d gap_pct:d", "grants policy_targets", """
   SELECT *, annual_target - annual_actual AS annual_gap, 100.0 * (annual_target - annual_actual) / annual_target AS gap_pct FROM (
-    SELECT *, CASE WHEN years_observed > 0 THEN CAST(total_matched AS DOUBLE) / years_observed ELSE 0 END AS annual_actual FROM (
+    SELECT *, CASE WHEN grant_count > 0 THEN CAST(total_matched AS DOUBLE) / years_observed END AS annual_actual FROM (
       SELECT p.id, p.name, p.department, p.announced_year, p.total_commitment_cad, p.annual_target, coalesce(sum(agreement_value), 0) AS total_matched, count(agreement_value) AS grant_count,
-             coalesce(year(max(agreement_start_date)) - year(min(agreement_start_date)) + 1, 0) AS years_observed
+             greatest(1, year(max(agreement_start_date)) - year(min(agreement_start_date)) + 1) AS years_observed
       FROM policy_targets p LEFT JOIN grants g ON agreement_start_date >= target_start AND agreement_start_date < target_end
         AND (regexp_matches(lower(prog_name_en), match_regex) OR regexp_matches(lower(coalesce(description_en, '')), match_regex)) GROUP BY ALL))""")
 def policy_alignment(t):
     """What each commitment planned a year against what grants that its words find have paid a year.
 
     Grants are first summed by texts and day, so that each pattern meets a text once and not once a grant; the
-    commitments, a seeded list of a few rows, are broadcast.
+    commitments, a seeded list of a few rows, are broadcast. Years are one at least. Nothing is known of what a
+    commitment without a grant has paid a year: its actual and its gap are null.
     """
     texts = t["grants"].where("agreement_value IS NOT NULL").groupBy("prog_name_en", "description_en", "agreement_start_date").agg(F.sum("agreement_value").alias("v"), F.count("*").alias("n"))
     targets = t["policy_targets"]
@@ -88,8 +89,9 @@ def policy_alignment(t):
     found = texts.join(p, (F.col("agreement_start_date") >= F.col("target_start")) & (F.col("agreement_start_date") < F.col("target_end")) & hit)
     years = F.year(F.max("agreement_start_date")) - F.year(F.min("agreement_start_date")) + 1
     sums = found.groupBy("_id").agg(F.sum("v").alias("total_matched"), F.sum("n").alias("grant_count"), years.alias("years_observed"))
-    out = targets.join(sums, F.col("id") == F.col("_id"), "left").fillna(0, ["grant_count", "years_observed"]).withColumn("total_matched", F.coalesce("total_matched", F.lit(0)))
-    out = out.withColumn("annual_actual", F.when(F.col("years_observed") > 0, F.col("total_matched").cast("double") / F.col("years_observed")).otherwise(0.0))
+    out = targets.join(sums, F.col("id") == F.col("_id"), "left").withColumn("years_observed", F.greatest(F.lit(1), F.col("years_observed")))
+    out = out.withColumn("annual_actual", F.col("total_matched").cast("double") / F.col("years_observed"))
+    out = out.fillna(0, ["grant_count"]).withColumn("total_matched", F.coalesce("total_matched", F.lit(0)))
     out = out.withColumn("annual_gap", F.col("annual_target") - F.col("annual_actual"))
     return out.withColumn("gap_pct", F.when(F.col("annual_target") > 0, 100.0 * F.col("annual_gap") / F.col("annual_target")).otherwise(0.0))
 

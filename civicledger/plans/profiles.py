@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import bn_prefix
@@ -16,6 +16,7 @@ from .capacity import _G, _granted, _latest_filing, ghost_capacity, zombie_recip
 from .contracts import amendment_creep, contract_growth_decomposition, contract_yoy_decomposition, same_vendor_followon, service_contracts_count, threshold_splitting, vendor_concentration, vendor_concentration_by_department
 from .entities import adverse_media_matches
 from .grants import duplicative_funding, duplicative_stats, policy_alignment, policy_buckets, purpose_cluster
+from .guarded import run_checks
 from .network import funding_reciprocals, funding_stats, governance_flow_links, related_parties_stats
 from .registry import VIEWS, view
 
@@ -128,36 +129,55 @@ def dossier_counts(t, name: str = _WHO, bn: str = _BN):
     return g.crossJoin(c).crossJoin(d).crossJoin(f).withColumn("grants", F.greatest("grants_by_name", "grants_by_number"))  # a row each
 
 
-def _check(make: Callable[[], DataFrame], challenge: str, severity: Column | str, evidence: Column, order: list[Column] | None = None, first: int = 1) -> DataFrame | None:
-    """A check's flags (challenge, severity, evidence); None, and no failed screening, where its tables are missing."""
-    try:
+def _flags(make: Callable[[], DataFrame], challenge: str, severity: Column | str, evidence: Column, order: list[Column] | None = None, first: int = 1) -> Callable[[], DataFrame]:
+    """A check: its flags (challenge, severity, evidence), planned when it is called."""
+
+    def run() -> DataFrame:
         found = make()
         found = found if order is None else top_k(found, order, first)
         return found.select(F.lit(challenge).alias("challenge"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), evidence.cast("double").alias("evidence"))
-    except (AnalysisException, KeyError):
-        return None
 
+    return run
 
-def screen_entity(t, name: str, bn: str | None) -> DataFrame:
-    """(challenge, severity, evidence): the red flags of one entity by its number or part of its name, at most one a check."""
+
+def screen_checks(t, name: str, bn: str | None) -> dict[str, Callable[[], DataFrame]]:
+    """The checks of one entity by its number or part of its name, at most one flag each (five of wrongdoing)."""
     p = None if bn is None else bn.strip()[:9]
     like = lambda c: F.contains(F.lower(c), F.lit(name.lower()))
     is_it = lambda c: F.col(c) == F.lit(p)
     moved = F.coalesce("transfer_xy", F.lit(0)) + F.coalesce("transfer_yx", F.lit(0)) + F.coalesce("joint_grants_value", F.lit(0))
     z = F.when(F.col("cohort") == "cessation", "high").otherwise("medium")
     flows = lambda: top_k(governance_flow_links(t).where(is_it("bn_x") | is_it("bn_y")), [F.desc_nulls_last("rank_score"), F.asc("bn_x"), F.asc("bn_y"), F.asc("person_key")], 1).where(moved > 0)
-    checks = [
-        _check(lambda: zombie_recipients(t).where(is_it("bn")), "zombie", z, F.col("total_grants"), [F.when(F.col("cohort") == "cessation", 0).otherwise(1).asc()]),
-        _check(lambda: ghost_capacity(t).where(is_it("bn")), "ghost_capacity", "high", F.col("ghost_score")),
-        _check(flows, "related_parties", "medium", moved),
-        _check(lambda: threshold_splitting(t).where(like("normalized_vendor")), "threshold_splitting", "medium", F.col("contracts_in_window"), [F.desc("contracts_in_window")]),
-        _check(lambda: same_vendor_followon(t).where(like("normalized_vendor")), "sole_source_followon", "medium", F.col("followon_tn_count"), [F.desc_nulls_last("followon_tn_value"), F.asc("followon_tn_count")]),
-        _check(lambda: purpose_cluster(t).where((F.col("n_departments") >= 2) & (like("recipient_legal_name") | F.coalesce(is_it("bn_prefix"), F.lit(False)))), "same_purpose", "low", F.col("n_departments"), [F.desc("n_departments")]),
-        _check(lambda: adverse_media_matches(t).where(is_it("bn") if p else like("entity_name")), "adverse_media", "high", F.col("confidence"), [F.desc_nulls_last("confidence")]),
-        _check(lambda: t["wrongdoing"].where(like("owner_org_title")), "wrongdoing", "medium", F.length(F.get_json_object("raw_fields", "$.case_description_en")), [F.asc("id")], 5),
-        _check(lambda: t["charities"].where((F.col("bn") == F.lit(bn)) & F.lower("designation").rlike("revoked|annulled")), "charity_status", "high", F.lit(None), [F.asc("bn")]),
-    ]
-    return reduce(DataFrame.unionByName, [c for c in checks if c is not None])
+    return {
+        "zombie": _flags(lambda: zombie_recipients(t).where(is_it("bn")), "zombie", z, F.col("total_grants"), [F.when(F.col("cohort") == "cessation", 0).otherwise(1).asc()]),
+        "ghost_capacity": _flags(lambda: ghost_capacity(t).where(is_it("bn")), "ghost_capacity", "high", F.col("ghost_score")),
+        "related_parties": _flags(flows, "related_parties", "medium", moved),
+        "threshold_splitting": _flags(lambda: threshold_splitting(t).where(like("normalized_vendor")), "threshold_splitting", "medium", F.col("contracts_in_window"), [F.desc("contracts_in_window")]),
+        "sole_source_followon": _flags(lambda: same_vendor_followon(t).where(like("normalized_vendor")), "sole_source_followon", "medium", F.col("followon_tn_count"), [F.desc_nulls_last("followon_tn_value"), F.asc("followon_tn_count")]),
+        "same_purpose": _flags(lambda: purpose_cluster(t).where((F.col("n_departments") >= 2) & (like("recipient_legal_name") | F.coalesce(is_it("bn_prefix"), F.lit(False)))), "same_purpose", "low", F.col("n_departments"), [F.desc("n_departments")]),
+        "adverse_media": _flags(lambda: adverse_media_matches(t).where(is_it("bn") if p else like("entity_name")), "adverse_media", "high", F.col("confidence"), [F.desc_nulls_last("confidence")]),
+        "wrongdoing": _flags(lambda: t["wrongdoing"].where(like("owner_org_title")), "wrongdoing", "medium", F.length(F.get_json_object("raw_fields", "$.case_description_en")), [F.asc("id")], 5),
+        "charity_status": _flags(lambda: t["charities"].where((F.col("bn") == F.lit(bn)) & F.lower("designation").rlike("revoked|annulled")), "charity_status", "high", F.lit(None), [F.asc("bn")]),
+    }
+
+
+def screen_entity(t, name: str, bn: str | None) -> DataFrame:
+    """(challenge, severity, evidence): the red flags of one entity, as one query; checks whose tables are missing are left out.
+
+    A check that fails while it runs ends the query; screen_with_status() keeps the others' answers.
+    """
+    planned = []
+    for make in screen_checks(t, name, bn).values():
+        try:
+            planned.append(make())
+        except (AnalysisException, KeyError):
+            continue
+    return reduce(DataFrame.unionByName, planned)
+
+
+def screen_with_status(spark: SparkSession, t, name: str, bn: str | None, seconds: float = 60.0) -> list[dict]:
+    """(check, ok, rows, error, seconds) of all checks, which run side by side."""
+    return run_checks(spark, screen_checks(t, name, bn), seconds)
 
 
 _SCREENED = [("supplier 00000000", "000000100RR0001"), ("customer#00000010", "000000033RR0001"), ("brand#1", None)]
@@ -270,6 +290,21 @@ def latest_bucket_changes(t, before: int = 2022):
     return y.join(F.broadcast(last), "fiscal_year").where("delta_total_pct IS NOT NULL")
 
 
+_BUCKETS = "owner_org_title:s commodity_type:s fiscal_year:l delta_total_pct:d delta_count_pct:d delta_avg_pct:d delta_hhi:d"
+
+
+@view("unit_cost_buckets", _BUCKETS, "contracts", f"SELECT * FROM {_of('latest_bucket_changes')} WHERE delta_total_pct > 5 AND delta_count_pct < 0")
+def unit_cost_buckets(t):
+    """Buckets whose spend rose although there were fewer contracts: dearer ones."""
+    return latest_bucket_changes(t).where("delta_total_pct > 5 AND delta_count_pct < 0")
+
+
+@view("concentration_buckets", _BUCKETS, "contracts", f"SELECT * FROM {_of('latest_bucket_changes')} WHERE delta_hhi > 200")
+def concentration_buckets(t):
+    """Buckets in which fewer vendors came to hold more."""
+    return latest_bucket_changes(t).where("delta_hhi > 200")
+
+
 @view("alignment_totals", "committed:d annual_target:d annual_actual:d annual_gap:d", "grants policy_targets", f"""
   SELECT sum(total_commitment_cad) AS committed, sum(annual_target) AS annual_target, sum(annual_actual) AS annual_actual, sum(annual_target) - sum(annual_actual) AS annual_gap FROM {_of('policy_alignment')}""")
 def alignment_totals(t):

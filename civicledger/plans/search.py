@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import same_letters
 from ..operators import fulltext
 from .registry import view
 
@@ -44,6 +45,75 @@ def documents_fulltext(t, q: str = '"of the" OR "und der" with OR und'):
     return fulltext.search(fulltext.index(t.raw("documents"), "doc_id", "text"), fulltext.request(q))
 
 
+# What users call the catalog's filters.
+FILTERS = {
+    "organization": "owner_org", "org": "owner_org", "publisher": "owner_org", "portal type": "dataset_type", "dataset type": "dataset_type", "type of dataset": "dataset_type",
+    "collection": "collection", "collection type": "collection", "jurisdiction": "jurisdiction", "keywords": "keywords_en", "keyword": "keywords_en", "subject": "subject_en",
+    "format": "resource_format", "formats": "resource_format", "update frequency": "frequency", "frequency": "frequency", "resource type": "resource_type", "api enabled": "datastore_enabled", "datastore enabled": "datastore_enabled",
+}
+
+
+def filter_name(said: str, headings: dict[str, str] | None = None) -> str | None:
+    """The filter that a user means: by what it is called, by its own name, or by its heading (name -> heading)."""
+    plain = lambda x: "".join(c for c in x.lower() if c.isascii() and c.isalnum())
+    known = {plain(k): v for k, v in FILTERS.items()} | {plain(v): v for v in FILTERS.values()}
+    return known.get(plain(said)) or {plain(h): name for name, h in (headings or {}).items()}.get(plain(said))
+
+
+def resolve(options: DataFrame, asked: DataFrame) -> DataFrame:
+    """(filter, said, how, value, candidates): what each asked (filter, said) means among options (filter, value, label).
+
+    An equal value or label (in letters and digits, ties to the least value), else the only one that begins so, else
+    the only one that has it inside; else none, and `candidates` says how many were in question. Options are laid out
+    once as a table of keys by filter; beginnings are a range of it, so that a sorted table is searched and not read.
+    """
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    table = options.select("filter", "value", F.explode(F.array_distinct(F.array(key(F.col("value")), key(F.col("label"))))).alias("key")).where("key <> ''")
+    want = asked.select("filter", "said", key(F.col("said")).alias("wanted"))
+    inside = (table["filter"] == want["filter"]) & table["key"].contains(F.col("wanted"))
+    met = want.join(table, inside).select(want["filter"], "said", "value", "key", "wanted")
+    begins = (F.col("key") >= F.col("wanted")) & (F.col("key") < F.concat("wanted", F.lit("\x7f")))
+    by = met.where("wanted <> ''").groupBy("filter", "said").agg(
+        F.min(F.when(F.col("key") == F.col("wanted"), F.col("value"))).alias("equal"),
+        F.count_distinct(F.when(begins, F.col("value"))).alias("n_begin"), F.min(F.when(begins, F.col("value"))).alias("begin"),
+        F.count_distinct("value").alias("n_inside"), F.min("value").alias("inside"),
+    )
+    only = F.when(F.col("equal").isNotNull(), F.struct(F.lit("equal").alias("how"), F.col("equal").alias("value")))
+    only = only.when(F.col("n_begin") == 1, F.struct(F.lit("begins").alias("how"), F.col("begin").alias("value"))).when(F.col("n_inside") == 1, F.struct(F.lit("inside").alias("how"), F.col("inside").alias("value")))
+    out = asked.select("filter", "said").join(by.withColumn("x", only), ["filter", "said"], "left")
+    return out.select("filter", "said", F.coalesce("x.how", F.lit("none")).alias("how"), "x.value", F.coalesce("n_inside", F.lit(0)).alias("candidates"))
+
+
+_OPTIONS = "SELECT DISTINCT 'brand' AS filter, p_brand AS value, 'The ' || p_brand AS label FROM part UNION ALL SELECT DISTINCT 'priority', o_orderpriority, substr(o_orderpriority, 3) FROM orders UNION ALL SELECT 'nation', n_name, n_name FROM nation"
+_ASKED = [("brand", "brand#1"), ("brand", "Brand 2"), ("brand", "the brand#25"), ("brand", "nothing"), ("priority", "urg"), ("priority", "not-specified"), ("priority", "e"), ("nation", "nation_1"), ("nation", "NATION 24"), ("nation", "_24"), ("nation", "")]
+
+
+@view("resolved_filters", "filter:s said:s how:s value:s candidates:l", "", f"""
+  WITH o AS ({_OPTIONS}), k AS (SELECT DISTINCT filter, value, unnest([regexp_replace(lower(value), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(label), '[^a-z0-9]+', '', 'g')]) AS key FROM o),
+  a AS (SELECT *, regexp_replace(lower(said), '[^a-z0-9]+', '', 'g') AS wanted FROM (VALUES {', '.join(str(x) for x in _ASKED)}) v(filter, said)),
+  m AS (SELECT a.filter, said, min(value) FILTER (key = wanted) AS e, count(DISTINCT value) FILTER (starts_with(key, wanted)) AS nb, min(value) FILTER (starts_with(key, wanted)) AS b, count(DISTINCT value) AS ni, min(value) AS i FROM a JOIN k ON a.filter = k.filter AND contains(key, wanted) WHERE wanted <> '' GROUP BY ALL)
+  SELECT a.filter, a.said, CASE WHEN e IS NOT NULL THEN 'equal' WHEN nb = 1 THEN 'begins' WHEN ni = 1 THEN 'inside' ELSE 'none' END AS how, CASE WHEN e IS NOT NULL THEN e WHEN nb = 1 THEN b WHEN ni = 1 THEN i END AS value, coalesce(ni, 0) AS candidates
+  FROM a LEFT JOIN m ON a.filter = m.filter AND a.said = m.said""")
+def resolved_filters(t):
+    """What eleven stated inputs mean among the values of three filters."""
+    options = t.spark.sql(_OPTIONS.replace("FROM part", "FROM {part}").replace("FROM orders", "FROM {orders}").replace("FROM nation", "FROM {nation}"), part=t.raw("part"), orders=t.raw("orders"), nation=t.raw("nation"))
+    return resolve(options, F.broadcast(t.spark.createDataFrame(_ASKED, "filter string, said string")))
+
+
+@view("recipients_by_letters", "name:s spellings:l grants:l total_value:d", "", """
+  SELECT lower(strip_accents(name)) AS name, count(DISTINCT name) AS spellings, count(*) AS grants, sum(v) AS total_value FROM (
+    SELECT CASE o_orderkey % 4 WHEN 0 THEN n_name || ' école' WHEN 1 THEN upper(n_name) || ' ECOLE' WHEN 2 THEN lower(n_name) || ' Ecôle' ELSE n_name || ' éco' || 'le' END AS name, CAST(o_totalprice AS DECIMAL(18, 2)) AS v
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1""")
+def recipients_by_letters(t):
+    """Names that differ in case and accents only, grouped by a collation's key."""
+    o = t.raw("orders").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("o_orderkey") % 4
+    name = F.when(k == 0, F.concat("n_name", F.lit(" école"))).when(k == 1, F.concat(F.upper("n_name"), F.lit(" ECOLE"))).when(k == 2, F.concat(F.lower("n_name"), F.lit(" Ecôle"))).otherwise(F.concat("n_name", F.lit(" éco"), F.lit("le")))
+    rows = o.select(name.alias("spelling"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    by = rows.groupBy(same_letters(F.col("spelling")).alias("letters")).agg(F.count_distinct("spelling").alias("spellings"), F.count("*").alias("grants"), F.sum("v").alias("total_value"), F.first("spelling").alias("s"))
+    return by.withColumn("name", F.lower(F.translate("s", "éôÉÔ", "eoEO")))
+
+
 def page_with_total(rows: DataFrame, order: list, limit: int, offset: int = 0, facets: dict[str, list] | None = None) -> dict:
     """{records, total, facets}: a page of `rows`, how many there are, and how many have each stated value.
 

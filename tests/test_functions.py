@@ -137,7 +137,7 @@ def test_pick_chart(spark):
     kind = lambda rows, schema: charts.pick_chart(spark.createDataFrame(rows, schema))["type"]
     assert kind([(5,)], "n int") == "kpi" and kind([], "n int") == "none" and kind([("a",), ("b",)], "v string") == "table"
     assert kind([(2020, "a", 1.0), (2021, "a", 2.0)], "fiscal_year int, k string, v double") == "multi_line"
-    assert kind([("a", "x", 1.0), ("b", "x", 2.0)], "k string, l string, v double") == "grouped_bar"
+    assert kind([("a", "x", 1.0), ("b", "x", 2.0)], "k string, l string, v double") == "stacked_bar"
     assert kind([("a", 1.0), ("b", 2.0)], "k string, v double") == "bar" and kind([(2020, 1.0), (2021, 2.0)], "year int, v double") == "line"
     assert kind([(1, 1.0), (2, 2.0)], "u int, v double") == "scatter"
 
@@ -168,7 +168,7 @@ def test_guard_refuses(bad):
 
 def test_gateway(spark):
     spark.range(5).createOrReplaceTempView("numbers")
-    assert gateway.guard("WITH a AS (SELECT 'drop' AS x) SELECT * FROM a;").endswith("a")
+    assert gateway.guard("WITH a AS (SELECT 'drop' AS x) SELECT * FROM a;").endswith("a;")
     fixed = gateway.run(spark, "SELECT idd FROM numbers", lambda sql, error, schema: sql.replace("idd", schema["numbers"][0]))
     assert fixed.count() == 5
     events = list(gateway.run_steps(spark, [("count", "SELECT count(*) AS n FROM numbers"), ("bad", "DROP TABLE numbers")]))
