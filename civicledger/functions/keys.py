@@ -122,3 +122,10 @@ def same_letters(text: Column) -> Column:
     """A key for joins and groups that is equal for texts that differ in case and accents only, in all of Unicode:
     composed and decomposed letters, and those that no list of replacements names."""
     return F.collate(text, "UNICODE_CI_AI")
+
+
+def numbered_fields(record: Column) -> Column:
+    """Of a JSON record, the fields whose names are numbers of three or four digits, as JSON by name; null if there are none."""
+    fields = F.filter(F.map_entries(F.from_json(record, "map<string,string>")), lambda e: e["key"].rlike(r"^\d{3,4}$"))
+    fields = F.array_sort(fields, lambda a, b: a["key"].cast("int") - b["key"].cast("int"))
+    return F.when(F.size(fields) > 0, F.to_json(F.map_from_entries(fields)))

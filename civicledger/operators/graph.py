@@ -14,17 +14,24 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
     """Directed simple cycles of `length` nodes, each once, its least node first: n0.., leg0.., min_leg, total.
 
     The order is applied before each join, so that only paths that can still be canonical are extended. Cycles of four
-    are two halves of two edges with the same ends: no path of three edges through a hub is ever made.
+    are two halves of two edges each that end in the cycle's node of the highest degree (ties by name) and in the node
+    across from it: no half runs through a hub, and their number is at most edges^1.5.
     """
     e = edges.where("src != dst")
     legs = [F.col(f"leg{i}") for i in range(length)]
     columns = [*[f"n{i}" for i in range(length)], *[f"leg{i}" for i in range(length)], "min_leg", "total_circled"]
     if length == 4:
-        step = lambda i, j: e.select(F.col("src").alias(f"n{i}"), F.col("dst").alias(f"n{j}"), F.col("amount").alias(f"leg{i}"))
-        there = step(0, 1).where("n0 < n1").join(step(1, 2), "n1").where("n2 > n0")
-        back = step(2, 3).join(step(3, 0).where("n3 > n0"), "n3").where("n2 > n0")
-        out = there.join(back, ["n0", "n2"]).where("n1 != n3")
-        return out.withColumn("min_leg", F.least(*legs)).withColumn("total_circled", reduce(lambda a, b: a + b, legs)).select(*columns)
+        degree = e.select(F.col("src").alias("node")).unionAll(e.select("dst")).groupBy("node").agg(F.count("*").alias("d"))
+        for end in ("src", "dst"):
+            e = e.join(degree.select(F.col("node").alias(end), F.struct("d", "node").alias(f"r_{end}")), end)
+        step = lambda a, b, leg: e.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("r_src").alias(f"r_{a}_"), F.col("r_dst").alias(f"r_{b}_"), F.col("amount").alias(leg))
+        there = step("top", "b", "l0").where("r_b_ < r_top_").drop("r_b_").join(step("b", "y", "l1").drop("r_b_"), "b").where("r_y_ < r_top_").drop("r_y_", "r_top_")
+        back = step("d", "top", "l3").where("r_d_ < r_top_").drop("r_d_").join(step("y", "d", "l2").drop("r_d_"), "d").where("r_y_ < r_top_").drop("r_y_", "r_top_")
+        met = there.join(back, ["top", "y"]).where("b != d")
+        nodes, amounts = F.array("top", "b", "y", "d"), F.array("l0", "l1", "l2", "l3")
+        first = F.array_position(nodes, F.array_min(nodes)).cast("int") - 1
+        turned = met.select(*[F.get(x, (first + i) % 4).alias(f"{name}{i}") for x, name in ((nodes, "n"), (amounts, "leg")) for i in range(4)])
+        return turned.withColumn("min_leg", F.least(*legs)).withColumn("total_circled", reduce(lambda a, b: a + b, legs)).select(*columns)
     paths = e.where("src < dst").select(F.col("src").alias("n0"), F.col("dst").alias("n1"), F.col("amount").alias("leg0"))
     for i in range(1, length - 1):
         step = e.select(F.col("src").alias(f"n{i}"), F.col("dst").alias(f"n{i + 1}"), F.col("amount").alias(f"leg{i}"))

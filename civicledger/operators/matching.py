@@ -20,8 +20,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def cosine_top_k(vectors: DataFrame, query: list[float], k: int = 10, most: int = 50) -> DataFrame:
-    """The k rows (vec_id, embedding) nearest one stated vector, which is a literal of the plan: a scan and a top-k."""
+def cosine_top_k(vectors: DataFrame, query: list[float], k: int = 10, most: int = 50, source: str | None = None) -> DataFrame:
+    """The k rows (vec_id, embedding) nearest one stated vector, which is a literal of the plan: a scan and a top-k.
+    With `source` only the rows of that source."""
+    vectors = vectors if source is None else vectors.where(F.col("source") == source)
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.withColumn("similarity", F.round(cosine(F.col("embedding"), q), 4))
     return scored.drop("embedding").orderBy(F.desc_nulls_last("similarity"), "vec_id").limit(min(k, most))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relational import first_by, top_k
+from ..sources import bounded
 from . import tables
 from .registry import view
 
@@ -220,9 +221,60 @@ def resource_score(format_: Column, for_analysis: bool = True, for_maps: bool =
     return F.when(f.isin(*STRUCTURED), 100).otherwise(0) + F.coalesce(own, F.lit(0))
 
 
-def recommended(resources: DataFrame, for_analysis: bool = True, for_maps: bool = False) -> DataFrame:
-    """(dataset, id, format, score): each dataset's best file, ties to the smaller id."""
-    r = resources.withColumn("score", resource_score(F.col("format"), for_analysis, for_maps))
+def file_score(for_analysis: bool = True, for_maps: bool = False) -> Column:
+    """How well a file serves, by its columns format, mime, url, datastore (whether rows can be queried) and kind.
+
+    Beside its format: 15 for a queried store, 5 (for analysis) or 10 for an API, for maps 60 for what looks like
+    GeoJSON. It is structured text by declared format, by media type, or without one by the ending of its address.
+    """
+    kind, at, f = F.lower(F.coalesce("mime", F.lit(""))), F.lower(F.coalesce("url", F.lit(""))), F.upper(F.coalesce("format", F.lit("")))
+    ending = F.regexp_extract(F.split_part(F.split_part(at, F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), r"\.([a-z0-9]+)/*$", 1)
+    text = f.isin(*[x.upper() for x in bounded.TEXT_ENDINGS]) | reduce(lambda a, b: a | b, [F.contains(kind, F.lit(x)) for x in bounded.TEXT_TYPES]) | ((kind == "") & ending.isin(*bounded.TEXT_ENDINGS))
+    geo = (f == "GEOJSON") | F.contains(kind, F.lit("application/geo+json")) | F.endswith(at, F.lit(".geojson")) | F.contains(at, F.lit("f=geojson"))
+    own = resource_score(F.col("format"), for_analysis, for_maps) - F.when(f.isin(*STRUCTURED), 100).otherwise(0)
+    api = F.when(F.lower(F.coalesce("kind", F.lit(""))) == "api", 5 if for_analysis else 10).otherwise(0)
+    return F.when(text, 100).otherwise(0) + own + F.when(geo, 60 if for_maps else 0).otherwise(0) + F.when(F.coalesce("datastore", F.lit(False)), 15).otherwise(0) + api
+
+
+def resolve_file(files: DataFrame, dataset: str, wanted: str | None = None) -> dict:
+    """The file (id, name, ..) of a dataset that a user means: by id, or by a name that only one has; the only one if nothing is said."""
+    own = files.where(F.col("dataset") == dataset)
+    if wanted is None:
+        found, none = own.limit(2).collect(), "the dataset has no file"
+    else:
+        said = " ".join(wanted.split()).lower()
+        by_id = own.where(F.col("id").cast("string") == wanted).limit(1).collect()
+        found, none = by_id or own.where(F.lower("name") == said).limit(2).collect(), f"{wanted} is no file of {dataset}"
+    if not found:
+        raise ValueError(none)
+    if len(found) > 1:
+        raise ValueError("several files match; give an id")
+    return found[0].asDict()
+
+
+# Words of a topic that point at all sources of a domain.
+TOPIC_WORDS = {
+    "spending": ["spending", "money", "budget", "financial", "cost", "expense", "dollar", "funding", "fiscal", "procurement", "purchase"],
+    "travel": ["travel", "trip", "flight", "hospitality", "conference", "aircraft"],
+    "briefing reporting": ["accountability", "transparency", "wrongdoing", "disclosure", "government", "minister", "briefing", "parliament"],
+}
+
+
+def sources_of_topic(sources: DataFrame, topic: str) -> DataFrame:
+    """Rows of sources (id, title, description, domain, examples array) whose title, description or an example holds the
+    topic, or is held by it; if there is none, those of the domains that the topic's words point at."""
+    said = " ".join(topic.lower().split())
+    near = lambda c: F.contains(F.lower(c), F.lit(said)) | ((F.length(c) > 0) & F.contains(F.lit(said), F.lower(c)))
+    direct = sources.where(near(F.col("title")) | F.contains(F.lower("description"), F.lit(said)) | F.exists("examples", near))
+    if not direct.isEmpty():
+        return direct
+    domains = [d for names, words in TOPIC_WORDS.items() if any(w in said for w in words) for d in names.split()]
+    return sources.where(F.col("domain").isin(domains))
+
+
+def recommended(resources: DataFrame, for_analysis: bool = True, for_maps: bool = False, whole: bool = False) -> DataFrame:
+    """(dataset, id, format, score): each dataset's best file, ties to the smaller id; `whole` scores by all columns."""
+    r = resources.withColumn("score", file_score(for_analysis, for_maps) if whole else resource_score(F.col("format"), for_analysis, for_maps))
     return first_by(r, ["dataset"], ["id", "format", "score"], F.struct(-F.col("score"), F.col("id")))
 
 
@@ -241,3 +293,17 @@ def recommended_resources(t):
     """The file to load of each dataset, by format."""
     p = t.raw("part")
     return recommended(p.selectExpr("p_type AS dataset", "p_partkey AS id", f"coalesce({_FORMATS}, '') AS format"))
+
+
+_FILES = f"""SELECT p_type AS dataset, p_partkey AS id, coalesce({_FORMATS}, '') AS format, CASE p_size % 3 WHEN 0 THEN 'application/json; charset=utf-8' WHEN 1 THEN 'application/pdf' END AS mime,
+  'https://host/' || lower(p_brand) || CASE WHEN p_size % 4 = 0 THEN '.geojson' WHEN p_size % 4 = 1 THEN '.csv?x=1' ELSE '/query?f=geojson' END AS url, p_retailprice > 1500 AS datastore, CASE WHEN p_size < 10 THEN 'API' ELSE 'file' END AS kind FROM"""
+_SCORE = """CASE WHEN upper(format) IN ('CSV', 'JSONL', 'XML', 'HTML') OR contains(coalesce(mime, ''), 'json') OR (mime IS NULL AND p IN (0, 1)) THEN 100 ELSE 0 END
+  + CASE upper(format) WHEN 'CSV' THEN 40 WHEN 'JSONL' THEN 30 WHEN 'XML' THEN 15 WHEN 'HTML' THEN -20 ELSE 0 END + CASE WHEN p <> 1 THEN 60 ELSE 0 END + CASE WHEN datastore THEN 15 ELSE 0 END + CASE WHEN kind = 'API' THEN 5 ELSE 0 END"""
+
+
+@view("recommended_map_files", "dataset:s id:l format:s score:l", "", f"""
+  SELECT dataset, arg_min(id, o) AS id, arg_min(format, o) AS format, arg_min(score, o) AS score FROM (SELECT *, {{'a': -score, 'b': id}} AS o FROM (SELECT *, {_SCORE} AS score FROM (
+    SELECT *, CASE WHEN url LIKE '%.geojson' THEN 0 WHEN url LIKE '%.csv?x=1' THEN 1 ELSE 2 END AS p FROM ({_FILES} part)))) GROUP BY dataset""")
+def recommended_map_files(t):
+    """The file of each dataset that serves a map best, by format, media type, address, store and kind."""
+    return recommended(t.spark.sql(_FILES + " {part}", part=t.raw("part")), for_maps=True, whole=True)

@@ -139,13 +139,19 @@ _THEME_SQL = " ".join(f"WHEN regexp_matches(words, '\\b({p})\\b') THEN '{n}'" fo
           CASE {_THEME_SQL} END AS theme FROM (SELECT *, lower(prog_name_en) || ' ' || lower(coalesce(description_en, '')) AS words FROM grants))
   WHERE theme IS NOT NULL AND agreement_value > 0 GROUP BY recip_key, theme HAVING count(DISTINCT owner_org_title) >= 2 AND count(DISTINCT prog_name_en) >= 2""")
 def purpose_cluster(t):
-    """One recipient and theme under two departments or more and two programs or more."""
+    """One recipient and theme under two departments or more and two programs or more.
+
+    Fifteen patterns meet each different text once, and not each grant.
+    """
     g = t["grants"].where("agreement_value > 0 AND owner_org_title IS NOT NULL AND recipient_legal_name IS NOT NULL AND prog_name_en IS NOT NULL")
     words = F.concat_ws(" ", F.lower("prog_name_en"), F.coalesce(F.lower("description_en"), F.lit("")))
     number = F.col("recipient_business_number")
     name = F.concat(F.lit("NM:"), F.upper(F.trim("recipient_legal_name")))
-    g = g.withColumns({"purpose_cluster": ladder(words, THEMES, r"\b({0})\b"), "recip_key": F.coalesce(F.nullif(F.substring(number, 1, 9), F.lit("")), name), "bn_prefix": bn_prefix(number)})
-    out = g.where("purpose_cluster IS NOT NULL").groupBy("recip_key", "purpose_cluster").agg(
+    texts = g.select("prog_name_en", "description_en").distinct().withColumn("purpose_cluster", ladder(words, THEMES, r"\b({0})\b")).where("purpose_cluster IS NOT NULL")
+    texts = texts.withColumnsRenamed({"prog_name_en": "_program", "description_en": "_description"})
+    g = g.join(texts, (F.col("prog_name_en") == F.col("_program")) & F.col("description_en").eqNullSafe(F.col("_description"))).drop("_program", "_description")
+    g = g.withColumns({"recip_key": F.coalesce(F.nullif(F.substring(number, 1, 9), F.lit("")), name), "bn_prefix": bn_prefix(number)})
+    out = g.groupBy("recip_key", "purpose_cluster").agg(
         F.max("bn_prefix").alias("bn_prefix"), F.max("recipient_legal_name").alias("recipient_legal_name"), F.array_sort(F.collect_set(F.struct(F.col("owner_org_title").alias("dept"), F.col("prog_name_en").alias("program")))).alias("_p"),
         F.count("*").alias("grant_count"), F.sum("agreement_value").alias("total_value"),
     )

@@ -186,12 +186,16 @@ _FLOWS = f"""
 
 
 @view("governance_flow_links", "person_key:s bn_x:s bn_y:s name_x:s name_y:s disambiguated:b transfer_xy:d transfer_yx:d joint_grants_count:l joint_grants_value:d shared_contract_value:d rank_score:d", "directors financial charities transfers grants contracts", _FLOWS)
-def governance_flow_links(t):
+def governance_flow_links(t, about_bn: str | None = None):
     """Pairs of charities that share a director, with the money between and around them.
 
-    The pairs come from one person's boards, so their number is bounded by boards a person sits on.
+    The pairs are those of one person's boards: for a name that many people share, the square of its boards. What only
+    asks whether or how many pairs there are goes by transfers_within() and doesn't make them; with `about_bn` only the
+    pairs of people on that board are made.
     """
     links = director_board_links(t).select("person_key", "bn_prefix", "disambiguated")
+    if about_bn is not None:
+        links = links.join(links.where(F.col("bn_prefix") == about_bn).select("person_key").distinct(), "person_key", "left_semi")
     a = links.select("person_key", F.col("bn_prefix").alias("bn_x"), F.col("disambiguated").alias("_x"))
     b = links.select("person_key", F.col("bn_prefix").alias("bn_y"), F.col("disambiguated").alias("_y"))
     pairs = a.join(b, "person_key").where("bn_x < bn_y").select("person_key", "bn_x", "bn_y", (F.col("_x") & F.col("_y")).alias("disambiguated"))
@@ -216,8 +220,30 @@ def governance_flow_links(t):
 @view("related_parties_stats", "total_multi_board:l max_boards:l total_disambiguated:l pairs_with_financial_edge:l", "directors financial charities transfers grants contracts", f"""
   SELECT count(*) AS total_multi_board, max(board_count) AS max_boards, count(*) FILTER (disambiguated) AS total_disambiguated, (SELECT count(*) FROM ({_FLOWS}) WHERE transfer_xy + transfer_yx > 0 OR joint_grants_value > 0) AS pairs_with_financial_edge FROM ({_MULTI})""")
 def related_parties_stats(t):
+    """Pairs with money are counted and not made: of a person's g boards with grants, g * (g - 1) / 2, and of the others
+    those with a transfer between them."""
     people = director_multi_board(t).agg(F.count("*").alias("total_multi_board"), F.coalesce(F.max("board_count"), F.lit(0)).alias("max_boards"), F.count_if("disambiguated").alias("total_disambiguated"))
-    return people.crossJoin(governance_flow_links(t).agg(F.count_if((F.col("transfer_xy") + F.col("transfer_yx") > 0) | (F.col("joint_grants_value") > 0)).alias("pairs_with_financial_edge")))  # a row each
+    granted = t["grants"].where((F.col("agreement_value") > 0) & (F.length("recipient_business_number") >= 9)).select(bn_prefix(F.col("recipient_business_number")).alias("bn_prefix")).distinct()
+    by_person = director_board_links(t).join(granted, "bn_prefix", "left_semi").groupBy("person_key").agg(F.count("*").alias("g"))
+    both = by_person.agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0)).cast("long").alias("both"))
+    moved = transfers_within(t)
+    for side in "xy":
+        moved = moved.join(granted.select(F.col("bn_prefix").alias(f"bn_{side}"), F.lit(True).alias(f"_g{side}")), f"bn_{side}", "left")
+    others = moved.where("_gx IS NULL OR _gy IS NULL").agg(F.count("*").alias("others"))
+    return people.crossJoin(both).crossJoin(others).withColumn("pairs_with_financial_edge", F.col("both") + F.col("others"))  # a row each
+
+
+def transfers_within(t) -> DataFrame:
+    """(person_key, bn_x, bn_y): pairs of one person's boards with a transfer between them, bn_x < bn_y, each once.
+
+    From the transfers: an edge meets the people of its one end, and of these those who are on the other; a person's
+    boards are never paired with each other.
+    """
+    links = director_board_links(t).select("person_key", "bn_prefix")
+    a, b = bn_prefix(F.col("donor_bn")), bn_prefix(F.col("donee_bn"))
+    edges = t["transfers"].where("total_gifts > 0").select(F.least(a, b).alias("bn_x"), F.greatest(a, b).alias("bn_y")).where("bn_x < bn_y").distinct()
+    one = edges.join(links.withColumnRenamed("bn_prefix", "bn_x"), "bn_x")
+    return one.join(links.withColumnRenamed("bn_prefix", "bn_y"), ["person_key", "bn_y"], "left_semi").select("person_key", "bn_x", "bn_y")
 
 
 @view("related_parties", "first_name:s last_name:s org_count:l bns:a charities:a disambiguated:b", "directors financial charities", f"SELECT split_part(person_key, '|', 1) AS first_name, split_part(person_key, '|', 2) AS last_name, board_count AS org_count, bn_prefixes AS bns, charities, disambiguated FROM ({_MULTI})")
@@ -228,7 +254,7 @@ def related_parties(t):
 
 @view("multi_board_without_flow", "person_key:s board_count:l", "directors financial charities transfers grants contracts", f"SELECT person_key, board_count FROM ({_MULTI}) WHERE person_key NOT IN (SELECT person_key FROM ({_FLOWS}) WHERE transfer_xy + transfer_yx > 0)")
 def multi_board_without_flow(t):
-    return director_multi_board(t).join(governance_flow_links(t).where("transfer_xy + transfer_yx > 0"), "person_key", "left_anti")
+    return director_multi_board(t).join(transfers_within(t), "person_key", "left_anti")
 
 
 @view("flow_pairs", "bn_x:s bn_y:s person_key:s rank_score:d", "directors financial charities transfers grants contracts", f"SELECT bn_x, bn_y, person_key, rank_score FROM ({_FLOWS}) WHERE rank_score > 0 QUALIFY row_number() OVER (PARTITION BY bn_x, bn_y ORDER BY rank_score DESC, person_key) = 1")

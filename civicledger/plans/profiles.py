@@ -147,7 +147,7 @@ def screen_checks(t, name: str, bn: str | None) -> dict[str, Callable[[], DataFr
     is_it = lambda c: F.col(c) == F.lit(p)
     moved = F.coalesce("transfer_xy", F.lit(0)) + F.coalesce("transfer_yx", F.lit(0)) + F.coalesce("joint_grants_value", F.lit(0))
     z = F.when(F.col("cohort") == "cessation", "high").otherwise("medium")
-    flows = lambda: top_k(governance_flow_links(t).where(is_it("bn_x") | is_it("bn_y")), [F.desc_nulls_last("rank_score"), F.asc("bn_x"), F.asc("bn_y"), F.asc("person_key")], 1).where(moved > 0)
+    flows = lambda: top_k(governance_flow_links(t, p or "").where(is_it("bn_x") | is_it("bn_y")), [F.desc_nulls_last("rank_score"), F.asc("bn_x"), F.asc("bn_y"), F.asc("person_key")], 1).where(moved > 0)
     return {
         "zombie": _flags(lambda: zombie_recipients(t).where(is_it("bn")), "zombie", z, F.col("total_grants"), [F.when(F.col("cohort") == "cessation", 0).otherwise(1).asc()]),
         "ghost_capacity": _flags(lambda: ghost_capacity(t).where(is_it("bn")), "ghost_capacity", "high", F.col("ghost_score")),
