@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, block_id, look_up, pack, spans, unpack
+from .blocks import BLOCK, block_ids, look_up, pack, spans, unpack
 from .common import cut, drop, table, text_batches, worker_cache
 
 #: Characters on which all regular expression engines agree; chunks of others are left to the tokenizers' own library.
@@ -220,10 +220,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFrame:
     def write(batches):
         import pyarrow as pa
 
-        both = tokenizers(a_path, b_path, pattern)
+        both, number = tokenizers(a_path, b_path, pattern), block_ids()
         for batch in text_batches(batches, BLOCK):
             counts, digests, pairs, held, packed = _block(both, batch.column(1).to_pylist())
-            values = [[block_id()], [batch.column(0).to_pylist()], *([counts[k]] for k in COUNTS), [digests], [pairs], [held], [packed]]
+            values = [[next(number)], [batch.column(0).to_pylist()], *([counts[k]] for k in COUNTS), [digests], [pairs], [held], [packed]]
             types = [pa.int64(), pa.list_(batch.column(0).type), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
 

@@ -7,8 +7,6 @@ once for each occurrence; neither the table nor a document's occurrences are eve
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,40 +14,46 @@ from pyspark.sql import functions as F
 BLOCK = 8 << 20
 
 
-def block_id() -> int:
-    return uuid.uuid4().int >> 65
+#: Bits of a value, and of an entry's place, in a number that holds both.
+VALUE_BITS, PLACE_BITS = 37, 26
+
+
+def block_ids():
+    """Numbers of a task's blocks, one after the other: small ones, as each entry carries its block's."""
+    from pyspark import TaskContext
+
+    n = TaskContext.get().partitionId() << 20
+    while True:
+        yield n
+        n += 1
 
 
 def look_up(blocks: DataFrame, entries: str, table: DataFrame, value: Column) -> DataFrame:
     """`blocks` (block, .., entries: array) with `found`: the value of each entry, in the array's order.
 
     `table` has the column `key`; `value` is an expression over `key` and the table's other columns, which are null
-    for an entry that isn't there. The array itself is left out of the result. Every entry has one row per block.
+    for an entry that isn't there; it is a whole number between -2^36 and 2^36, else the job fails. The array itself
+    is left out of the result. Every entry has one row per block; on its way back it is one number.
     """
+    half = 1 << (VALUE_BITS - 1)
     listed = blocks.select("block", F.posexplode(entries).alias("at", "key"))
-    valued = listed.join(table, "key", "left").select("block", F.struct("at", value.alias("value")).alias("x"))
-    found = valued.groupBy("block").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["value"]).alias("found"))
+    listed = listed.select((F.shiftleft("block", PLACE_BITS) + F.col("at")).alias("slot"), "key")
+    valued = listed.join(table, "key", "left").select("slot", value.cast("long").alias("v"))
+    fits = F.when(F.abs("v") < half, F.col("v") + half).otherwise(F.raise_error(F.lit("a looked-up value is too large")))
+    place = F.col("slot").bitwiseAND((1 << PLACE_BITS) - 1)
+    both = valued.select(F.shiftright("slot", PLACE_BITS).alias("block"), (F.shiftleft(place, VALUE_BITS) + fits).alias("x"))
+    values = F.transform(F.sort_array(F.collect_list("x")), lambda x: x.bitwiseAND((1 << VALUE_BITS) - 1) - half)
+    found = both.groupBy("block").agg(values.alias("found"))
     return blocks.drop(entries).join(found, "block", "left")
 
 
-def look_up_news(blocks: DataFrame, entries: str, known: str, table: DataFrame, value: Column) -> DataFrame:
-    """Like look_up, for values of which a block has a guess, the array `known`: `found_at` and `found` are the places and
-    values of those entries only whose guess is wrong. Both arrays are left out of the result."""
-    listed = blocks.select("block", F.posexplode(F.arrays_zip(F.col(entries).alias("key"), F.col(known).alias("known"))).alias("at", "x"))
-    valued = listed.select("block", "at", "x.key", "x.known").join(table, "key", "left").withColumn("value", value).where("value <> known")
-    found = valued.groupBy("block").agg(F.collect_list(F.struct("at", "value")).alias("x"))
-    joined = blocks.drop(entries, known).join(found, "block", "left")
-    none = F.array().cast("array<struct<at:int,value:bigint>>")
-    return joined.withColumn("x", F.coalesce("x", none)).withColumns({"found_at": F.col("x.at"), "found": F.col("x.value")}).drop("x")
-
-
 def pack(*arrays) -> bytes:
-    """Unsigned integers, compressed: each array after its length."""
+    """Unsigned integers, compressed byte place by byte place: each array after its length."""
     import numpy as np
     import pyarrow as pa
 
-    raw = b"".join(len(a).to_bytes(8, "little") + np.asarray(a).astype("<u4").tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    raw = b"".join(len(a).to_bytes(8, "little") + np.asarray(a).astype("<u4").view("u1").reshape(-1, 4).T.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> list:
@@ -59,7 +63,8 @@ def unpack(data: bytes) -> list:
     raw, out, at = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), [], 0
     while at < len(raw):
         n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw, "<u4", n, at + 8).astype(np.int64))
+        planes = np.frombuffer(raw, "u1", 4 * n, at + 8).reshape(4, n)
+        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
         at += 8 + 4 * n
     return out
 

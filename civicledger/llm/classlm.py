@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, block_id, look_up_news, pack, unpack
+from .blocks import BLOCK, block_ids, look_up, pack, unpack
 from .common import crc_mod, cut, drop, release, table, text_batches
 
 CLASSES = 64
@@ -38,7 +38,7 @@ PAIRS = 1 << 21  # distinct pairs of units that a task sums up before it sends t
 
 def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
     """block, ids, held, sizes (words by document), words, train (training occurrences of each), packed (places of words, units
-    of the words' last letters, train)."""
+    of the words' last letters)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def write(batches):
@@ -47,6 +47,7 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        number = block_ids()
         for batch in text_batches(batches, BLOCK):
             place: dict[bytes, int] = {END.encode(): 0}
             codes, sizes = [], []
@@ -59,7 +60,7 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
             train[0] += (~out).sum()
             words = [w.decode() for w in place]
             tails = np.array([1 + OWN + zlib.crc32(w[-LETTERS:].encode()) % TAILS for w in words], np.int64)
-            values = [[block_id()], [batch.column(0).to_pylist()], [out], [sizes], [words], [train], [pack(codes, tails, train)]]
+            values = [[next(number)], [batch.column(0).to_pylist()], [out], [sizes], [words], [train], [pack(codes, tails)]]
             types = [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
 
@@ -83,9 +84,8 @@ def read_block(batch, row: int):
     """sizes, places of words, units of tails, and what each of a block's words is: an own unit's negative number, or its count."""
     import numpy as np
 
-    sizes, at, found = (np.asarray(batch.column(c).slice(row, 1).flatten()) for c in ("sizes", "found_at", "found"))
-    codes, tails, value = unpack(batch.column("packed")[row].as_py())
-    value[at] = found
+    sizes, value = (np.asarray(batch.column(c).slice(row, 1).flatten()) for c in ("sizes", "found"))
+    codes, tails = unpack(batch.column("packed")[row].as_py())
     return sizes, codes, tails, value
 
 
@@ -139,7 +139,7 @@ def bigrams(coded: DataFrame) -> DataFrame:
         if held_pairs:
             yield from sent(*merged())
 
-    return coded.select("sizes", "held", "found_at", "found", "packed").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return coded.select("sizes", "held", "found", "packed").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
@@ -417,8 +417,8 @@ def prepared(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame]:
     counts = cut(pairs.groupBy(F.col("words").alias("key")).agg(F.sum("train").alias("n")), "lm-counts")
     words = cut(with_units(counts), "lm-words")
     value = F.when(F.col("unit").between(1, OWN), -F.col("unit").cast("long")).otherwise(F.coalesce("n", F.lit(0)))
-    # a word that only one block has is as its block has counted it: the block is told of the others
-    coded = cut(look_up_news(blocks, "words", "train", words, value), "lm-coded")
+    release(docs.sparkSession)
+    coded = cut(look_up(blocks.drop("train"), "words", words, value), "lm-coded")
     drop(blocks, counts)
     release(docs.sparkSession)
     return coded, words

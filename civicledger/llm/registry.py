@@ -8,6 +8,9 @@ from . import alignment, ann, bpe, chroma, classlm, jaccard, langid, lines, mixi
 
 MODULES = (langid, warc, substrings, lines, jaccard, toxicity, chroma, ann, mixing, bpe, classlm, alignment, spelling)
 
+#: Queries that need the package of public tokenizers.
+TOKENIZING = ("op10_bpe", "op12_alignment", "pipeline")
+
 
 def queries() -> dict:
     return {name: f for m in MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
