@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import table, text_batches, worker_cache
 
-LEAF = 16  # bytes that are merged directly
+LEAF = 8  # bytes that are merged directly
 SPAN = 1 << 10  # characters of text that are split into pre-tokens directly
 IDS = 1 << 8  # ids that are decoded directly
 CACHE = 400_000  # distinct chunks that a worker remembers
+SHARED = 100_000  # leaves, and meetings of two tokens, that it remembers: both come again in many pre-tokens
 
 #: White space-delimited chunks: every pre-token lies within one, and their own boundaries are pre-token boundaries.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -48,6 +49,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.chunks: dict[str, str] = {}
         self.pieces: dict[str, str] = {}
+        self.leaves: dict[bytes, list[int]] = {}
+        self.seams: dict[tuple[int, int], list[int]] = {}
 
     def leaf(self, raw: bytes) -> list[int]:
         """The merges in order of rank, leftmost first, by a heap over a linked list."""
@@ -89,7 +92,14 @@ class Codec:
             return a or b
         i = j = 1
         while True:
-            window = self.leaf(b"".join(self.bytes_of[t] for t in a[-i:] + b[:j]))
+            if i == j == 1:  # the same two tokens meet again and again
+                window = self.seams.get((a[-1], b[0]))
+                if window is None:
+                    if len(self.seams) > SHARED:
+                        self.seams.clear()
+                    window = self.seams[a[-1], b[0]] = self.leaf(self.bytes_of[a[-1]] + self.bytes_of[b[0]])
+            else:
+                window = self.leaf(b"".join([self.bytes_of[t] for t in a[-i:] + b[:j]]))
             left, right = i == len(a) or window[0] == a[-i], j == len(b) or window[-1] == b[j - 1]
             if left and right:
                 return a[:-i] + window + b[j:]
@@ -98,7 +108,12 @@ class Codec:
     def piece(self, raw: bytes) -> list[int]:
         """One pre-token: halves recursively, joined up the tree."""
         if len(raw) <= LEAF:
-            return self.leaf(raw)
+            ids = self.leaves.get(raw)
+            if ids is None:
+                if len(self.leaves) > SHARED:
+                    self.leaves.clear()
+                ids = self.leaves[raw] = self.leaf(raw)
+            return ids
         half = len(raw) // 2
         return self.join(self.piece(raw[:half]), self.piece(raw[half:]))
 
@@ -178,7 +193,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
     The whole text is encoded by the rank file at `path` (present on every worker), each match of `pattern`
     separately and without special tokens; then the ids are decoded. Null texts are empty: no ids, the digests
     of nothing. Rows are independent, so repeated rows and null ids pass through, and an empty table gives an
-    empty result. Only doc_id and text are read.
+    empty result. Only doc_id and text are read; a very long text
+    is one string of its task, coded by halves.
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
