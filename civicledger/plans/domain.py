@@ -62,7 +62,7 @@ FROM {{orders}} o JOIN {{customer}} c ON o_custkey = c_custkey JOIN {{nation}} n
 SELECT {_BN.format('c_custkey')} AS bn, {_NAME} AS legal_name, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS designation,
        c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' - General - Local' ELSE '' END AS category, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Street ' || CAST(c_custkey % 100 AS VARCHAR(9)) END AS address,
        'City ' || CAST(c_nationkey AS VARCHAR(9)) AS city
-FROM {{customer}} c WHERE c_custkey % 13 <> 0""",
+FROM {{customer}} c WHERE c_acctbal > -150 OR c_acctbal < -800""",
     "charity_history": f"""
 SELECT {_BN.format('c_custkey')} AS bn, CAST(2018 + c_custkey % 7 - d AS INT) AS list_year, {_NAME} || CASE WHEN d = 1 THEN ' (former)' ELSE '' END AS legal_name,
        'C' AS designation, c_mktsegment AS category
@@ -80,10 +80,10 @@ FROM {{customer}} c CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 AS d) y""",
 SELECT {_BN.format('c_custkey')} AS bn, CAST(CASE WHEN c_custkey % 97 = 0 THEN 600000 ELSE c_custkey % 4 END AS BIGINT) AS ft_employees,
        CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 3 AS BIGINT) END AS pt_employees,
        chr(123) || '"300":"' || CAST(c_custkey % 5 AS VARCHAR(9)) || '","320":"' || CASE WHEN c_custkey % 6 = 0 THEN 'n/a' ELSE CAST(c_custkey % 2 AS VARCHAR(9)) END || '","340":""' || chr(125) AS raw_fields
-FROM {{customer}} c WHERE c_custkey % 7 <> 0""",
+FROM {{customer}} c WHERE c_acctbal < 8500""",
     "programs": f"""
 SELECT {_BN.format('c_custkey')} AS bn, CASE WHEN c_custkey % 3 = 0 THEN 'short' ELSE 'Runs services in ' || c_mktsegment END AS description
-FROM {{customer}} c WHERE c_custkey % 5 <> 0""",
+FROM {{customer}} c WHERE c_mktsegment <> 'HOUSEHOLD'""",
     "transfers": f"""
 SELECT {_BN.format('o_custkey')} AS donor_bn,
        {_BN.format('''CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END
@@ -98,7 +98,7 @@ SELECT {_BN.format('o_custkey')} AS bn, 'First' || CAST(CAST(floor(o_orderkey /
 FROM {{orders}} o""",
     "wrongdoing": """
 SELECT CAST(p_partkey AS BIGINT) AS id, p_brand AS owner_org_title, chr(123) || '"case_description_en":"' || p_type || '"' || chr(125) AS raw_fields
-FROM {part} p WHERE p_partkey % 40 = 0""",
+FROM {part} p WHERE p_type = 'PROMO'""",
     "notices": f"""
 SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'conviction' ELSE event_type END AS severity,
        CASE event_id % 3 WHEN 0 THEN 'CUSTOMER  000000' || lpad(CAST(event_id % 1500 AS VARCHAR(9)), 3, '0') || ' Society Inc.' WHEN 1 THEN 'Registered ' || {_BN.format('event_id % 1400')} ELSE 'Unknown party' END AS entity_name_raw,
