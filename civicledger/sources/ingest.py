@@ -9,6 +9,8 @@ Layout: `table`/batch=<number>/failed=<true or false>/; a repaired batch has the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +34,22 @@ def ingest(spark: SparkSession, url: str, table: str, checkpoint: str, schema: s
     """
     spark.dataSource.register(PagedSource)
     stream = spark.readStream.format("paged").options(**_options(url, schema, options)).load()
-    query = stream.writeStream.foreachBatch(lambda rows, number: _write(rows, table, number)).option("checkpointLocation", checkpoint).start()
+    _run(stream, lambda rows, number: _write(rows, table, number), checkpoint)
+    return len(_numbers(spark, table))
+
+
+def _run(stream: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
     try:
         query.processAllAvailable()  # a batch that was cut short, and then what has come since
     finally:
         query.stop()
-    return len(_numbers(spark, table))
+
+
+def put_stream(stream: DataFrame, table: str, checkpoint: str) -> None:
+    """Put what a stream has had since the last time into `table`, each batch as the folder of its number: once, also
+    if the batch had been written when the last run died."""
+    _run(stream, lambda rows, number: rows.write.mode("overwrite").parquet(f"{table}/batch={number}"), checkpoint)
 
 
 def _numbers(spark: SparkSession, table: str) -> list[int]:

@@ -90,3 +90,21 @@ def test_start_and_empty(spark, where):
     publish(where[0], 6)
     load(spark, (where[0], where[1] + "2", where[2] + "2"), start=3)
     assert ids(spark, (where[0], where[1] + "2")) == [3, 4, 5]
+
+
+def test_stream_is_put_in_once(spark, tmp_path):
+    """New files are a new batch; a batch that was written but not committed is written again under its number."""
+    source, table, checkpoint = tmp_path / "s", str(tmp_path / "t"), tmp_path / "c"
+    spark.range(5).coalesce(1).write.parquet(str(source))
+    stream = lambda: spark.readStream.schema("id long").parquet(str(source))
+    rows = lambda: sorted(r["id"] for r in spark.read.parquet(table).collect())
+    for _ in range(2):
+        ing.put_stream(stream(), table, str(checkpoint))
+        assert rows() == list(range(5))
+    spark.range(5, 9).coalesce(1).write.mode("append").parquet(str(source))
+    ing.put_stream(stream(), table, str(checkpoint))
+    assert rows() == list(range(9))
+    for name in ("1", ".1.crc"):
+        (checkpoint / "commits" / name).unlink(missing_ok=True)  # as if the run had died before the commit
+    ing.put_stream(stream(), table, str(checkpoint))
+    assert rows() == list(range(9))
