@@ -161,6 +161,15 @@ def purpose_cluster(t):
     return out.where("n_departments >= 2 AND n_programs >= 2").drop("_p")
 
 
+@view("purpose_programs", "recip_key:s purpose_cluster:s programs_json:s", "grants", f"""
+  SELECT recip_key, theme AS purpose_cluster, CAST(to_json(list_sort(list(DISTINCT {{'dept': owner_org_title, 'program': prog_name_en}}))) AS VARCHAR) AS programs_json
+  FROM (SELECT *, coalesce(nullif(substr(recipient_business_number, 1, 9), ''), 'NM:' || upper(trim(recipient_legal_name))) AS recip_key, CASE {_THEME_SQL} END AS theme FROM (SELECT *, lower(prog_name_en) || ' ' || lower(coalesce(description_en, '')) AS words FROM grants))
+  WHERE theme IS NOT NULL AND agreement_value > 0 GROUP BY recip_key, theme HAVING count(DISTINCT owner_org_title) >= 2 AND count(DISTINCT prog_name_en) >= 2""")
+def purpose_programs(t):
+    """The departments and programs of each overlap, as JSON objects."""
+    return purpose_cluster(t).select("recip_key", "purpose_cluster", "programs_json")
+
+
 @view("cluster_by_theme", "purpose_cluster:s recipients:l grants:l total_value:d", "grants", f"SELECT purpose_cluster, count(*) AS recipients, sum(grant_count) AS grants, sum(total_value) AS total_value FROM ({VIEWS['purpose_cluster'].body}) GROUP BY 1")
 def cluster_by_theme(t):
     return purpose_cluster(t).groupBy("purpose_cluster").agg(F.count("*").alias("recipients"), F.sum("grant_count").alias("grants"), F.sum("total_value").alias("total_value"))

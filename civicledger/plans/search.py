@@ -130,3 +130,31 @@ def page_with_total(rows: DataFrame, order: list, limit: int, offset: int = 0, f
     for i, (c, v) in enumerate(stated):
         out[c][v] = got[f"f{i}"]
     return {"records": records, "total": got["total"], "limit": limit, "offset": offset, "facets": out}
+
+
+def datastore_search(rows: DataFrame, key: str, q: str | None = None, filters: dict | None = None, fields: list[str] | None = None, sort: str | None = None, limit: int = 10, offset: int = 0) -> dict:
+    """{fields, records, total, limit, offset} of a resource with a unique `key`.
+
+    filters: column -> value or values; q: words and "phrases" that any column of text holds; sort: columns of the
+    resource, each with asc or desc, nulls last; without it by rank where there is a q, and ties by key.
+    """
+    kinds = dict(rows.dtypes)
+    for c in [*(filters or {}), *(fields or [])]:
+        if c not in kinds:
+            raise ValueError(f"there is no field {c}")
+    order = []
+    for part in filter(None, (x.split() for x in (sort or "").split(","))):
+        if part[0] not in kinds or part[1:] not in ([], ["asc"], ["desc"]):
+            raise ValueError(f"can't sort by {' '.join(part)}")
+        order.append(F.col(part[0]).desc_nulls_last() if part[1:] == ["desc"] else F.col(part[0]).asc_nulls_last())
+    for c, value in (filters or {}).items():
+        rows = rows.where(F.col(c).isin(value) if isinstance(value, list) else F.col(c) == F.lit(value))
+    if q:
+        texts = [c for c, kind in kinds.items() if kind == "string" and c != key]
+        found = fulltext.search(fulltext.index(rows, key, *texts), fulltext.request(q))
+        rows = rows.join(found.select(F.col("key").alias(key), F.col("score").alias("_rank")), key)
+        order = order or [F.round("_rank", 9).desc()]
+    shown = fields or [c for c in kinds]
+    got = page_with_total(rows, [*order, F.col(key)], limit, offset)
+    records = [{c: r[c] for c in shown} for r in got["records"]]
+    return {"fields": [{"id": c, "type": kinds[c]} for c in shown], "records": records, "total": got["total"], "limit": limit, "offset": offset}

@@ -18,7 +18,7 @@ NUMBER, DATE, BOOLEAN = r"^\s*[-+]?[$]?\d[\d,]*(\.\d+)?%?\s*$", r"^\s*\d{4}-\d{1
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """(column, type, role, rows, non_null, distinct, least, greatest): one scan and one aggregation for all columns.
+    """(column, type, role, rows, non_null, distinct, least, greatest, mean of numbers): one scan and one aggregation for all columns.
 
     Texts count as a type if nine in ten values read as it (booleans: all, of two values at most). Values are
     unpivoted and pre-aggregated by (column, value), so distinct counts are exact and large columns spread.
@@ -30,6 +30,7 @@ def profile(df: DataFrame) -> DataFrame:
     out = values.groupBy("column").agg(
         F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"), F.count("value").alias("distinct"),
         *[c.alias(f"_{k}") for k, c in is_.items()], F.min(number).alias("_lo"), F.max(number).alias("_hi"), F.min("value").alias("_first"), F.max("value").alias("_last"),
+        (F.sum(number * F.col("n")) / F.sum(F.when(number.isNotNull(), F.col("n")))).alias("_mean"),
     )
     share = lambda k: F.col(f"_{k}") >= 0.9 * F.col("non_null")
     kind = F.when(F.col("non_null") == 0, "string").when((F.col("_boolean") == F.col("non_null")) & (F.col("distinct") <= 2), "boolean").when(share("number"), "number").when(share("date"), "date").otherwise("string")
@@ -39,7 +40,7 @@ def profile(df: DataFrame) -> DataFrame:
     unique = (F.col("type") != "number") & (F.col("non_null") >= 20) & (F.col("distinct") > 0.9 * F.col("non_null"))
     role = F.when(has(ROLES["geography"]), "geography").when((F.col("type") == "date") | has(ROLES["time"]), "time").when(has(ROLES["identifier"]) | unique, "identifier").when(F.col("type") == "number", "measure").otherwise("category")
     lo, hi = (F.when(F.col("type") == "number", F.col(a).cast("string")).otherwise(F.col(b)) for a, b in (("_lo", "_first"), ("_hi", "_last")))
-    return out.select("column", "type", role.alias("role"), "rows", "non_null", "distinct", lo.alias("least"), hi.alias("greatest"))
+    return out.select("column", "type", role.alias("role"), "rows", "non_null", "distinct", lo.alias("least"), hi.alias("greatest"), F.when(F.col("type") == "number", F.col("_mean")).alias("mean"))
 
 
 def suggest_charts(profiled: list[dict]) -> list[tuple[str, str, str]]:

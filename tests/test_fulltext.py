@@ -69,3 +69,16 @@ def test_page_with_total(spark):
     assert got["records"] == want[3:8] and got["total"] == len(want)
     assert got["facets"] == {"c_mktsegment": {"BUILDING": sum(r["c_mktsegment"] == "BUILDING" for r in want), "none": 0}}
     assert search.page_with_total(c.where("false"), ["c_custkey"], 5)["total"] == 0
+
+
+def test_datastore_search(spark, rows):
+    got = search.datastore_search(rows, "id", q="housing", fields=["id", "title"], limit=2)
+    want = plain("housing")
+    assert got["total"] == len(want) and [r["id"] for r in got["records"]] == sorted(want, key=lambda k: (-want[k], k))[:2]
+    assert got["fields"] == [{"id": "id", "type": "bigint"}, {"id": "title", "type": "string"}] and set(got["records"][0]) == {"id", "title"}
+    by = search.datastore_search(rows, "id", filters={"place": ["Toronto", "x"]}, sort="place desc, title", limit=10, offset=1)
+    assert [r["id"] for r in by["records"]] == [1, 8] and by["total"] == 3
+    assert search.datastore_search(rows, "id", filters={"id": 4})["records"] == [{"id": 4, "title": None, "place": None, "term": 0}]
+    for bad in ({"sort": "nothing"}, {"sort": "id; drop"}, {"filters": {"z": 1}}, {"fields": ["z"]}):
+        with pytest.raises(ValueError):
+            search.datastore_search(rows, "id", **bad)
