@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, block_ids, look_up, pack, unpack
-from .common import crc_mod, cut, drop, release, table, text_batches
+from .common import crc_mod, cut, drop, table, text_batches, tidy
 
 CLASSES = 64
 STEPS = 5  # of the exchange, at most
@@ -342,7 +342,6 @@ def learn(coded: DataFrame, words: DataFrame, k: int = CLASSES, steps: int = STE
     for r in words.groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # UNITS rows at most
         sizes[r["unit"]], types[r["unit"]] = r["n"], r["types"]
     seen = cut(neighbours(bigrams(coded)), "lm-neighbours")
-    release(coded.sparkSession)
     classes, pairs, heights = exchange(seen, sizes, k, steps)
     drop(seen)
     discount = min(0.9, max(0.1, s["one"] / (s["one"] + 2 * s["two"]))) if s["one"] else 0.1
@@ -417,10 +416,8 @@ def prepared(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame]:
     counts = cut(pairs.groupBy(F.col("words").alias("key")).agg(F.sum("train").alias("n")), "lm-counts")
     words = cut(with_units(counts), "lm-words")
     value = F.when(F.col("unit").between(1, OWN), -F.col("unit").cast("long")).otherwise(F.coalesce("n", F.lit(0)))
-    release(docs.sparkSession)
     coded = cut(look_up(blocks.drop("train"), "words", words, value), "lm-coded")
     drop(blocks, counts)
-    release(docs.sparkSession)
     return coded, words
 
 
@@ -433,8 +430,10 @@ def score(docs: DataFrame, folds: int = 5, out: int = 1, classes: int = CLASSES,
     unknown and every score 0, the base's included. Only doc_id and text are read. A document longer than a block is
     a block of its own, in the memory of one task.
     """
-    coded, words = prepared(docs, crc_mod(F.col("doc_id"), folds) == out)
-    return told(coded, learn(coded, words, classes, steps))
+    with tidy(docs.sparkSession):
+        coded, words = prepared(docs, crc_mod(F.col("doc_id"), folds) == out)
+        model = learn(coded, words, classes, steps)
+    return told(coded, model)
 
 
 def op11_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

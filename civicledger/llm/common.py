@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +63,19 @@ def drop(*frames: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; else they stay until the
-    driver's JVM happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a job's shuffle files when the job ends, and not once the driver's JVM collects garbage.
+
+    For chains of steps that each write a table: no DataFrame with a shuffle of its own may be run twice inside.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, whatever its rows are like.
