@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +31,14 @@ def match_entities(notices: DataFrame, entities: DataFrame, shortest: int = 4) -
     """(notice_id, source, entity_name, bn, method, confidence): by number first, then by name.
 
     notices: notice_id, name_norm, bn_guess; entities: source, entity_name, name_norm, bn. A name match that the
-    number already made is left out. Names with letters that normalising left as they are (beyond ASCII) are compared
-    by a collation that knows no case and no accents; the others, nearly all, as they are.
+    number already made is left out. Names are compared by a collation that knows no case and no
+    accents, so that letters which normalising left as they are (beyond its list) meet their plain forms.
     """
     by_bn = notices.join(entities.where("bn is not null"), notices["bn_guess"] == entities["bn"]).select("notice_id", "source", "entity_name", "bn").distinct()
     by_bn = by_bn.withColumns({"method": F.lit("exact_bn"), "confidence": F.lit(1.0)})
-    asked = notices.where(F.length("name_norm") >= shortest).select("notice_id", "name_norm")
-    odd = F.col("name_norm").rlike(r"[^\x00-\x7F]")
     letters = lambda df: df.withColumn("letters", same_letters(F.col("name_norm"))).drop("name_norm")
-    found = [asked.join(entities, "name_norm"), letters(asked.where(odd)).join(letters(entities), "letters"), letters(asked.where(~odd)).join(letters(entities.where(odd)), "letters")]
-    named = reduce(DataFrame.unionByName, [x.select("notice_id", "source", "entity_name", "bn") for x in found]).distinct()
+    asked = notices.where(F.length("name_norm") >= shortest).select("notice_id", "name_norm")
+    named = letters(asked).join(letters(entities), "letters").select("notice_id", "source", "entity_name", "bn").distinct()
     named = named.join(by_bn.select("notice_id", "source", "entity_name"), ["notice_id", "source", "entity_name"], "left_anti")
     return by_bn.unionByName(named.withColumns({"method": F.lit("exact_name"), "confidence": F.lit(0.95)}))
 
