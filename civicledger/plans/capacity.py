@@ -18,7 +18,9 @@ PUBLIC = [
     "%gouvernement%", "%government of%", "province of %", "%ministry of%", "%ministère%", "%department of%", "%sa majesté%", "%his majesty%", "%her majesty%", "%university%", "%université%", "%college%", "%collège%",
     "%municipality of%", "%city of %", "%ville de %", "%health authority%", "%régie de la santé%", "%regional health%", "%crown corporation%",
 ]
+# Fixed values.
 ZOMBIE_ONLY = ["%provincial government%", "%agence de la santé%"]
+# Fixed values.
 GHOST_ONLY = ["%trust%", "%estate of%", "%succession de%", "%testamentary%", "%regional integrated health%", "%health centre of%", "%centre de santé%", "%library service board%", "%community services agency%"]
 
 

@@ -119,6 +119,7 @@ def vega_lite(kind: str, x: str, y: str, group: str | None, x_type: str, how: st
     return {"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "mark": {"line": "line", "bar": "bar", "scatter": "point"}[kind], "encoding": encoding}
 
 
+# Names that speak of a time, what reads as a number, how many rows tell, and kinds of charts.
 TEMPORAL = r"year|date|fiscal|quarter|month"
 PLAIN_NUMBER = r"^\s*-?\d+(\.\d+)?\s*$"
 #: Rows of a result by which its columns are judged.
@@ -167,7 +168,7 @@ def pick_chart(df: DataFrame, hint: dict | None = None) -> dict:
     return {"type": "scatter", "x": n[0], "y": n[1]} if len(n) >= 2 else {"type": "table"}
 
 
-#: Lines and bars of a chart with series at most, the last one being all others; single bars at most.
+# Lines and bars of a chart with series at most, the last one being all others; single bars at most.
 SERIES, STACKED, BARS = 8, 6, 25
 
 

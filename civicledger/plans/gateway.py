@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+# Words that no statement may hold, columns that are no funding, and what makes one pass for it.
 FORBIDDEN = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|copy|merge|execute|exec)\b", re.I)
 #: Columns that hold investment and other income; to sum or call them government funding is a known error.
 NOT_FUNDING = ("gov_funding_provincial", "gov_funding_other")
