@@ -24,7 +24,7 @@ from .common import table, text_batches, worker_cache
 LEAF = 8  # bytes that are merged directly
 SPAN = 1 << 10  # characters of text that are split into pre-tokens directly
 IDS = 1 << 8  # ids that are decoded directly
-CACHE = 400_000  # distinct chunks that a worker remembers
+CACHE = 600_000  # distinct chunks that a worker remembers
 SHARED = 100_000  # leaves, and meetings of two tokens, that it remembers: both come again in many pre-tokens
 
 #: White space-delimited chunks: every pre-token lies within one, and their own boundaries are pre-token boundaries.
@@ -54,21 +54,21 @@ class Codec:
 
     def leaf(self, raw: bytes) -> list[int]:
         """The merges in order of rank, leftmost first, by a heap over a linked list."""
-        ranks = self.ranks
+        ranks, n, none = self.ranks, len(raw), 1 << 60
         if (whole := ranks.get(raw)) is not None:
             return [whole]
-        parts: list[bytes] = [raw[i : i + 1] for i in range(len(raw))]
-        if len(parts) <= 24:  # short: scan for the least rank each time
-            found = [ranks.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
-            while found and (least := min(found)) < 1 << 60:
+        if n <= 24:  # short: scan for the least rank each time; parts are told by where they begin
+            get, at = ranks.get, list(range(n + 1))
+            found = [get(raw[i : i + 2], none) for i in range(n - 1)]
+            while found and (least := min(found)) < none:
                 i = found.index(least)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                del found[i]
+                del at[i + 1], found[i]
                 if i < len(found):
-                    found[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
+                    found[i] = get(raw[at[i] : at[i + 2]], none)
                 if i:
-                    found[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
-            return [ranks[p] for p in parts]
+                    found[i - 1] = get(raw[at[i - 1] : at[i + 1]], none)
+            return [ranks[raw[x:y]] for x, y in zip(at, at[1:], strict=False)]
+        parts: list[bytes] = [raw[i : i + 1] for i in range(n)]
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
         heapq.heapify(heap)
@@ -90,20 +90,22 @@ class Codec:
         """The encoding of the concatenated bytes of two encodings."""
         if not a or not b:
             return a or b
+        seam = a[-1], b[0]
+        window = self.seams.get(seam)
+        if window is None:  # the same two tokens meet again and again
+            if len(self.seams) > SHARED:
+                self.seams.clear()
+            window = self.leaf(self.bytes_of[a[-1]] + self.bytes_of[b[0]])
+            window = self.seams[seam] = () if window == [*seam] else window
+        if not window:  # they stay as they are
+            return a + b
         i = j = 1
         while True:
-            if i == j == 1:  # the same two tokens meet again and again
-                window = self.seams.get((a[-1], b[0]))
-                if window is None:
-                    if len(self.seams) > SHARED:
-                        self.seams.clear()
-                    window = self.seams[a[-1], b[0]] = self.leaf(self.bytes_of[a[-1]] + self.bytes_of[b[0]])
-            else:
-                window = self.leaf(b"".join([self.bytes_of[t] for t in a[-i:] + b[:j]]))
             left, right = i == len(a) or window[0] == a[-i], j == len(b) or window[-1] == b[j - 1]
             if left and right:
                 return a[:-i] + window + b[j:]
             i, j = i if left else min(len(a), 2 * i), j if right else min(len(b), 2 * j)
+            window = self.leaf(b"".join([self.bytes_of[t] for t in a[-i:] + b[:j]]))
 
     def piece(self, raw: bytes) -> list[int]:
         """One pre-token: halves recursively, joined up the tree."""
@@ -121,11 +123,11 @@ class Codec:
         """The ids of a chunk's pre-tokens, each after a comma. A chunk that is one pre-token is left to encode() to keep."""
         parts, out = self.pattern.findall(text), []
         for p in parts:
-            ids = self.pieces.get(p)
+            ids = self.pieces.get(p) or self.chunks.get(p)  # a pre-token may have been a chunk of its own
             if ids is None:
                 ids = "".join([f",{i}" for i in self.piece(p.encode())])
                 if len(parts) > 1 and len(p) <= 64:
-                    if len(self.pieces) > CACHE // 4:
+                    if len(self.pieces) > CACHE // 3:
                         self.pieces.clear()
                     self.pieces[p] = ids
             out.append(ids)

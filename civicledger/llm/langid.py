@@ -153,7 +153,8 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 
     The fold is crc32 of the id's text modulo `folds`. Null languages teach nothing. Rows are independent once
     the model is fitted, so repeated rows get equal answers; extra columns are never read; an empty table gives
-    an empty result.
+    an empty result. A null id has the fold of the empty text; languages that come equally near go by code point, the
+    first one. Texts are summed whole, a slice of rows at a time, so the longest text bounds a task's memory.
     """
     out = docs.select("doc_id", "text", "lang").withColumn("held_out", crc_mod(F.col("doc_id"), folds) == held)
     counts = fit_counts(out.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())).toPandas()

@@ -78,7 +78,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words:
     same document further up. The first copy of every run stays. Lines are what newlines separate, compared byte
     for byte by 64-bit hash. Texts with neither kind of run keep all lines; a null text
     stays null with 0 lines, an empty one has one line. Rows that repeat a doc_id are one document, and stay
-    alike; null ids come first. Nothing is done to an empty table.
+    alike; null ids come first. Nothing is done to an empty table. The lines of a text are arrays of its row: a text
+    of very many lines takes about a hundred bytes a line in one task.
     """
     later = _later_windows(docs.select("doc_id", "text"), gram, window, words).withColumnRenamed("doc_id", "_later_id")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name can clash

@@ -216,7 +216,9 @@ def remove_repeats(docs: DataFrame, least: int = 200, texts: bool = False) -> Da
     else, in the same document or another; strings are those of the input, so both copies go. Spans are the
     maximal runs of removed bytes. Null and empty texts, and shorter ones, lose nothing. Repeated rows are
     texts of their own and so copies of each other, equal ids notwithstanding; null ids pass through; extra
-    columns are never read; an empty table gives an empty result. Equality is that of 64-bit hashes.
+    columns are never read; an empty table gives an empty result. Equality is that of 64-bit hashes. A document
+    is one block of its task, with some dozens of bytes for each of its bytes: a text of very many bytes needs an
+    executor that holds that.
     """
     if least <= MODULUS:
         raise ValueError(f"the strings must be longer than {MODULUS} bytes")

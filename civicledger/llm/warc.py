@@ -134,7 +134,8 @@ def stored_start(f, member: tuple[int, int, int]) -> int:
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, _revisit, _refers): which rows become revisits, and of which page.
 
-    Only ids and digests meet by payload; the html is then dealt by page.
+    Only ids and digests meet by payload; the html is then dealt by page. Of equal payloads the largest page_id is
+    the response, whatever the order of rows; a page's html is one value of its row, however long.
     """
     sha = F.sha1(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary"))
     small = pages.select("page_id", sha.alias("d"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("n")).where(F.col("n") >= least_bytes)
