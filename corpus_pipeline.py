@@ -15,7 +15,11 @@ from civicledger.llm.common import cut, table
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counterfactual-regularised classifier doesn't reject."""
+    """Documents that the counterfactual-regularised classifier doesn't reject.
+
+    Rows are judged one by one: null texts as empty ones, repeated rows and null ids alike; without labels of both
+    kinds nothing goes. An empty table stays empty.
+    """
     return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -38,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and ids of every row of the mix."""
+    """doc_id, n_tokens, digests and ids of every row of the mix: repeated rows each, null texts as empty ones."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
