@@ -2,10 +2,12 @@
 
 A vector is coded as a sum of one codeword from each of M full-dimensional codebooks. Codebooks are trained on
 a bounded sample (residual k-means, then each codebook fitted to what the others leave of beam-searched codes); every vector
-is coded by beam search, and its norm over its code's norm is stored as a scale. Queries, in blocks, score
-blocks of codes by table lookups; the best of every block are merged by Spark, reranked by exact double
-precision inner products, and expanded from distinct vectors to rows. Codes stay in the tasks' blocks: queries are
-broadcast to them, a bounded number at a time.
+is coded by beam search, and stored with its code's scale and the length of what the scaled code leaves of it. Queries, in
+blocks, score blocks of codes by table lookups. The best codes are checked by double precision inner products, and
+then every other whose score could still reach the k-th best: by Cauchy and Schwarz a code's score is off by the lengths
+of query and remainder at most, so nothing is missed, whatever the rows are like. Spark merges the best of every block and
+expands them from distinct vectors to rows. Codes and vectors stay in the tasks' blocks: queries are broadcast to
+them, a bounded number at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from .common import cut, drop, table
 BOOKS, WORDS, BEAM = 16, 256, 8
 TRAIN = 16_384
 CODE_BLOCK, QUERY_BLOCK = 32_768, 128
+BLOCK_BYTES = 16 << 20  # vectors of a block, as doubles
 PASS_BYTES = 8 << 20  # vectors of queries that are broadcast at a time
+PAIRS = 1 << 19  # pairs whose products are summed in order at a time
 
 
 def beam_encode(x, books, beam: int = BEAM):
@@ -84,7 +88,7 @@ def _blocks(n: int, size: int) -> int:
     return max(1, math.ceil(n / size))
 
 
-def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int = 320, exact: bool = False) -> DataFrame:
+def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int = 64, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query row, ties to smaller ids.
 
     Queries are rows whose vec_id is divisible by `queries_every`; candidates are all rows but the query's own.
@@ -93,33 +97,36 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
     query can return of them. A vec_id with several vectors is as many rows: each is a candidate, for the others
     of its id too, and each is a query with a list of its own; equal rows are one. Vectors of another length
     than the commonest (the longest of those) take no part. Empty tables give an empty result. Extra columns are
-    never read. Scores are double precision on the vectors as they are; only codes and tables are float.
+    never read. Scores are double precision on the vectors as they are, summed in order; only codes and tables are float.
 
-    `rerank` codes a query are looked at exactly, whatever the table's size: an approximation whose recall is
-    measured. With `exact` no codes are made: blocks of queries meet blocks of all vectors, and recall is 1.
+    The `rerank` best codes a query and block are looked at first, then all whose bound admits a product as large as
+    the best found: how good the codes are decides on the work, not on the result. With `exact` no codes are made:
+    blocks of queries meet blocks of all vectors.
     """
     import numpy as np
 
     spark = vectors.sparkSession
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64  # as vectors are packed
     e = F.col("embedding")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & sound & F.exists(e, lambda x: x != 0))
     raw = cut(rows.distinct(), "ann-rows")
     usual = raw.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("top")).orderBy(F.desc("c"), F.desc("d")).first()
-    # floats hold no very large or small numbers; the order of products does not change with the unit
-    unit = usual["top"] if usual and not 1e-12 < usual["top"] < 1e12 else 1.0
+    # floats hold no very large or small numbers; a power of two changes neither the order of products nor ties
+    unit = 2.0 ** np.floor(np.log2(usual["top"])) if usual and not 1e-12 < usual["top"] < 1e12 else 1.0
     rows = raw.where(F.size("embedding") == usual["d"]) if usual else raw
-    distinct = cut(rows.groupBy("embedding").agg(F.min(F.xxhash64("embedding")).alias("rep")), "ann-distinct")
+    distinct = cut(rows.groupBy("embedding").agg(F.min(F.xxhash64("embedding")).alias("rep"), F.min("vec_id").cast("long").alias("least")), "ann-distinct")
     members = cut(rows.select("vec_id", F.xxhash64("embedding").alias("rep")), "ann-members")
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     n = distinct.count()
     if not n:
         return empty
+    d = usual["d"]
     first = Window.partitionBy("rep").orderBy("vec_id")
     smallest = members.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).select("rep", "vec_id")
     if exact:
-        rerank, books = k + 16, []  # a few more than asked for, as sums in another order may differ in the last bit
+        books = np.zeros((0, 1, d), np.float32)
     else:
         sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(TRAIN).toPandas()
         books = train_books(_matrix(sample["embedding"], unit))
@@ -131,87 +138,91 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
         for pdf in batches:
             if not len(pdf):
                 continue
-            if exact:
-                yield pdf.assign(code=[np.asarray(v, float).tobytes() for v in pdf["embedding"]], scale=np.float32(1))[["rep", "code", "scale"]]
-                continue
-            x = _matrix(pdf["embedding"], unit)
-            codes = beam_encode(x, books)
-            told = sum(books[m][codes[:, m]] for m in range(len(books)))
-            scale = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(told, axis=1), 1e-12)
-            yield pdf.assign(code=[c.tobytes() for c in codes], scale=scale.astype(np.float32))[["rep", "code", "scale"]]
-
-    coded = cut(distinct.mapInPandas(encode, "rep bigint, code binary, scale float"), "ann-codes")
-    n_code = _blocks(n, CODE_BLOCK)
+            whole = np.array(list(pdf["embedding"]), float).reshape(len(pdf), -1)
+            pdf = pdf.assign(vector=[v.astype(kind).tobytes() for v in whole], code=b"", scale=np.float32(0), left=np.float64(0))
+            if not exact:
+                x = whole / unit
+                codes = beam_encode(x.astype(np.float32), books)
+                told = sum(books[m][codes[:, m]].astype(float) for m in range(len(books)))
+                norm = (told**2).sum(1)
+                scale = np.where(norm > 0, (x * told).sum(1) / np.where(norm > 0, norm, 1), 0).astype(np.float32)
+                # what the scaled code leaves of the vector, and what sums in float may be off by for a query of length 1
+                off = (d + len(books) + 8) * 2.0**-23 * np.abs(scale) * sum(np.linalg.norm(books[m].astype(float), axis=1)[codes[:, m]] for m in range(len(books)))
+                left = np.linalg.norm(x - scale[:, None].astype(float) * told, axis=1) * (1 + 1e-9) + off
+                pdf = pdf.assign(code=[c.tobytes() for c in codes], scale=scale, left=left)
+            yield pdf[["rep", "least", "vector", "code", "scale", "left"]]
+
+    coded = distinct.mapInPandas(encode, "rep bigint, least bigint, vector binary, code binary, scale float, left double")
+    cores = spark.sparkContext.defaultParallelism
+    n_code = max(_blocks(n, min(CODE_BLOCK, max(256, BLOCK_BYTES // (8 * d)))), min(2 * cores, _blocks(n, 512)))
     asked = members.where(F.col("vec_id") % queries_every == 0)
-    q = cut(distinct.join(asked.select("rep").distinct(), "rep", "left_semi"), "ann-queries")
-    n_pass = _blocks(q.count(), max(1, PASS_BYTES // (8 * usual["d"])))
+    q = cut(distinct.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding"), "ann-queries")
+    n_pass = _blocks(q.count(), max(1, PASS_BYTES // (8 * d)))
 
     def pack_codes(pdf):
         import numpy as np
         import pandas as pd
 
-        return pd.DataFrame({"cblock": pdf["cblock"].iloc[:1], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "codes": [b"".join(pdf["code"])], "scales": [pdf["scale"].to_numpy(np.float32).tobytes()]})
+        numbers = {f"{c}s": [pdf[c].to_numpy(t).tobytes()] for c, t in (("rep", np.int64), ("least", np.int64), ("scale", np.float32), ("left", np.float64))}
+        return pd.DataFrame({"cblock": pdf["cblock"].iloc[:1].to_numpy(), "vectors": [b"".join(pdf["vector"])], "codes": [b"".join(pdf["code"])], **numbers})
 
-    blocks = coded.withColumn("cblock", F.pmod(F.xxhash64("rep"), F.lit(n_code)).cast("int")).groupBy("cblock").applyInPandas(pack_codes, "cblock int, reps binary, codes binary, scales binary")
-    # few blocks are copied until every core has one; with more blocks than cores nothing is
-    slices = _blocks(2 * spark.sparkContext.defaultParallelism, n_code)
+    blocks = coded.withColumn("cblock", F.pmod(F.xxhash64("rep"), F.lit(n_code)).cast("int")).groupBy("cblock").applyInPandas(pack_codes, "cblock int, vectors binary, codes binary, reps binary, leasts binary, scales binary, lefts binary")
     packed = cut(blocks, "ann-blocks")
-    tasks = 8 * spark.sparkContext.defaultParallelism  # a task has several blocks where there are many, and sends the best of all
-    blocks = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    tasks = 8 * cores  # a task has several blocks where there are many, and sends the best of all
 
-    def scan(asked, slices):
+    def scan(asked):
         def run(batches):
             import numpy as np
             import pandas as pd
 
             all_reps, all_vectors = asked.value
-            best_of: dict = {}  # of each block of queries, the best codes of the task's blocks so far
+            best_of: dict = {}  # of each block of queries, the best of the task's blocks so far: query, score, least, rep
             for pdf in batches:
                 for r in pdf.itertuples():
-                    reps, scales = np.frombuffer(r.reps, np.int64), np.frombuffer(r.scales, np.float32)
-                    codes = np.frombuffer(r.codes, float if exact else np.uint8).reshape(len(reps), -1)
-                    keep = min(rerank, len(reps))
-                    for start in range(r.slice * QUERY_BLOCK, len(all_reps), slices * QUERY_BLOCK):
-                        qreps, qs = all_reps[start : start + QUERY_BLOCK], all_vectors[start : start + QUERY_BLOCK]
+                    reps, leasts, left = np.frombuffer(r.reps, np.int64), np.frombuffer(r.leasts, np.int64), np.frombuffer(r.lefts)
+                    x = np.frombuffer(r.vectors, kind).reshape(len(reps), d).astype(float) / unit
+                    margin = 16 * d * 2.0**-52 * np.linalg.norm(x, axis=1).max()  # of sums in another order
+                    for start in range(0, len(all_reps), QUERY_BLOCK):
+                        qs = all_vectors[start : start + QUERY_BLOCK] / unit
+                        long = np.linalg.norm(qs, axis=1)
+                        none = np.zeros(0, np.int64)
+                        found = best_of.get(start, (none, np.zeros(0), none, none))
                         if exact:
-                            score = codes @ qs.T
-                        else:
-                            qs = (qs / unit).astype(np.float32)
-                            score = np.zeros((len(reps), len(qreps)), np.float32)
-                            for m, book in enumerate(books):
-                                score += (book @ qs.T)[codes[:, m]]
-                            score *= scales[:, None]
-                        best = np.argpartition(-score, keep - 1, axis=0)[:keep]
-                        got, who = np.take_along_axis(score, best, 0), reps[best]
-                        if start in best_of:
-                            got, who = np.concatenate([best_of[start][0], got]), np.concatenate([best_of[start][1], who])
-                            if len(got) > rerank:
-                                top = np.argpartition(-got, rerank - 1, axis=0)[:rerank]
-                                got, who = np.take_along_axis(got, top, 0), np.take_along_axis(who, top, 0)
-                        best_of[start] = got, who
-            for start, (got, who) in best_of.items():
-                qreps = all_reps[start : start + QUERY_BLOCK]
-                yield pd.DataFrame({"qrep": np.repeat(qreps, len(got)), "crep": who.T.ravel(), "approx": got.T.ravel()})
+                            best_of[start] = _better(found, np.ones((len(reps), len(qs)), bool), x, qs, leasts, reps, margin * long, k + 1)
+                            continue
+                        codes, score = np.frombuffer(r.codes, np.uint8).reshape(len(reps), -1), np.zeros((len(reps), len(qs)), np.float32)
+                        for m, book in enumerate(books):
+                            score += (book @ qs.T.astype(np.float32))[codes[:, m]]
+                        score *= np.frombuffer(r.scales, np.float32)[:, None]
+                        keep = min(rerank, len(reps))
+                        some = np.zeros(score.shape, bool)
+                        np.put_along_axis(some, np.argpartition(-score, keep - 1, axis=0)[:keep], True, axis=0)
+                        found = _better(found, some, x, qs, leasts, reps, margin * long, k + 1)
+                        rest = (score + left[:, None] * long >= _last(found, len(qs), k + 1) - margin * long) & ~some
+                        best_of[start] = _better(found, rest, x, qs, leasts, reps, margin * long, k + 1)
+            for start, (query, score, least, rep) in best_of.items():
+                yield pd.DataFrame({"qrep": all_reps[start + query], "crep": rep, "least": least, "score": score * unit * unit})
 
         return run
 
-    nearest, parts = Window.partitionBy("qrep").orderBy(F.desc("approx"), "crep"), []
+    nearest, parts = Window.partitionBy("qrep").orderBy(F.desc("score"), "least", "crep"), []
     for i in range(n_pass):  # queries come to the codes, PASS_BYTES of them at a time
-        part = q.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(n_pass)) == i).toPandas().sort_values("rep")
+        part = q.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(n_pass)) == i).toPandas()
         if not len(part):
             continue
-        asked_now = spark.sparkContext.broadcast((part["rep"].to_numpy(np.int64), np.array(list(part["embedding"]), float)))
-        hits = blocks.repartition(min(n_code * slices, tasks), "cblock", "slice").drop("cblock").mapInPandas(scan(asked_now, slices), "qrep bigint, crep bigint, approx double")
-        parts.append(cut(hits.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= rerank).select("qrep", "crep"), "ann-found"))
+        asked_reps, asked_vectors = part["rep"].to_numpy(np.int64), np.array(list(part["embedding"]), float)
+        # queries of a block are alike, so that the same codes come into question for them
+        like = (asked_vectors / unit @ books[0].T).argmax(1) if len(books) else np.zeros(len(part))
+        order = np.lexsort((asked_reps, like))
+        asked_now = spark.sparkContext.broadcast((asked_reps[order], asked_vectors[order]))
+        hits = packed.repartition(min(n_code, tasks), "cblock").mapInPandas(scan(asked_now), "qrep bigint, crep bigint, least bigint, score double")
+        parts.append(cut(hits.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k + 1).select("qrep", "crep", "score"), "ann-found"))
         asked_now.unpersist()
-    drop(raw, coded, q, packed)
+    drop(raw, distinct, q, packed)
     if not parts:
         return empty
     found = reduce(DataFrame.unionByName, parts)
-    one, two = distinct.select(F.col("rep").alias("qrep"), F.col("embedding").alias("_q")), distinct.select(F.col("rep").alias("crep"), F.col("embedding").alias("_c"))
-    dot = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    exact = found.join(two, "crep").join(one, "qrep").select("qrep", "crep", dot.alias("score"))
-    wide = exact.join(smallest.withColumnRenamed("rep", "crep"), "crep")
+    wide = found.join(smallest.withColumnRenamed("rep", "crep"), "crep")
     order = Window.partitionBy("qrep").orderBy(F.desc("score"), "vec_id", "crep")
     wide = wide.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
     lists = wide.groupBy("qrep").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id", "crep"))).alias("l"))  # k + 1 at most
@@ -221,6 +232,43 @@ def search(vectors: DataFrame, queries_every: int = 20, k: int = 20, rerank: int
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.m")).alias("score"))
 
 
+def _last(found, queries: int, k: int):
+    """The k-th best score of each query so far, -inf of those with fewer."""
+    import numpy as np
+
+    query, score, _, _ = found  # by query, the best first
+    out, ends = np.full(queries, -np.inf), np.cumsum(np.bincount(query, minlength=queries))
+    full = np.diff(ends, prepend=0) >= k
+    out[full] = score[ends[full] - 1]
+    return out
+
+
+def _better(found, mask, x, qs, leasts, reps, margin, k: int):
+    """The k best of each query (larger products, then smaller ids) among those found and the pairs of `mask` (rows of x
+    by queries). A matrix product tells which pairs come into question; their products are summed in order."""
+    import numpy as np
+
+    at = np.flatnonzero(mask.any(1))
+    if not len(at):
+        return found
+    near = x[at] @ qs.T
+    near[~mask[at]] = -np.inf
+    least = _last(found, len(qs), k)
+    if len(at) >= k:
+        least = np.maximum(least, np.partition(near, len(at) - k, axis=0)[len(at) - k])
+    row, query = np.nonzero((near >= least - margin) & mask[at])
+    score = np.zeros(len(row))
+    for start in range(0, len(row), PAIRS):
+        own, asked = at[row[start : start + PAIRS]], query[start : start + PAIRS]
+        for j in range(x.shape[1]):
+            score[start : start + PAIRS] += x[own, j] * qs[asked, j]
+    query, score, least, rep = (np.concatenate(two) for two in zip(found, (query, score, leasts[at[row]], reps[at[row]]), strict=True))
+    order = np.lexsort((rep, least, -score, query))
+    starts = np.cumsum(np.bincount(query, minlength=len(qs))) - np.bincount(query, minlength=len(qs))
+    order = order[np.arange(len(order)) - starts[query[order]] < k]
+    return query[order], score[order], least[order], rep[order]
+
+
 def _matrix(column, unit: float):
     import numpy as np
 

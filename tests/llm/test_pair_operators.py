@@ -433,6 +433,25 @@ def test_search_recall(spark):
     assert n == 20 * (ids % 20 == 0).sum() and hit / n >= 0.9
 
 
+@pytest.mark.parametrize("rows", ["spread", "integers"])
+def test_search_misses_nothing_whatever_the_rows(spark, monkeypatch, rows):
+    """Codes fitted to few rows that tell little about the others, and products that tie: all of brute force's rows."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 128)) if rows == "spread" else rng.integers(-1, 2, size=(6000, 12)).astype(float)
+    x = x[np.abs(x).sum(1) > 0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "TRAIN", 300)
+    got = collections.defaultdict(list)
+    for r in sorted(map(tuple, ann.search(df).collect())):
+        got[r[0]].append((r[2], r[3]))
+    for q in range(0, len(x), 20):
+        s = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            s += x[:, j] * x[q, j]
+        want = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
+        assert got[q] == [(i, s[i]) for i in want]
+
+
 def test_small_tables(spark):
     """Queries that SQL can't express, over the smallest tables: one row for each document."""
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
