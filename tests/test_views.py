@@ -48,3 +48,32 @@ def test_cycles_once(spark, name, nodes):
 def test_keys_are_unique(spark, name, key):
     df = VIEWS[name].query(spark, SMALL)
     assert df.count() == df.select(*key).distinct().count()
+
+
+@pytest.mark.parametrize("sent", [0, 4 << 20])
+def test_contracts_meet_their_tables_once(spark, monkeypatch, sent):
+    """Lineitem is read once and contracts are never shuffled by name; without names sent, once more by supplier."""
+    domain._INGESTED.clear()
+    monkeypatch.setattr(domain, "SENT_BYTES", sent)
+    df = VIEWS["contract_history"].query(spark, SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and len([x for x in plan.splitlines() if "Relation [" in x and "l_orderkey" in x]) == 1
+    assert not [x for x in plan.splitlines() if "Join" in x and "vendor_name" in x]
+    assert ("rightHint=(strategy=broadcast)" in plan) == bool(sent)
+    same_rows(spark, VIEWS["contract_history"].query, VIEWS["contract_history"].oracle())
+
+
+def test_vendors_of_odd_suppliers(spark, tmp_path):
+    """Repeated suppliers multiply contracts, as joins do; those without a name have contracts without a vendor."""
+    domain._INGESTED.clear()
+    folder = str(tmp_path / "sf")
+    s = spark.read.parquet(f"{SMALL}/supplier.parquet")
+    odd = s.selectExpr("s_suppkey", "CASE WHEN s_suppkey = 4 THEN NULL WHEN s_suppkey = 5 THEN ' ' ELSE s_name END AS s_name", "s_nationkey", "s_acctbal")
+    odd = odd.unionByName(odd.where("s_suppkey IN (6, 7)")).unionByName(s.where("s_suppkey = 7").selectExpr("s_suppkey", "'Other Co' AS s_name", "s_nationkey", "s_acctbal"))
+    for t in domain.CONTRACT_TABLES:
+        (odd if t == "supplier" else spark.read.parquet(f"{SMALL}/{t}.parquet")).coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+    got = domain.contracts_with_vendor(spark, folder)
+    want = domain.Domain(spark, folder).bound("contracts")
+    want = want.withColumn("normalized_vendor", domain.keys.normalize_vendor(want["vendor_name"])).select(*got.columns)
+    assert got.where("vendor_name IS NULL").count() and got.where("normalized_vendor = 'OTHER'").count()
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
