@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.sinks import shared_folder
+from ..sources.sinks import shared_folder, stored
 
 LISTS = 100
 PROBES = 8
@@ -22,6 +22,10 @@ PROBES = 8
 SAMPLE = 20_000
 #: Vectors of a stored chunk: 2 MB of 256 components.
 CHUNK = 1024
+#: Chunks of a list that one copy of a group of queries meets.
+SPAN = 16
+#: Bytes of an Arrow batch on its way to a Python worker: rows are packed, and 10,000 of them are no bound.
+BATCH_BYTES = 8 << 20
 
 
 def unit_rows(column):
@@ -70,7 +74,10 @@ class InvertedFile:
     kind: str
 
     def _routed(self, queries: DataFrame, probes: int, rest: bool, least: float) -> DataFrame:
-        """(list, part, ids, vectors): queries (id, embedding, found) in groups, a row for each chunk they are to meet."""
+        """(list, asked, rows): queries (id, embedding, found) in groups, a row for each list they are to meet.
+
+        A worker holds one group at a time; how many chunks a list has is not its business.
+        """
         centroids, parts, reach, kind = self.centroids, self.parts, self.reach, self.kind
 
         def run(batches):
@@ -88,18 +95,15 @@ class InvertedFile:
                     angle = np.arccos(np.clip(near, -1, 1)) - np.arccos(np.clip(reach, -1, 1))[None]
                     best = np.array([least if x is None else max(x, least) for x in batch.column("found").to_pylist()])[at]
                     first = ~first & (np.cos(np.maximum(angle, 0)) >= best[:, None] - 1e-9)
-                ids, out = batch.column("id").to_pylist(), [[], [], [], []]
+                ids, types = batch.column("id").to_pylist(), (pa.int32(), pa.list_(batch.schema.field("id").type), pa.binary())
                 for k in np.flatnonzero(first.any(0) & (parts > 0)):
                     own = np.flatnonzero(first[:, k])
                     for start in range(0, len(own), CHUNK):
                         group = own[start : start + CHUNK]
-                        for p in range(parts[k]):
-                            for column, x in zip(out, (k, p, [ids[i] for i in at[group]], rows[group].tobytes()), strict=True):
-                                column.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.list_(batch.schema.field("id").type), pa.binary()), strict=True)], ["list", "part", "asked", "rows"])
+                        row = (k, [ids[i] for i in at[group]], rows[group].tobytes())
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["list", "asked", "rows"])
 
-        return queries.mapInArrow(run, f"list int, part int, asked array<{kind}>, rows binary")
+        return queries.mapInArrow(run, f"list int, asked array<{kind}>, rows binary")
 
     def _met(self, groups: DataFrame, least: float) -> DataFrame:
         """(id, near, similarity): for each query and chunk that met, the nearest vector of the chunk."""
@@ -119,7 +123,10 @@ class InvertedFile:
                     asked, ids = batch.column("asked").slice(i, 1).flatten(), batch.column("ids").slice(i, 1).flatten()
                     yield pa.RecordBatch.from_arrays([asked.take(keep), ids.take(pa.array(at)).take(keep), pa.array(most).take(keep)], ["id", "near", "similarity"])
 
-        return groups.join(self.table, ["list", "part"]).drop("list", "part").mapInArrow(multiply, f"id {kind}, near {kind}, similarity double")
+        spans = F.element_at(F.array(*[F.lit(max(1, -(-int(n) // SPAN))) for n in self.parts]), F.col("list") + 1)
+        sent = groups.withColumn("span", F.explode(F.sequence(F.lit(0), spans - 1)))
+        met = sent.join(self.table.withColumn("span", F.floor(F.col("part") / SPAN).cast("int")), ["list", "span"])
+        return met.select("asked", "rows", "ids", "vectors").mapInArrow(multiply, f"id {kind}, near {kind}, similarity double")
 
     def nearest(self, queries: DataFrame, probes: int = PROBES, least: float = -1.0, exact: bool = False) -> DataFrame:
         """(id, near, similarity) of queries (id, embedding): the most similar stored vector at `least` or above.
@@ -128,15 +135,13 @@ class InvertedFile:
         as the best one found. Similarities count to 12 places, ties go to the smaller id. Rows without a usable
         vector have no answer, and neither have queries that nothing comes up to.
         """
+        queries.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         asked = queries.select("id", "embedding")
         top = lambda df: df.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "near")).alias("m")).select("id", "m.near", (-F.col("m.s")).alias("similarity"))
         found = top(self._met(self._routed(asked.withColumn("found", F.lit(None).cast("double")), probes, False, least), least))
         if not exact or probes >= len(self.parts):
             return found
-        spark = queries.sparkSession
-        path = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex[:12]}"
-        found.write.parquet(path)
-        found = spark.read.schema(found.schema).parquet(path)
+        found = stored(found, "nearest")
         again = asked.join(found.select("id", F.col("similarity").alias("found")), "id", "left").select("id", "embedding", "found")
         return top(found.unionByName(self._met(self._routed(again, probes, True, least), least)))
 
@@ -151,6 +156,7 @@ def build(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, path: st
     import pyarrow as pa
 
     spark, kind = vectors.sparkSession, dict(vectors.dtypes)["id"]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
     some = rows.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
     parts = [unit_rows(pa.array(c)) for c in some.column(0).chunks]

@@ -7,6 +7,7 @@ import hashlib
 import shutil
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: what uses it several times has it made once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(spark: SparkSession, df: DataFrame, path: str, force: bool = False) -> DataFrame:
     """Write a view once and read it back; an existing one is kept unless `force`."""
     df.write.mode("overwrite" if force else "ignore").parquet(path)

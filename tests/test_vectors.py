@@ -76,3 +76,17 @@ def test_no_pair_of_names_is_a_row(spark):
     entities = spark.createDataFrame([("grant", f"Maple Leaf Housing {i}", f"MAPLE LEAF HOUSING {i}", None) for i in range(50)], "source string, entity_name string, name_norm string, bn string")
     quick = matching.match_by_vector(notices, entities, exact=False)
     assert {r["notice_id"] for r in quick.collect()} == set(range(50))
+
+
+def test_a_worker_routes_groups_one_by_one(spark, monkeypatch):
+    """Each group leaves the worker as a row of its own, once for a list and not once for each of its chunks."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "CHUNK", 8)
+    monkeypatch.setattr(vectors, "SPAN", 2)
+    index = vectors.build(df, lists=4)
+    assert index.parts.sum() > 40
+    groups = index._routed(df.withColumn("found", F.lit(None).cast("double")), 4, False, -1.0)
+    assert groups.count() <= 4 * (600 // 8 + 8) and groups.columns == ["list", "asked", "rows"]
+    got = {r["id"]: (r["near"], r["similarity"]) for r in index.nearest(df, probes=1, exact=True).collect()}
+    assert len(got) == 600 and all(i == near and s == 1.0 for i, (near, s) in got.items())
