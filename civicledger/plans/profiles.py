@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import bn_prefix
@@ -286,8 +286,8 @@ _drivers("concentration_drivers", "concentration_change", "The ten largest rises
 def latest_bucket_changes(t, before: int = 2022):
     """Changes of the last whole year (before `before`, the current one) by department and category."""
     y = contract_yoy_decomposition(t).where("total_prev IS NOT NULL").where(F.col("fiscal_year") < before)
-    last = y.agg(F.max("fiscal_year").alias("fiscal_year"))  # a row
-    return y.join(F.broadcast(last), "fiscal_year").where("delta_total_pct IS NOT NULL")
+    y = y.withColumn("_last", F.max("fiscal_year").over(Window.partitionBy(F.lit(1))))  # a row for each year of the top pairs
+    return y.where("fiscal_year = _last AND delta_total_pct IS NOT NULL").drop("_last")
 
 
 _BUCKETS = "owner_org_title:s commodity_type:s fiscal_year:l delta_total_pct:d delta_count_pct:d delta_avg_pct:d delta_hhi:d"

@@ -77,3 +77,11 @@ def test_vendors_of_odd_suppliers(spark, tmp_path):
     want = want.withColumn("normalized_vendor", domain.keys.normalize_vendor(want["vendor_name"])).select(*got.columns)
     assert got.where("vendor_name IS NULL").count() and got.where("normalized_vendor = 'OTHER'").count()
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("name", ["contract_bucket_yearly", "contract_yoy_decomposition", "latest_bucket_changes"])
+def test_buckets_scan_contracts_once(spark, name):
+    """Top pairs, totals, shares and the last year are taken from one pass over the contracts."""
+    domain._INGESTED.clear()
+    plan = VIEWS[name].query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Relation [" in x and "l_orderkey" in x]) == 1
