@@ -35,3 +35,8 @@ def test_followon_makes_no_pairs(spark):
     assert "Join" not in plan_of(found)
 
 
+def test_amendments_take_one_pass(spark):
+    domain._INGESTED.clear()
+    assert passes(VIEWS["amendment_creep"].query(spark, SMALL)) == 1
+
+
