@@ -40,3 +40,11 @@ def test_amendments_take_one_pass(spark):
     assert passes(VIEWS["amendment_creep"].query(spark, SMALL)) == 1
 
 
+@pytest.mark.parametrize("name", ["competitive_to_sole_source", "headline_findings"])
+def test_history_holds_two_snapshots(spark, name):
+    """First and last days and procedures come from the least and greatest snapshot, which are held once each."""
+    domain._INGESTED.clear()
+    plan = plan_of(VIEWS[name].query(spark, SMALL))
+    assert "min_by(solicitation_procedure" not in plan and "min(contract_date" not in plan and passes(VIEWS[name].query(spark, SMALL)) == 1
+
+
