@@ -48,3 +48,13 @@ def test_history_holds_two_snapshots(spark, name):
     assert "min_by(solicitation_procedure" not in plan and "min(contract_date" not in plan and passes(VIEWS[name].query(spark, SMALL)) == 1
 
 
+def test_matched_names_without_pairs(spark):
+    """The names of match_entities(), once each, also of names that many notices and entities share."""
+    from pyspark.sql import functions as F
+
+    entities = spark.createDataFrame([("charity", "Same Name", f"{i:09}") for i in range(50)] + [("grant", "By Number", "123456789"), ("contract", "Neither", None), ("grant", "abc", None)], "source string, entity_name string, bn string").withColumn("name_norm", keys.normalize_entity(F.col("entity_name")))
+    said = [(i, "sáme name inc", None) for i in range(50)] + [(60, "other", "123456789"), (61, "abc", None), (62, None, None)]
+    notices = spark.createDataFrame(said, "notice_id int, n string, bn_guess string").select("notice_id", keys.normalize_entity(F.col("n")).alias("name_norm"), "bn_guess")
+    names = matching.matched_names(notices, entities)
+    assert sorted(r[0] for r in names.collect()) == sorted(r[0] for r in matching.match_entities(notices, entities).select("entity_name").distinct().collect()) == ["By Number", "Same Name"]
+    assert "Inner" not in plan_of(names) and plan_of(names).count("LeftSemi") == 2
