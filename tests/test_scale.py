@@ -48,6 +48,15 @@ def test_history_holds_two_snapshots(spark, name):
     assert "min_by(solicitation_procedure" not in plan and "min(contract_date" not in plan and passes(VIEWS[name].query(spark, SMALL)) == 1
 
 
+def test_screenings_share_their_passes(spark):
+    """Three entities take the four passes over the contracts that one takes; a row that two ask for is told for each."""
+    domain._INGESTED.clear()
+    assert passes(VIEWS["screen_entity"].query(spark, SMALL)) == passes(profiles.screen_entity(domain.Domain(spark, SMALL), "brand#1", None)) == 4
+    tables = {"wrongdoing": spark.createDataFrame([(i, f"Dept {i % 2}", "{}") for i in range(12)], "id long, owner_org_title string, raw_fields string")}
+    got = [r["entity"] for r in profiles.screen_entities(tables, [("dept", None), ("dept 1", None), ("none", None)]).collect()]
+    assert sorted(got) == ["dept"] * 5 + ["dept 1"] * 5
+
+
 def test_matched_names_without_pairs(spark):
     """The names of match_entities(), once each, also of names that many notices and entities share."""
     from pyspark.sql import functions as F
