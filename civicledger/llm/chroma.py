@@ -7,8 +7,9 @@ integers vote for time offsets; the histogram's top offset is checked by the sha
 whole overlap.
 
 Equal fingerprints are searched once. Every other recording votes with all earlier holders of its integers, and
-every pair of recordings and offset with enough votes is checked; what passes makes classes. Recordings that all
-share an integer are therefore all paired: pairs grow with the square of a key's holders, dealt out in parts.
+every pair of recordings and offset with enough votes is checked; what passes makes classes. How many pairs pass
+grows with the square of the table, as few tones make few integers, and so does the counting: it is done in blocks
+of bounded size, each two of which meet once, and only best matches and links that connect leave a block.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import io
 import wave
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop, table
@@ -113,8 +114,9 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select("rec_id", "audio").mapInPandas(run, "rec_id bigint, n_frames bigint, fp array<int>")
 
 
-#: Later holders of a key that one part of its pairs has, so that a common key isn't one task's work.
-SHARE = 64
+#: Integers of the recordings in one block, about; blocks at least, so that small tables spread too; places at which keys meet, or
+#: integers that are compared, at a time.
+SHARE, BLOCKS, AT_ONCE = 2_000_000, 8, 1_000_000
 
 
 def align(prints: DataFrame, votes: int = 3, most_error: float = 0.35, share: int = SHARE) -> DataFrame:
@@ -136,37 +138,151 @@ def align(prints: DataFrame, votes: int = 3, most_error: float = 0.35, share: in
     copies = cut(rows.groupBy(digest.alias("d")).agg(F.min("rec_id").alias("copy_of")), "chroma-copies")
     known = cut(rows.select("rec_id", "n_frames", digest.alias("d")).join(copies, "d").drop("d"), "chroma-known")
     reps = cut(rows.join(copies.select(F.col("copy_of").alias("rec_id")), "rec_id", "left_semi").where(F.size("fp") > 1), "chroma-reps")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("fp") - 1), lambda i: F.struct(F.shiftleft(F.element_at("fp", i).cast("long"), 32).bitwiseXOR(F.element_at("fp", i + 1).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), i.alias("at")))
-    # a held tone repeats a pair: its first place stands for it
-    marks = cut(reps.select("rec_id", F.explode(pairs).alias("m")).groupBy("rec_id", F.col("m.key").alias("key")).agg(F.min("m.at").alias("at")), "chroma-marks")
-    shared = marks.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / share).alias("parts"))
-    all_marks, marks = marks, cut(marks.join(shared, "key"), "chroma-shared")
-    later = marks.withColumn("part", F.pmod(F.xxhash64("rec_id"), "parts"))
-    earlier = marks.select("key", F.col("rec_id").alias("match_id"), F.col("at").alias("match_at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    hits = later.join(earlier, ["key", "part"]).where("match_id < rec_id")
-    hits = hits.groupBy("rec_id", "match_id", (F.col("at") - F.col("match_at")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
-    hits = cut(hits, "chroma-hits")
-    drop(rows, copies, all_marks, marks)
-    good = hits.join(reps.select("rec_id", F.col("fp").alias("_a")), "rec_id").join(reps.select(F.col("rec_id").alias("match_id"), F.col("fp").alias("_b")), "match_id")
-    good = good.withColumn("bit_error", bit_error(F.col("_a"), F.col("_b"), F.col("shift"))).where(F.col("bit_error") <= most_error)
-    good = cut(good.select("rec_id", "match_id", F.col("shift").cast("int").alias("frame_offset"), "votes", "bit_error"), "chroma-matches")
-    drop(hits, reps)
+    drop(rows, copies)
+    good = cut(matches(reps, votes, most_error, share), "chroma-matches")
+    drop(reps)
     order = F.struct((-F.col("votes")).alias("v"), "match_id", "frame_offset")
-    best = good.groupBy(F.col("rec_id").alias("copy_of")).agg(F.min_by(F.struct("match_id", "frame_offset", "votes", "bit_error"), order).alias("b")).select("copy_of", "b.*")
-    classes = components(good.select(F.col("rec_id").alias("a"), F.col("match_id").alias("b"))).withColumnRenamed("node", "copy_of")
+    best = good.where("NOT link").groupBy(F.col("rec_id").alias("copy_of")).agg(F.min_by(F.struct("match_id", "frame_offset", "votes", "bit_error"), order).alias("b")).select("copy_of", "b.*")
+    classes = components(good.where("link").select(F.col("rec_id").alias("a"), F.col("match_id").alias("b"))).withColumnRenamed("node", "copy_of")
     least = classes.groupBy("comp").agg(F.min("copy_of").alias("class_id"))
     classes = classes.join(least, "comp").drop("comp")
     out = known.join(best, "copy_of", "left").join(classes, "copy_of", "left").withColumn("class_id", F.coalesce("class_id", "copy_of"))
     return out.select("rec_id", "n_frames", "copy_of", "match_id", "frame_offset", "votes", "bit_error", "class_id")
 
 
-def bit_error(a: Column, b: Column, shift: Column) -> Column:
-    """Share of differing bits of two fingerprints where they overlap, b moved by `shift`."""
-    start_a, start_b = F.greatest(shift, F.lit(0)) + 1, F.greatest(-shift, F.lit(0)) + 1
-    n = F.least(F.size(a) - start_a + 1, F.size(b) - start_b + 1)
-    # bit_count widens to 64 bits, where a negative integer has 32 ones more
-    differ = F.zip_with(F.slice(a, start_a, n), F.slice(b, start_b, n), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    return F.aggregate(differ, F.lit(0).cast("long"), lambda s, x: s + x) / (n * 32)
+def matches(reps: DataFrame, votes: int, most_error: float, share: int = SHARE) -> DataFrame:
+    """(rec_id, match_id, frame_offset, votes, bit_error, link) of different fingerprints (rec_id, fp).
+
+    Recordings are dealt into blocks by their ids' hashes, and every two blocks meet in a group of their own. All pairs are
+    counted and checked there; what leaves it is each recording's best match within the group, and links (`link`) that
+    connect what all of the group's passing pairs connect: two rows for each recording at most.
+    """
+    n = reps.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("fp")), F.lit(0)).alias("size")).first()
+    blocks = min(max(BLOCKS, -(-n["size"] // share)), max(1, n["n"]))
+    own = reps.select("rec_id", "fp", F.pmod(F.xxhash64("rec_id"), F.lit(blocks)).alias("block"))
+    sent = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_with"))
+    sent = sent.withColumn("meeting", F.least("block", "_with") * blocks + F.greatest("block", "_with")).drop("_with")
+
+    def run(key, group):
+        import numpy as np
+        import pyarrow as pa
+
+        low, high = divmod(key[0].as_py(), blocks)
+        fp, block = group.column("fp").combine_chunks(), group.column("block").to_numpy()
+        ids, sizes = group.column("rec_id").to_numpy(), np.diff(fp.offsets.to_numpy())
+        best, links = block_matches(ids, sizes, fp.flatten().to_numpy(), block == low, block == high, votes, most_error)
+        x, y, shift, n, error = (np.concatenate(c) for c in zip(best, links, strict=True))
+        link = np.arange(len(x)) >= len(best[0])
+        return pa.table({"rec_id": ids[x], "match_id": ids[y], "frame_offset": shift.astype(np.int32), "votes": n, "bit_error": error, "link": link})
+
+    return sent.groupBy("meeting").applyInArrow(run, "rec_id bigint, match_id bigint, frame_offset int, votes bigint, bit_error double, link boolean")
+
+
+def marks(sizes, flat):
+    """(key, recording, place) by recording: the pairs of neighbouring integers. A held tone repeats a pair: its first place stands for it."""
+    import numpy as np
+
+    rec = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[rec]
+    inner = np.flatnonzero(at < sizes[rec] - 1)
+    key, rec, at = flat[inner].astype(np.int64) << 32 ^ flat[inner + 1].astype(np.int64) & 0xFFFFFFFF, rec[inner], at[inner]
+    order = np.lexsort((key, rec))  # stable, so places of a key stay in order
+    key, rec, at = key[order], rec[order], at[order]
+    first = np.append(True, (key[1:] != key[:-1]) | (rec[1:] != rec[:-1]))[: len(key)]
+    return key[first], rec[first], at[first]
+
+
+def block_matches(ids, sizes, flat, left, right, votes: int, most_error: float):
+    """Best matches and links of the pairs of a recording in `left` with one in `right` (masks: the same or disjoint ones), each as
+    arrays: recording and match as places in `ids`, offset, votes, share of differing bits.
+
+    Keys meet AT_ONCE at a time, or those of one recording: at most one for each mark on the other side.
+    """
+    import numpy as np
+
+    key, rec, at = marks(sizes, flat)
+    mine, theirs = np.flatnonzero(left[rec]), np.flatnonzero(right[rec])
+    a_key, a_rec, a_at = key[mine], rec[mine], at[mine]
+    theirs = theirs[np.argsort(key[theirs], kind="stable")]
+    b_key, b_rec, b_at = key[theirs], rec[theirs], at[theirs]
+    low = np.searchsorted(b_key, a_key, "left")
+    n = np.searchsorted(b_key, a_key, "right") - low
+    before = np.cumsum(np.bincount(a_rec, n, len(ids)).astype(np.int64))
+    lot = (before // AT_ONCE)[a_rec]
+    ends = np.flatnonzero(np.append(lot[1:] != lot[:-1], True)) + 1 if len(lot) else []
+    start, starts, best, links, root = 0, np.cumsum(sizes) - sizes, None, [], np.arange(len(ids))
+    for end in ends:
+        m = n[start:end]
+        i = np.repeat(np.arange(start, end), m)
+        j = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        start = end
+        x, y, shift = a_rec[i], b_rec[j], a_at[i] - b_at[j]
+        swap = ids[x] < ids[y]
+        if (left == right).all():  # a block with itself has each pair twice
+            x, y, shift = x[~swap], y[~swap], shift[~swap]
+            x, y, shift = (c[x != y] for c in (x, y, shift))
+        else:
+            x, y, shift = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, -shift, shift)
+        order = np.lexsort((shift, y, x))
+        x, y, shift = x[order], y[order], shift[order]
+        new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (shift[1:] != shift[:-1]))[: len(x)])
+        count = np.diff(np.append(new, len(x)))
+        new, count = new[count >= votes], count[count >= votes]
+        x, y, shift = x[new], y[new], shift[new]
+        error = bit_errors(flat, starts, sizes, x, y, shift)
+        found = tuple(c[error <= most_error] for c in (x, y, shift, count, error))
+        merged = found if best is None else tuple(np.concatenate(c) for c in zip(best, found, strict=True))
+        order = np.lexsort((merged[2], ids[merged[1]], -merged[3], merged[0]))
+        order = order[np.append(True, np.diff(merged[0][order]) != 0)[: len(order)]]
+        best = tuple(c[order] for c in merged)
+        used = tree(root, found[0], found[1])
+        links.append(tuple(c[used] for c in found))
+    nothing = tuple(np.zeros(0, t) for t in (int, int, int, int, float))
+    return best or nothing, tuple(np.concatenate(c) for c in zip(nothing, *links, strict=True))
+
+
+def bit_errors(flat, starts, sizes, x, y, shift):
+    """Shares of differing bits of fingerprints x and y where they overlap, y moved by `shift`."""
+    import numpy as np
+
+    from_x, from_y = np.maximum(shift, 0), np.maximum(-shift, 0)
+    n = np.minimum(sizes[x] - from_x, sizes[y] - from_y)
+    lot, out, start = np.cumsum(n) // AT_ONCE, np.zeros(len(x)), 0
+    for end in np.flatnonzero(np.append(lot[1:] != lot[:-1], True)[: len(lot)]) + 1:
+        m = n[start:end]
+        first = np.cumsum(m) - m
+        inside = np.arange(m.sum()) - np.repeat(first, m)
+        a = flat[np.repeat((starts[x] + from_x)[start:end], m) + inside]
+        b = flat[np.repeat((starts[y] + from_y)[start:end], m) + inside]
+        differ = np.bitwise_count((a ^ b).view(np.uint32)).astype(np.int64)
+        out[start:end] = np.add.reduceat(differ, first) / (m * 32)
+        start = end
+    return out
+
+
+def tree(root, x, y):
+    """Places of the edges (x, y) that join two components; `root` (each node's root) is kept up to date."""
+    import numpy as np
+
+    up, used = {}, []
+
+    def top(node):
+        while node in up:
+            node = up[node]
+        return node
+
+    for e in np.flatnonzero(root[x] != root[y]).tolist():
+        a, b = top(root[x[e]]), top(root[y[e]])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            used.append(e)
+    if up:
+        to = np.arange(len(root))
+        to[list(up)] = list(up.values())
+        while (to != to[to]).any():
+            to = to[to]
+        root[:] = to[root]
+    return np.array(used, int)
 
 
 def altered(pcm: bytes) -> bytes:

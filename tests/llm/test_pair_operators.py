@@ -329,6 +329,38 @@ def test_chroma_votes_for_every_holder(spark):
     assert got[10][:3] == (9, 0, 38) and got[20] == (None, None, None, 9)
 
 
+def test_chroma_tells_no_pairs_of_a_group(spark, monkeypatch):
+    """Of 120 near copies every two match; tables that are written hold a few rows for each recording, not one for each pair."""
+    rng = np.random.default_rng(3)
+    base, n = rng.integers(-(2**31), 2**31, 40), 120
+    prints = [np.where(rng.random(40) < 0.1, base ^ 1, base).tolist() for _ in range(n)]
+    keys = [dict(zip(zip(fp, fp[1:]), range(40))) for fp in prints]
+    votes = lambda a, b: sum(b.get(k) == at for k, at in a.items())
+    best = {a: max((votes(keys[a], keys[b]), -b) for b in range(a)) for a in range(1, n)}
+    written, cut = [], chroma.cut
+    monkeypatch.setattr(chroma, "cut", lambda df, *more: (written.append(out := cut(df, *more)), out)[1])
+    monkeypatch.setattr(chroma, "drop", lambda *frames: None)
+    df = spark.createDataFrame([(i, 40, fp) for i, fp in enumerate(prints)], "rec_id long, n_frames long, fp array<int>")
+    got = {r["rec_id"]: r for r in chroma.align(df).collect()}
+    assert len(got) == n and {r["class_id"] for r in got.values()} == {0}
+    assert all((got[a]["votes"], -got[a]["match_id"]) == best[a] for a in best if best[a][0] >= 3 and got[a]["copy_of"] == a)
+    assert max(df.count() for df in written) <= 2 * 8 * n < n * (n - 1) // 2
+
+
+def test_chroma_blocks_in_any_lots(monkeypatch):
+    rng = np.random.default_rng(4)
+    prints = [rng.integers(0, 5, rng.integers(2, 60)).astype(np.int32) for _ in range(60)]
+    ids, sizes, half = rng.permutation(60), np.array([len(fp) for fp in prints]), np.arange(60) < 30
+    runs = []
+    for at_once in (1_000_000, 50, 1):
+        monkeypatch.setattr(chroma, "AT_ONCE", at_once)
+        runs.append([chroma.block_matches(ids, sizes, np.concatenate(prints), a, b, 3, 0.5) for a, b in ((half, half), (half, ~half), (~half, half))])
+    for run in runs:
+        assert [[c.tolist() for c in best] for best, _ in run] == [[c.tolist() for c in best] for best, _ in runs[0]]
+        assert [len(links[0]) for _, links in run] == [len(links[0]) for _, links in runs[0]] and len(run[0][0][0])
+    assert [c.tolist() for c in runs[0][1][0]] == [c.tolist() for c in runs[0][2][0]]  # either way round
+
+
 def test_chroma_finds_altered_copies(spark):
     """Recordings of the query's own table that come again shifted, noisy or cut are in their originals' classes."""
     ids = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
