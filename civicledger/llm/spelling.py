@@ -6,6 +6,9 @@ under exactly one of these keys: an insertion's shorter word, or what both leave
 the equi-join needs no second deduplication; an exact check takes away what shares a key at distance two. The
 words of a key are those with one letter more at one of its places: their number is bounded by the key's length
 times the alphabet of 90 letters, whatever the corpus.
+
+Spark sizes the keys as the words' compressed file, without the explode, and would send them all through the driver
+to be broadcast; joins of what grows with the words are therefore marked as merges.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, small, table, text_batches
+from .common import BROADCAST_ROWS, cut, drop, table, text_batches
 
 #: A run of letters, after ASCII letters are lower-cased.
 RUN = re.compile("[a-zÀ-ÿ]+")
 #: Distinct words that a task sums up before it sends them on.
 HELD = 200_000
+#: Letters of a broadcast table of words at most, as no word's length is bounded.
+BROADCAST_LETTERS = 8 << 20
 
 
 def count_words(docs: DataFrame, every: int = 97) -> DataFrame:
@@ -70,11 +75,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
     )
     keys = words.select(F.explode(F.array_distinct(F.concat(F.array("word"), lacking))).alias("key"), "word", "n")
     left, right = keys.select("key", F.col("word").alias("a"), F.col("n").alias("a_n")), keys.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
+    pairs = left.join(right.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
     ends = [F.struct(F.col(x).alias("word"), F.col(f"{x}_n").alias("n"), F.col(y).alias("near"), F.col(f"{y}_n").alias("near_n")) for x, y in ("ab", "ba")]
     return pairs.select(F.inline(F.array(*ends)))
 
 
+def sent(roots: DataFrame) -> DataFrame:
+    """A written table (word, root) for the right side of a join: broadcast if its rows and letters are few, else merged."""
+    rows, letters = roots.agg(F.count("*"), F.coalesce(F.sum(F.length("word") + F.length("root")), F.lit(0))).first()
+    return F.broadcast(roots) if rows <= BROADCAST_ROWS and letters <= BROADCAST_LETTERS else roots.hint("merge")
+
+
 def follow(forms: DataFrame) -> DataFrame:
     """(word, root) of (word, form), one row per word: the last form of each chain, by jumps that double in length.
 
@@ -82,7 +93,7 @@ def follow(forms: DataFrame) -> DataFrame:
     """
     state = cut(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
-        step = small(state).select(F.col("word").alias("root"), F.col("root").alias("next"))
+        step = sent(state).select(F.col("word").alias("root"), F.col("root").alias("next"))
         moved = cut(state.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         drop(state)
         state = moved.select("word", "root")
@@ -114,7 +125,7 @@ def grouped(counts: DataFrame, least: int, letters: int, ratio: int) -> DataFram
     )
     roots = follow(out.where("form is not null"))
     drop(words)
-    return out.join(small(roots), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return out.join(sent(roots), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from civicledger.llm import alignment, blocks, classlm, spelling, toxicity
+from civicledger.llm import alignment, blocks, classlm, common, spelling, toxicity
 from civicledger.llm.common import crc_mod
 from civicledger.llm.registry import queries
 
@@ -279,6 +279,29 @@ def test_variants_query(spark):
     assert got == plain_variants(rows, 3, 5, 2)
 
 
+def test_variants_send_no_table_by_its_file_size(spark, monkeypatch):
+    """Words that compress well: their keys and roots are many times what Spark takes their files for, and aren't broadcast."""
+    words = spark.range(1000).select(F.concat(F.lit("x" * 60), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("word"), (F.col("id") % 5 * 9 + 3).alias("n"))
+    written = common.cut(words, "words-to-test")
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size(written) < 200_000 < 1000 * 60 * 60
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        near = spelling.near_pairs(written)
+        assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(spelling, "BROADCAST_ROWS", 10)
+        roots = spelling.grouped(words, 3, 5, 2)
+        assert "Broadcast" not in [x for x in roots._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x][0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    monkeypatch.undo()
+    few = spark.createDataFrame([("aaaa", "aaab")], "word string, root string")
+    long = few.select("word", F.repeat("root", spelling.BROADCAST_LETTERS // 4).alias("root"))
+    hints = lambda df: str(df._jdf.queryExecution().analyzed().toString()).lower()
+    assert "broadcast" in hints(spelling.sent(few)) and "merge" in hints(spelling.sent(long)) and "broadcast" in hints(spelling.sent(few.limit(0)))
+
+
 # -- toxicity of one label
 
 
