@@ -1,7 +1,9 @@
 """An inverted file of vectors: coarse centroids, vectors stored by list, a few lists probed for each query.
 
 A list's vectors are stored in packed chunks, and queries go to the lists in packed groups: a chunk and a group are one
-row of an equi-join and one matrix product, so that no row is made for a pair of vectors. Each list also keeps its
+row of an equi-join and one matrix product, so that no row is made for a pair of vectors. Such rows take megabytes, and
+Spark's readers and hash aggregates bound rows by their number: chunks are packed by workers, one at a time, and stored
+in row groups of few rows, which is what a reader unpacks at once. Each list also keeps its
 reach, the least cosine between its centroid and a member. By the triangle inequality of angles it bounds what a list
 that wasn't probed can hold, and `exact` probes those, and only those, that could hold something nearer.
 """
@@ -24,6 +26,8 @@ SAMPLE = 20_000
 CHUNK = 1024
 #: Chunks of a list that one copy of a group of queries meets.
 SPAN = 16
+#: Chunks of a row group of the stored table: files compress well, and bytes on disk are no bound.
+STORED = 8
 #: Bytes of an Arrow batch on its way to a Python worker: rows are packed, and 10,000 of them are no bound.
 BATCH_BYTES = 8 << 20
 
@@ -34,16 +38,20 @@ def unit_rows(column):
     Rows of another length than the first usable one can't be compared with it, and are an error.
     """
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    at, rows = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            x = np.array(v, float)
-            n = np.linalg.norm(x)
-            if 0 < n < np.inf:
-                at.append(i)
-                rows.append(x / n)
-    return np.array(at, np.int64), np.array(rows) if rows else np.zeros((0, 0))
+    n = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)  # null as not finite
+    at = np.flatnonzero(n)
+    if len(set(n[at].tolist())) == 1:
+        rows = flat.reshape(len(at), -1)
+    else:  # those of other lengths must all be unusable
+        some = [(i, x) for i, x in zip(at, np.split(flat, np.cumsum(n[at])[:-1]), strict=True) if 0 < np.linalg.norm(x) < np.inf] if len(at) else []
+        at, rows = np.array([i for i, _ in some], np.int64), np.array([x for _, x in some]) if some else np.zeros((0, 0))
+    size = np.linalg.norm(rows, axis=1)
+    good = (size > 0) & (size < np.inf)
+    return (at[good], rows[good] / size[good][:, None]) if good.any() else (np.zeros(0, np.int64), np.zeros((0, 0)))
 
 
 def fit(sample, lists: int, rounds: int = 8):
@@ -65,7 +73,7 @@ def fit(sample, lists: int, rounds: int = 8):
 
 @dataclass
 class InvertedFile:
-    """centroids; by list, the number of its chunks and its reach; table: (list, part, ids, vectors as bytes each)."""
+    """centroids; by list, the number of its chunks and its reach; table: (list, part, ids, vectors as bytes)."""
 
     centroids: object
     parts: object
@@ -115,7 +123,7 @@ class InvertedFile:
 
             for batch in batches:
                 for i in range(batch.num_rows):
-                    x, y = (np.frombuffer(b).reshape(-1, width) for b in (batch.column("rows")[i].as_py(), b"".join(batch.column("vectors")[i].as_py())))
+                    x, y = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(-1, width) for c in ("rows", "vectors"))
                     s = np.round(x @ y.T, 12)
                     at = s.argmax(1)  # the first of equals; a chunk's ids ascend
                     most = s[np.arange(len(x)), at]
@@ -125,7 +133,8 @@ class InvertedFile:
 
         spans = F.element_at(F.array(*[F.lit(max(1, -(-int(n) // SPAN))) for n in self.parts]), F.col("list") + 1)
         sent = groups.withColumn("span", F.explode(F.sequence(F.lit(0), spans - 1)))
-        met = sent.join(self.table.withColumn("span", F.floor(F.col("part") / SPAN).cast("int")), ["list", "span"])
+        # by the files' size, which is far from that of the rows, the table might be broadcast
+        met = sent.join(self.table.withColumn("span", F.floor(F.col("part") / SPAN).cast("int")).hint("merge"), ["list", "span"])
         return met.select("asked", "rows", "ids", "vectors").mapInArrow(multiply, f"id {kind}, near {kind}, similarity double")
 
     def nearest(self, queries: DataFrame, probes: int = PROBES, least: float = -1.0, exact: bool = False) -> DataFrame:
@@ -142,7 +151,7 @@ class InvertedFile:
         if not exact or probes >= len(self.parts):
             return found
         found = stored(found, "nearest")
-        again = asked.join(found.select("id", F.col("similarity").alias("found")), "id", "left").select("id", "embedding", "found")
+        again = asked.join(found.select("id", F.col("similarity").alias("found")).hint("merge"), "id", "left").select("id", "embedding", "found")
         return top(found.unionByName(self._met(self._routed(again, probes, True, least), least)))
 
 
@@ -158,7 +167,10 @@ def build(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, path: st
     spark, kind = vectors.sparkSession, dict(vectors.dtypes)["id"]
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    some = rows.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
+    usable, hashed = rows.where("embedding is not null"), F.xxhash64("id")
+    # the last hash is found first, so that tasks don't each hold and send `sample` vectors
+    last = usable.select(hashed.alias("hash")).orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    some = usable.where(hashed <= F.lit(last).cast("long")).orderBy(hashed, "id").limit(sample).select("embedding").toArrow()
     parts = [unit_rows(pa.array(c)) for c in some.column(0).chunks]
     parts = [x for _, x in parts if len(x)]
     centroids = fit(np.concatenate(parts) if parts else np.zeros((0, 0)), lists)
@@ -177,8 +189,17 @@ def build(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE, path: st
     for r in listed.groupBy("list").agg(F.count("*").alias("n"), F.min("cosine").alias("reach")).collect():
         count[r["list"]], reach[r["list"]] = -(-r["n"] // CHUNK), r["reach"]
     of = F.element_at(F.array(*[F.lit(int(n)) for n in np.maximum(count, 1)]), F.col("list") + 1)
-    chunks = listed.groupBy("list", F.pmod(F.xxhash64("id"), of).cast("int").alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("x"))
+    schema = f"list int, part int, ids array<{kind}>, vectors binary"
+
+    def pack(rows):
+        import pyarrow.compute as pc
+
+        rows = rows.take(pc.sort_indices(rows, [("id", "ascending")], null_placement="at_start"))
+        ids = pa.array([rows["id"].to_pylist()], pa.list_(rows.schema.field("id").type))
+        return pa.table({"list": rows["list"][:1], "part": rows["part"][:1], "ids": ids, "vectors": pa.array([b"".join(rows["v"].to_pylist())], pa.binary())})
+
+    chunks = listed.select("list", F.pmod(F.xxhash64("id"), of).cast("int").alias("part"), "id", "v").groupBy("list", "part").applyInArrow(pack, schema)
     path = path or f"{shared_folder(spark)}/lists-{uuid.uuid4().hex[:12]}"
-    chunks.select("list", "part", F.col("x.id").alias("ids"), F.col("x.v").alias("vectors")).write.parquet(path)
-    table = spark.read.schema(f"list int, part int, ids array<{kind}>, vectors array<binary>").parquet(path)
+    chunks.write.option("parquet.block.row.count.limit", STORED).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
     return InvertedFile(centroids, count, reach, table, kind)

@@ -90,3 +90,56 @@ def test_a_worker_routes_groups_one_by_one(spark, monkeypatch):
     assert groups.count() <= 4 * (600 // 8 + 8) and groups.columns == ["list", "asked", "rows"]
     got = {r["id"]: (r["near"], r["similarity"]) for r in index.nearest(df, probes=1, exact=True).collect()}
     assert len(got) == 600 and all(i == near and s == 1.0 for i, (near, s) in got.items())
+
+
+def test_chunks_are_packed_stored_and_met_in_bounded_lots(spark, monkeypatch, tmp_path):
+    """Rows of megabytes: a hash aggregate, a reader's batch and a broadcast would each hold as many as their number allows."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 2, (800, 8)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>").coalesce(1)
+    monkeypatch.setattr(vectors, "CHUNK", 8)
+    monkeypatch.setattr(vectors, "STORED", 5, raising=False)
+    index = vectors.build(df, lists=2, path=str(tmp_path / "lists"))
+    groups = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, (tmp_path / "lists").glob("*.parquet")) for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) == index.parts.sum() > 50 and max(groups) <= 5
+    asked = df.where("id < 40").withColumn("found", F.lit(None).cast("double"))
+    met = index._met(index._routed(asked, 2, False, -1.0), -1.0)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    s = np.round(unit[:40] @ unit.T, 12)
+    got = {r["id"]: (r["near"], r["similarity"]) for r in index.nearest(df.where("id < 40"), probes=1, exact=True).collect()}
+    want = {i: (s[i].argmax(), s[i].max()) for i in range(40) if v[i].any()}
+    assert got == want
+
+
+@pytest.mark.parametrize("before", [0, 1])
+def test_odd_rows_of_vectors(before):
+    import pyarrow as pa
+
+    nan = float("nan")
+    rows = [[3.0, 4.0], None, [0.0, 2.0], [], [0.0, 0.0], [None, 1.0], [nan, 2.0], [float("inf"), 1.0], [1.0, 0.0]]
+    column = lambda *x: pa.array([[9.0, 9.0]] * before + list(x), pa.list_(pa.float64())).slice(before)
+    at, unit = vectors.unit_rows(column(*rows))
+    assert at.tolist() == [0, 2, 8] and unit.tolist() == [[0.6, 0.8], [0.0, 1.0], [1.0, 0.0]]
+    assert vectors.unit_rows(column(*rows, [0.0, 0.0, 0.0], [None]))[0].tolist() == [0, 2, 8]
+    for none in ((), (None, []), ([nan],), ([0.0], [None, 1.0])):
+        assert [len(x) for x in vectors.unit_rows(column(*none))] == [0, 0]
+    with pytest.raises(ValueError):
+        vectors.unit_rows(column([1.0, 2.0], [1.0]))
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_matches_by_vector_broadcast_names_only(spark, monkeypatch, many):
+    """Notices and entities are stored in files far smaller than their rows; neither is broadcast, whatever Spark's limit."""
+    notices = spark.range(3000).select(F.col("id").alias("notice_id"), F.concat(F.lit("MAPLE LEAF HOUSNG "), F.col("id") % 20).alias("name_norm"))
+    entities = spark.range(500).selectExpr("'grant' AS source", "'Maple Leaf Housing ' || id AS entity_name", "'MAPLE LEAF HOUSING ' || id AS name_norm", "CAST(NULL AS STRING) AS bn")
+    monkeypatch.setattr(matching, "SENT_ROWS", 10 if many else 100, raising=False)
+    df = matching.match_by_vector(notices, entities)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == (2 if many else 0) and plan.count("strategy=broadcast") == (0 if many else 2)
+    assert ("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()) != many
+    rows = df.collect()
+    assert len(rows) == 3000 and len({(r["notice_id"] % 20, r["entity_name"], r["confidence"]) for r in rows}) == 20
