@@ -143,3 +143,16 @@ def test_matches_by_vector_broadcast_names_only(spark, monkeypatch, many):
     assert ("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()) != many
     rows = df.collect()
     assert len(rows) == 3000 and len({(r["notice_id"] % 20, r["entity_name"], r["confidence"]) for r in rows}) == 20
+
+
+def test_matched_notices_are_not_broadcast(spark, monkeypatch):
+    """The ids of all matched notices, which grow with the notices, are merged with them and not sent by their files' size."""
+    from civicledger.plans import domain, entities
+
+    seen = []
+    monkeypatch.setattr(matching, "match_by_vector", lambda left_over, known: seen.append(left_over) or spark.createDataFrame([], "notice_id long, source string, entity_name string, bn string, method string, confidence double"))
+    every = entities.adverse_media_all_matches(domain.Domain(spark, SMALL))
+    joins = [x for x in seen[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftAnti" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    left, matched = ({r[0] for r in df.select("notice_id").collect()} for df in (seen[0], every))
+    assert left and matched and not left & matched
